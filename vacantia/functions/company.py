@@ -6,43 +6,44 @@ from pyspark.sql import Column, functions as F
 
 from .. import vocab as V
 from . import urls as U
-from .text import c, contains_any, ends_with_any, squeeze, strip, words
+from .text import c, contains_any, ends_with_any, let, squeeze, strip
 
-_TRIMMABLE = sorted((w for w in V.INFRA_LABELS if len(w) >= 3), key=len, reverse=True)
+_TRIM = "^(.+?)(?:" + "|".join(w for w in V.INFRA_LABELS if len(w) >= 3) + ")$"
 
 
 def clean_token(token) -> Column:
     """Brand label of one host label: a trailing infrastructure word is cut, bare infrastructure is nothing."""
-    token = c(token)
-    cut = F.coalesce(*[F.when(token.endswith(w) & (F.length(token) > len(w)),
-                              F.substring(token, F.lit(1), F.length(token) - len(w))) for w in _TRIMMABLE], token)
-    return F.when((F.length(cut) >= 2) & ~cut.isin(V.INFRA_LABELS) & ~cut.rlike(r"^\d+$"), cut)
+    return let(F.regexp_replace(c(token), _TRIM, "$1"), lambda t: F.when(
+        (F.length(t) >= 2) & ~t.isin(V.INFRA_LABELS) & ~t.rlike(r"^\d+$"), t))
 
 
 def display_name(token, registry=None) -> Column:
     """Verified name of a brand token, else the token with a capital first letter."""
-    token, out = c(token), F.concat(F.upper(F.substring(c(token), 1, 1)), F.substring(c(token), F.lit(2), F.length(c(token))))
-    for key, name in (registry or V.KNOWN_COMPANIES).items():
-        out = F.when(token == key, F.lit(name)).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in (registry or V.KNOWN_COMPANIES).items() for x in pair])
+    return let(token, lambda t: F.coalesce(F.try_element_at(known, t), F.concat(
+        F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))))
 
 
 def infer_site_company(source) -> Column:
     """Company label of a site from its host; null for reserved, opaque or bare platform hosts."""
-    h = U.host_of(source)
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    keep = F.when(F.concat_ws(".", F.get(labels, n - 2), F.get(labels, n - 1)).isin(V.MULTIPART_TLDS), 3).otherwise(2)
-    sub = F.when(n > keep, F.slice(labels, F.lit(1), F.greatest(n - keep, F.lit(0)))).otherwise(F.expr("cast(array() as array<string>)"))
-    root = F.get(labels, F.greatest(n - keep, F.lit(0)))
     platforms = V.RECRUIT_PLATFORMS + list(V.PROVIDER_HOSTS.values())
-    on_platform = ends_with_any(h, platforms) | h.isin([s.lstrip(".") for s in V.PROVIDER_HOSTS.values()])
-    tenant = F.get(F.filter(F.transform(F.reverse(sub), clean_token), lambda t: t.isNotNull()), F.lit(0))
-    own = F.filter(F.concat(sub, F.array(root)), lambda t: ~t.isin(V.INFRA_LABELS))
-    token = (F.when(h.isNull() | ~h.contains("."), None).when(root.isin(V.RESERVED_ROOTS), None)
-             .when(on_platform, tenant).when(root.startswith("example"), None)
-             .otherwise(clean_token(F.element_at(F.when(F.size(own) > 0, own), -1))))
-    return display_name(token)
+    bare = [s.lstrip(".") for s in V.PROVIDER_HOSTS.values()]
+
+    def from_labels(h, labels):
+        n = F.size(labels)
+        keep = F.when(F.concat_ws(".", F.get(labels, n - 2), F.get(labels, n - 1)).isin(V.MULTIPART_TLDS), 3).otherwise(2)
+        sub = F.slice(labels, F.lit(1), F.greatest(n - keep, F.lit(0)))
+        return let(F.struct(h.alias("h"), sub.alias("sub"), F.get(labels, F.greatest(n - keep, F.lit(0))).alias("root")), from_parts)
+
+    def from_parts(p):
+        h, sub, root = p["h"], p["sub"], p["root"]
+        tenant = F.get(F.filter(F.transform(F.reverse(sub), clean_token), lambda t: t.isNotNull()), F.lit(0))
+        own = F.get(F.filter(F.reverse(F.concat(sub, F.array(root))), lambda t: ~t.isin(V.INFRA_LABELS)), F.lit(0))
+        return (F.when(~h.contains("."), None).when(root.isin(V.RESERVED_ROOTS), None)
+                .when(ends_with_any(h, platforms) | h.isin(bare), tenant).when(root.startswith("example"), None)
+                .otherwise(clean_token(own)))
+
+    return display_name(let(U.host_of(source), lambda h: let(F.split(h, r"\."), lambda labels: from_labels(h, labels))))
 
 
 def company_or_none(value) -> Column:

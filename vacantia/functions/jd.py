@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import vocab as V
 from . import records as R
-from .text import c, contains_any, heading, hits, html_lines, lines, squeeze, strip, without_space
+from .text import c, contains_any, hits, html_lines, let, lines, squeeze, strip, without_space
 
 
 def heading_hits(text) -> Column:
@@ -23,8 +23,10 @@ def credible_body(text) -> Column:
 
 def credible_jd(text) -> Column:
     """The page-side rule: long enough once squeezed, more signals than penalties or long."""
-    x = squeeze(F.coalesce(c(text), F.lit("")))
-    low = F.lower(x)
+    return let(squeeze(F.coalesce(c(text), F.lit(""))), lambda x: let(F.lower(x), lambda low: _credible_page(x, low)))
+
+
+def _credible_page(x, low) -> Column:
     return (F.length(x) >= 160) & ((hits(low, V.JD_SIGNALS) > hits(low, V.JD_PENALTIES)) | (F.length(x) >= 500))
 
 
@@ -42,29 +44,31 @@ def is_bot_challenge(html) -> Column:
 
 def pick_jd(record) -> Column:
     """struct(description, description_field, responsibilities(_field), requirements(_field), state)."""
-    d = R.pick_jd_field(record, V.JD_DESCRIPTION)
-    duty = R.pick_jd_field(record, V.JD_RESPONSIBILITY)
-    need = R.pick_jd_field(record, V.JD_REQUIREMENT)
-
     def wrapped(own, names):
         tries = [own]
         for w in V.JD_WRAPPERS:
             inner = R.pick_jd_field(R.as_record(R.get(record, w)), names)
             tries.append(F.struct(F.concat(F.lit(w + "."), inner["field"]).alias("field"), inner["value"].alias("value")))
-        return F.coalesce(*[F.when(t["value"].isNotNull(), t) for t in tries])
-
-    duty, need = wrapped(duty, V.JD_WRAPPED_RESPONSIBILITY), wrapped(need, V.JD_WRAPPED_REQUIREMENT)
-    short = ((F.lower(duty["field"]) == "duty") & (F.lower(need["field"]) == "require")
-             & (F.length(strip(duty["value"])) + F.length(strip(need["value"])) < V.MIN_SPLIT_CHARS))
-    has_half = duty["value"].isNotNull() | need["value"].isNotNull()
-    state = (F.when(d["value"].isNotNull(),
-                    F.when(~has_half & ~credible_body(d["value"]), F.lit("SUMMARY")).otherwise(F.lit("FULL_TEXT")))
-             .when(has_half, F.when(short, F.lit("SUMMARY")).otherwise(F.lit("SPLIT")))
-             .otherwise(F.lit("ABSENT")))
-    return F.struct(
-        d["value"].alias("description"), d["field"].alias("description_field"),
-        duty["value"].alias("responsibilities"), duty["field"].alias("responsibilities_field"),
-        need["value"].alias("requirements"), need["field"].alias("requirements_field"), state.alias("state"))
+        return F.get(F.filter(F.array(*tries), lambda t: t["value"].isNotNull()), F.lit(0))
+
+    def described(p):
+        d, duty, need = p["d"], p["duty"], p["need"]
+        short = ((F.lower(duty["field"]) == "duty") & (F.lower(need["field"]) == "require")
+                 & (F.length(strip(duty["value"])) + F.length(strip(need["value"])) < V.MIN_SPLIT_CHARS))
+        has_half = duty["value"].isNotNull() | need["value"].isNotNull()
+        state = (F.when(d["value"].isNotNull(),
+                        F.when(~has_half & ~credible_body(d["value"]), F.lit("SUMMARY")).otherwise(F.lit("FULL_TEXT")))
+                 .when(has_half, F.when(short, F.lit("SUMMARY")).otherwise(F.lit("SPLIT")))
+                 .otherwise(F.lit("ABSENT")))
+        return F.struct(
+            d["value"].alias("description"), d["field"].alias("description_field"),
+            duty["value"].alias("responsibilities"), duty["field"].alias("responsibilities_field"),
+            need["value"].alias("requirements"), need["field"].alias("requirements_field"), state.alias("state"))
+
+    return let(F.struct(
+        R.pick_jd_field(record, V.JD_DESCRIPTION).alias("d"),
+        wrapped(R.pick_jd_field(record, V.JD_RESPONSIBILITY), V.JD_WRAPPED_RESPONSIBILITY).alias("duty"),
+        wrapped(R.pick_jd_field(record, V.JD_REQUIREMENT), V.JD_WRAPPED_REQUIREMENT).alias("need")), described)
 
 
 def needs_detail(picked, mode) -> Column:
@@ -101,17 +105,22 @@ def canonical_jd(picked) -> Column:
 
 
 def _tagged_sections(line_array, is_duty, is_need) -> Column:
-    """Lines under each heading kind, without growing an accumulator per line.
+    """Lines under each heading kind: heading positions first, then the spans between them."""
+    def cut(x):
+        marks = F.filter(F.transform(x, lambda line, i: F.struct(
+            i.alias("i"), F.when(is_duty(line), 1).when(is_need(line), 2).alias("k"))), lambda m: m["k"].isNotNull())
+        return let(marks, lambda m: let(spans(x, m), lambda s: F.struct(
+            part(x, s, 1).alias("responsibilities"), part(x, s, 2).alias("requirements"))))
+
+    def spans(x, marks):
+        return F.transform(marks, lambda m, j: F.struct(
+            m["k"].alias("k"), (m["i"] + 2).alias("lo"),
+            (F.coalesce(F.get(marks, j + 1)["i"], F.size(x)) - m["i"] - 1).alias("n")))
+
+    def part(x, found, k):
+        return F.flatten(F.transform(F.filter(found, lambda s: s["k"] == k), lambda s: F.slice(x, s["lo"], s["n"])))
 
-    Heading positions are found first; a line belongs to the last heading before it."""
-    marks = F.filter(F.transform(line_array, lambda x, i: F.struct(
-        i.alias("i"), F.when(is_duty(x), 1).when(is_need(x), 2).alias("k"))), lambda m: m["k"].isNotNull())
-    spans = F.transform(marks, lambda m, j: F.struct(
-        m["k"].alias("k"), (m["i"] + 1).alias("lo"),
-        F.coalesce(F.get(marks, j + 1)["i"], F.size(line_array)).alias("hi")))
-    part = lambda k: F.flatten(F.transform(
-        F.filter(spans, lambda s: s["k"] == k), lambda s: F.slice(line_array, s["lo"] + 1, s["hi"] - s["lo"])))
-    return F.struct(part(1).alias("responsibilities"), part(2).alias("requirements"))
+    return let(line_array, cut)
 
 
 def _starts(vocab):
@@ -139,7 +148,10 @@ def sections_from_text(text) -> Column:
 
 def card_sections(text) -> Column:
     """Two sections of a card by inline labels; a half below forty characters is dropped."""
-    value = F.regexp_replace(c(text), "[\t\r ]+", " ")
+    return let(F.regexp_replace(c(text), "[\t\r ]+", " "), _cut_card)
+
+
+def _cut_card(value) -> Column:
     at, length = F.regexp_instr(value, F.lit(V.CARD_RESPONSIBILITY)), F.length(
         F.regexp_extract(value, V.CARD_RESPONSIBILITY, 0))
     at2, length2 = F.regexp_instr(value, F.lit(V.CARD_REQUIREMENT)), F.length(
@@ -154,7 +166,10 @@ def card_sections(text) -> Column:
 
 def split_items(text) -> Column:
     """One half as items: its lines, else an inline numbering after a semicolon or full stop."""
-    body = strip(F.coalesce(c(text), F.lit("")))
+    return let(strip(F.coalesce(c(text), F.lit(""))), _items)
+
+
+def _items(body) -> Column:
     by_line = lines(F.replace(body, F.lit("\r"), F.lit("\n")))
     by_number = F.filter(F.transform(F.split(body, r"(?<=[；;。])\s*(?=\d{1,2}[、.)．])"), strip), lambda x: x != "")
     return (F.when(body == "", F.expr(R.NO_STRINGS)).when(F.size(by_line) > 1, by_line)
@@ -165,9 +180,9 @@ def jd_halves(list_record, detail_record, picked) -> Column:
     """struct of item lists: recognised halves, else work content / service condition of detail, then list."""
     p = c(picked)
     def half(value, key):
-        tries = [split_items(value), split_items(R.only_text(R.get(detail_record, key))),
-                 split_items(R.only_text(R.get(list_record, key)))]
-        return F.coalesce(*[F.when(F.size(t) > 0, t) for t in tries], F.expr(R.NO_STRINGS))
+        tries = F.array(split_items(value), split_items(R.only_text(R.get(detail_record, key))),
+                        split_items(R.only_text(R.get(list_record, key))))
+        return F.coalesce(F.get(F.filter(tries, lambda t: F.size(t) > 0), F.lit(0)), F.expr(R.NO_STRINGS))
     return F.struct(half(p["responsibilities"], "workContent").alias("responsibilities"),
                     half(p["requirements"], "serviceCondition").alias("requirements"))
 
@@ -180,7 +195,10 @@ def loose_title_match(expected, actual) -> Column:
 
 def enrich(responsibilities, requirements, source) -> Column:
     """struct(responsibilities, requirements, status): fill empty requirements, lengthen responsibilities."""
-    found = jd_sections(source)
+    return let(jd_sections(source), lambda found: _enriched(found, responsibilities, requirements, source))
+
+
+def _enriched(found, responsibilities, requirements, source) -> Column:
     no_resp, no_req = F.size(found["responsibilities"]) == 0, F.size(found["requirements"]) == 0
     fill = ~no_req & (F.size(c(requirements)) == 0)
     grow = F.size(found["responsibilities"]) > F.size(c(responsibilities))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import vocab as V
-from .text import blank_to_null, c, canonical, infer_field, matches_role, strip, words
+from .text import blank_to_null, c, canonical, infer_field, let, matches_role, strip, words
 
 RECORD = "map<string,variant>"
 NO_STRINGS = "cast(array() as array<string>)"
@@ -65,8 +65,8 @@ def text_of(v) -> Column:
 def string_value(v) -> Column:
     """Non-blank text of a string, or of the first text-bearing member of an object; kept verbatim."""
     keep = lambda x: F.when(is_text(x) & (strip(as_text(x)) != ""), as_text(x))
-    return F.coalesce(keep(c(v)), *[keep(F.try_variant_get(c(v), f"$.{k}", "variant"))
-                                    for k in V.TEXT_OBJECT_KEYS])
+    inner = lambda k: let(F.try_variant_get(c(v), f"$.{k}", "variant"), keep)
+    return F.coalesce(keep(c(v)), *[inner(k) for k in V.TEXT_OBJECT_KEYS])
 
 
 def is_blank_value(v) -> Column:
@@ -119,8 +119,7 @@ def pick_jd_field(record, names) -> Column:
 
     found = F.filter(F.transform(F.map_entries(c(record)), candidate),
                      lambda s: s["rank"].isNotNull() & s["value"].isNotNull())
-    best = F.array_min(found)
-    return F.struct(best["field"].alias("field"), best["value"].alias("value"))
+    return let(F.array_min(found), lambda best: F.struct(best["field"].alias("field"), best["value"].alias("value")))
 
 
 def deep_pick(v, role: str, depth: int = 3) -> Column:
@@ -137,8 +136,8 @@ def deep_pick(v, role: str, depth: int = 3) -> Column:
     level = F.array(F.struct(F.lit("").alias("p"), as_record(v).alias("m")))
     hits = []
     for _ in range(depth + 1):
-        hits.append(F.filter(F.transform(level, lambda n: F.struct(
-            F.concat(n["p"], best(n["m"])["path"]).alias("path"), best(n["m"])["value"].alias("value"))),
+        hits.append(F.filter(F.transform(level, lambda n: let(best(n["m"]), lambda b: F.struct(
+            F.concat(n["p"], b["path"]).alias("path"), b["value"].alias("value")))),
             lambda s: s["path"].isNotNull()))
         level = F.flatten(F.transform(level, lambda n: F.transform(
             F.filter(F.array_sort(F.map_keys(F.coalesce(n["m"], F.expr(f"cast(map() as {RECORD})")))),
@@ -200,8 +199,7 @@ def find_total(v, list_length, depth: int = 4) -> Column:
         tier(s).alias("tier"), s["path"].alias("path"), number(s).alias("total")))
     good = F.filter(rows, lambda s: s["tier"].isNotNull() & s["total"].isNotNull()
                     & ~((c(list_length) > 0) & (s["total"] < c(list_length))))
-    best = F.array_min(good)
-    return F.struct(best["path"].alias("path"), best["total"].alias("total"))
+    return let(F.array_min(good), lambda best: F.struct(best["path"].alias("path"), best["total"].alias("total")))
 
 
 def contains_secret(v, depth: int = 6) -> Column:
@@ -239,8 +237,8 @@ def stable_id(v, keys=V.CAPTURE_ID_ALIASES) -> Column:
             name.endswith("code"), F.struct(F.lit(1000).cast("bigint").alias("r"), e["key"].alias("field"),
                                             as_text(e["value"]).alias("value"))))
 
-    best = F.array_min(F.transform(F.map_entries(record), rank))
-    return F.struct(best["field"].alias("field"), best["value"].alias("value"))
+    return let(F.array_min(F.transform(F.map_entries(record), rank)),
+               lambda best: F.struct(best["field"].alias("field"), best["value"].alias("value")))
 
 
 def real_urls(v, base, depth: int = 3) -> Column:

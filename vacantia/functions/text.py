@@ -13,6 +13,11 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, body) -> Column:
+    """Bind a value once for an expression that uses it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x) -> Column:
     return F.btrim(c(x), F.lit(V.WHITESPACE))
 

@@ -10,6 +10,8 @@ SETTINGS = {
     # query strings keep one value per key; the readers put the winning pair last
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
+    # nested record walks are long chains of lambdas, resolved one per analyzer pass
+    "spark.sql.analyzer.maxIterations": "400",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
