@@ -93,7 +93,7 @@ ITEM = "transform(filter(split(text, chr(10)), x -> trim(x) <> ''), (x, i) -> "
 PAYLOAD_SQL = f"""
 case lang
 when 'en' then to_json(named_struct('success', true, 'result', named_struct('total', n_chars, 'list', {ITEM}
-  named_struct('code', concat(doc_id, '-', i), 'jobName', substr(x, 1, 40), 'workPlace', source, 'updateTime', 't')))))
+  named_struct('code', concat(doc_id, '-', i), 'jobName', substr(x, 1, 40), 'city', source, 'updateTime', 't')))))
 when 'fr' then to_json(named_struct('navigation', true, 'menu', {ITEM} named_struct('label', substr(x, 1, 20), 'url', i))))
 when 'de' then to_json(named_struct('data', named_struct('count', 1, 'rows', {ITEM}
   named_struct('id', i, 'name', substr(x, 1, 20), 'value', i)))))
@@ -150,7 +150,7 @@ PAGE_HTML = (f"concat('<html><head><title>Jobs at Brand ', {PAGE}, '</title></he
              f"'<ul><li><a class=\"j\" href=\"/jobs/', {PAGE}, '001\">Engineer &amp; Lead ', {PAGE}, '</a></li>', "
              f"'<li><a class=\"j\" href=\"https://', {HOST}, '/position/', {PAGE}, '002?utm_source=a\">Analyst ', {PAGE}, '</a></li>', "
              "'<li><a class=\"p\" href=\"/search?q=1\">next page</a></li>', "
-             f"'<li><a class=\"e\" href=\"https://campus.', {HOST}, '/all\">校园招聘 all jobs</a></li>', "
+             f"'<li><a class=\"e\" href=\"https://campus.', {HOST}, '/all\">校园招聘 全部职位 all jobs</a></li>', "
              f"'<li><a class=\"e\" href=\"https://campus.', {HOST}, '/jobs/9', {PAGE}, '77\">View jobs</a></li>', "
              "'<li><a class=\"x\" href=\"#top\">top</a></li></ul>', "
              f"'<iframe src=\"https://frames.', {HOST}, '/w\"></iframe><script src=\"/static/job-widget.js\"></script>', "
