@@ -45,15 +45,15 @@ def attach_group(rows: DataFrame, groups: DataFrame, keys, size: str, spread: Co
     return whole.select(*[F.col(n) for n in rows.columns], *[F.col(f"_g.{n}").alias(n) for n in facts])
 
 
-def running_total(df: DataFrame, keys, order: str, values: dict[str, str], block: int = 4096) -> DataFrame:
-    """Running sums along an integral order, in two levels.
+def running_total(df: DataFrame, keys, order: str, values: dict[str, str], block: int = 4096, tie=()) -> DataFrame:
+    """Running sums along an integral order (ties broken by ``tie``), in two levels.
 
     Sums run inside blocks of the order, block totals run over blocks; a single long group is therefore
     cut into many tasks instead of one."""
     keys = names(keys)
     cut = F.floor(F.col(order) / block).cast("bigint")
     df = df.withColumn("_block", cut)
-    inner = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*keys, "_block").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
     before = totals.select(*keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_b_{n}")
