@@ -19,6 +19,18 @@ def parse(json_text) -> Column:
     return F.try_parse_json(c(json_text))
 
 
+def parse_strict(json_text) -> Column:
+    """One whole JSON value, else null.
+
+    The built-in parser stops after the first value, so the text is parsed as the only element of an array;
+    a text with a bracket of its own must also parse as the only member of an object."""
+    x = c(json_text)
+    listed = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    alone = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}"))).isNotNull()
+    return F.when(alone & (~x.contains("]") | member), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def as_record(v) -> Column:
     """The object as a record; null when the value is not an object."""
     return F.try_variant_get(c(v), "$", RECORD)

@@ -182,7 +182,9 @@ def request_params(url, body_json=None) -> Column:
     first_wins = F.map_from_entries(F.reverse(F.transform(pairs(query(url)), lambda s: F.struct(s["k"], s["v"]))))
     if body_json is None:
         return first_wins
-    body = F.try_variant_get(F.try_parse_json(c(body_json)), "$", "map<string,string>")
+    from .records import parse_strict
+
+    body = F.try_variant_get(parse_strict(body_json), "$", "map<string,string>")
     return F.when(body.isNull(), first_wins).otherwise(F.map_concat(first_wins, body))
 
 
