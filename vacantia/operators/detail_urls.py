@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab as V
 from ..functions import jd as J, records as R, urls as U
 from ..functions.text import c, let, strip, words
+from .grouping import fence
 
 
 def first_scalar(record, keys) -> Column:
@@ -83,4 +84,4 @@ def resolve_targets(df: DataFrame, full_jd: str, responsibilities: str, requirem
     """Adds method: the list is enough, a detail request is known, a page can be opened, or the list is all."""
     method = (F.when(~J.needs_full_jd(full_jd, responsibilities, requirements), "LIST_SUFFICIENT")
               .when(has_spec & F.col("detail_id").isNotNull(), "AUTO_API").when(F.size("candidates") > 0, "RENDERED_PAGE").otherwise("LIST_ONLY"))
-    return df.withColumn("method", method)
+    return fence(df.withColumn("method", method), ["candidates", "detail_id", "detail_id_field", "method"])

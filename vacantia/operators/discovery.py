@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab as V
 from ..functions import records as R, redact as X, score as K, urls as U
 from ..functions.text import c, infer_field, let
-from .grouping import first_by, modal, names, top_k
+from .grouping import fence, first_by, modal, names, top_k
 
 
 def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> DataFrame:
@@ -45,7 +45,8 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> Da
         "title_field": infer_field("sample_fields", "title"),
     })
     df = df.withColumn("confidence", K.confidence("score"))
-    return df.drop("_arrays", "_ranked", "_best", "_items", "_top", "_object", "_total")
+    out = ["list_path", "list_length", "homogeneity", "density", "fields", "sample_fields", "reasons", "total_path", "total", "score", "evidence", "id_field", "title_field", "confidence"]
+    return fence(df.drop("_arrays", "_ranked", "_best", "_items", "_top", "_object", "_total"), out)
 
 
 def score_details(df: DataFrame, url: str, payload: str) -> DataFrame:

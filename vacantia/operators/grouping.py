@@ -12,6 +12,17 @@ def names(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def fence(df: DataFrame, columns) -> DataFrame:
+    """Compute the columns here, once.
+
+    A later filter on a derived column is normally pushed below the projection that derives it, which
+    repeats the whole derivation inside the filter.  Emitting the columns through a one-row generator keeps
+    such filters above; filters on source columns still reach the scan."""
+    columns = list(columns)
+    packed = F.inline(F.array(F.struct(*[F.col(x) for x in columns])))
+    return df.select(*[x for x in df.columns if x not in columns], packed)
+
+
 def first_by(df: DataFrame, keys, order, last: bool = False) -> DataFrame:
     """The first (or last) whole row of each group in a total order.
 

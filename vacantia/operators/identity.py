@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab as V
 from ..functions import records as R, urls as U
 from ..functions.text import c, infer_field, words
-from .grouping import attach_group, first_by, names
+from .grouping import attach_group, fence, first_by, names
 
 
 def find_key(v, keys, depth: int = 3, infer: bool = False) -> Column:
@@ -58,8 +58,8 @@ def job_identity(df: DataFrame, raw: str | None = None, url=None, title=None, lo
                           F.lit("url+title+location+department+company").alias("f")))
     df = df.withColumn("_id", F.coalesce(*tries))
     dropped = [n for n in df.columns if n.startswith("_find_") or n in ("_url_id", "_id")]
-    return df.withColumns({"identity_source": F.col("_id.s"), "identity_value": F.col("_id.v"),
-                           "identity_field": F.col("_id.f")}).drop(*dropped)
+    df = df.withColumns({"identity_source": F.col("_id.s"), "identity_value": F.col("_id.v"), "identity_field": F.col("_id.f")})
+    return fence(df.drop(*dropped), ["identity_source", "identity_value", "identity_field"])
 
 
 def dedupe_first(df: DataFrame, keys, order) -> DataFrame:
@@ -69,8 +69,6 @@ def dedupe_first(df: DataFrame, keys, order) -> DataFrame:
 
 def page_ranked(df: DataFrame, run: str, page: str, index: str) -> DataFrame:
     """Adds page_rank: when the page was first seen in the run."""
-    from .grouping import attach_group
-
     ranks = df.groupBy(run, page).agg(F.min(index).alias("page_rank"), F.count("*").alias("_size"))
     return attach_group(df, ranks, [run, page], "_size", F.col(index)).drop("_size")
 

@@ -7,9 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from .. import vocab as V
 from ..functions import jd as J, records as R
 from ..functions.text import c, lines
+from .grouping import fence
 from .identity import job_identity
 
 
+JOB_COLUMNS = ["job_id", "job_title", "reject_reason", "company", "locations", "department", "job_category", "recruitment_type", "education",
+               "major", "recruitment_scopes", "headcount", "responsibilities", "requirements", "full_jd", "jd_state", "detail_url", "apply_url",
+               "identity_source", "identity_value", "identity_field"]
+
+
 def build_jobs(df: DataFrame, v: str, company=None, id_field: str | None = None, title_field: str | None = None,
                url_field: str | None = None, detail_template: str | None = None, scope_type=None) -> DataFrame:
     """Adds the job columns; reject_reason says why a record is not a job."""
@@ -56,7 +62,7 @@ def build_jobs(df: DataFrame, v: str, company=None, id_field: str | None = None,
     })
     df = job_identity(df, raw=v, url="detail_url", title="job_title", location=F.array_join("locations", "|"),
                       department="department", company="company")
-    return df.drop("_r", "_title", "_place", "_jd", "_split")
+    return fence(df.drop("_r", "_title", "_place", "_jd", "_split"), JOB_COLUMNS)
 
 
 def enrichment_stats(df: DataFrame, before: str, after: str, status: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab as V
 from ..functions import jd as J, records as R, score as K, urls as U
 from ..functions.text import c, contains_any, heading, let, squeeze, strip, unescape, without_space
-from .grouping import first_by, names
+from .grouping import fence, first_by
 
 
 def html_detail(df: DataFrame, lines: str, title: str, job_id: Column, url: str) -> DataFrame:
@@ -32,7 +32,8 @@ def html_detail(df: DataFrame, lines: str, title: str, job_id: Column, url: str)
     id_ok = job_id.isNull() | (F.size("_ids") == 0) | F.exists("_ids", lambda s: s["value"] == job_id.cast("string"))
     failure = (F.when(resp.isNull(), "JD_CONTAINER_NOT_FOUND").when(~title_ok, "TITLE_MISMATCH").when(~id_ok, "TITLE_MISMATCH")
                .when(F.length(without_space("full_jd")) < 100, "JD_TOO_SHORT"))
-    return df.withColumns({"failure": failure, "bound_id": F.get("_ids", F.lit(0))["value"]}).drop("_norm", "_end", "_ids", "_title")
+    df = df.withColumns({"failure": failure, "bound_id": F.get("_ids", F.lit(0))["value"]}).drop("_norm", "_end", "_ids", "_title")
+    return fence(df, ["failure", "full_jd", "responsibilities", "requirements", "bound_id"])
 
 
 def outcome_label(route_changed, dom_changed, job_source) -> Column:
@@ -70,7 +71,7 @@ def link_rejection(href, label, resolved, source_url, structural: Column | None
 
 def filter_detail_links(links: DataFrame, page: str, source_url: str) -> DataFrame:
     """Adds reason; accepted links have none."""
-    return links.withColumn("reason", link_rejection("href", "label", "resolved", source_url))
+    return fence(links.withColumn("reason", link_rejection("href", "label", "resolved", source_url)), ["reason"])
 
 
 def distinct_links(links: DataFrame, keys, order: str = "pos") -> DataFrame:
@@ -101,7 +102,7 @@ def recruitment_entries(links: DataFrame, page: str) -> DataFrame:
     """Labelled recruitment links without negative wording, https only, first per address."""
     kind = K.entry_type("label", "resolved")
     low = F.lower(F.concat_ws(" ", "label", "resolved"))
-    good = links.withColumn("entry_type", kind).filter(
+    good = fence(links.withColumn("entry_type", kind), ["entry_type"]).filter(
         F.col("entry_type").isNotNull() & ~contains_any(low, V.ENTRY_NEGATIVE) & (U.scheme("resolved") == "https"))
     return first_by(good, [page, "resolved"], "pos")
 

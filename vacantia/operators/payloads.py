@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab as V
 from ..functions import jd as J, records as R
 from ..functions.text import c, let
+from .grouping import fence, first_by
 
 
 def resolve_payload(v, steps: list[str]) -> Column:
@@ -67,14 +68,12 @@ def embedded_detail(states: DataFrame, page: str, expected_title: str, depth: in
     """First job detail of a page's serialized states: credible text and a title that fits.
 
     States are rows; the first hit of a page is chosen by source index, then depth-first position."""
-    from .grouping import first_by
-
     objects = F.filter(F.concat(F.array(F.struct(F.lit("").alias("path"), F.lit(0).alias("depth"), R.kind("state").alias("kind"), F.col("state").alias("value"))),
                                 R.flat_entries("state", depth, keep="all")), lambda s: s["kind"].startswith("OBJECT"))
     df = states.withColumn("_o", F.explode(F.transform(objects, lambda s: F.struct(s["path"].alias("path"), s["value"].alias("value")))))
     df = df.withColumn("_r", R.as_record(F.col("_o.value"))).withColumn("_jd", J.pick_jd("_r"))
     title = R.first_text("_r", V.EMBEDDED_TITLE_KEYS)
-    good = df.filter(F.col("_jd.description").isNotNull() & J.credible_jd(F.col("_jd.description")) & J.loose_title_match(expected_title, title))
+    good = fence(df, ["_r", "_jd"]).filter(F.col("_jd.description").isNotNull() & J.credible_jd(F.col("_jd.description")) & J.loose_title_match(expected_title, title))
     rows = good.select(page, "source_index", F.split("_o.path", r"\.").alias("_at"), title.alias("title"), F.col("_jd.description").alias("full_jd"),
                        F.col("_jd.responsibilities").alias("responsibilities"), F.col("_jd.requirements").alias("requirements"))
     return first_by(rows, page, ["source_index", "_at"]).drop("_at")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as V
 from ..functions import records as R, urls as U
-from ..functions.text import c, lines, plain, strip, words
+from ..functions.text import c, lines, plain, strip
+from .grouping import fence
 
 
 def address_scope(df: DataFrame, url: str) -> DataFrame:
@@ -72,7 +73,7 @@ def map_moka(df: DataFrame, raw: str, detail: str, url: str, company: str) -> Da
         F.size("_parts")))
     parts, cut = F.coalesce(F.col("_parts"), F.expr(R.NO_STRINGS)), F.coalesce(F.col("_cut"), F.lit(0))
     link = F.concat(F.regexp_replace(c(url), "/+$", ""), F.lit("#/job/"), jid)
-    return df.withColumns({
+    df = df.withColumns({
         "company": c(company), "job_id": jid, "job_title": F.coalesce(d("title"), r("title")),
         "job_category": d("zhineng.name"), "department": d("department.name"),
         "locations": F.coalesce(F.array_distinct(F.filter(F.transform(d("locations", "array<variant>"), place), lambda x: x.isNotNull())), F.expr(R.NO_STRINGS)),
@@ -82,7 +83,8 @@ def map_moka(df: DataFrame, raw: str, detail: str, url: str, company: str) -> Da
         "requirements": F.slice(parts, cut + 1, F.size(parts)),
         "full_jd": F.nullif(F.array_join(parts, "\n"), F.lit("")), "detail_url": link, "apply_url": link,
         "publish_date": d("publishedAt"),
-    }).drop("_parts", "_cut").filter("job_id is not null and job_title is not null")
+    }).drop("_parts", "_cut")
+    return fence(df, ["job_id", "job_title"]).filter("job_id is not null and job_title is not null")
 
 
 def map_feishu(df: DataFrame, raw: str, url: str, site_path: str, company: str) -> DataFrame:
@@ -104,7 +106,7 @@ def map_feishu(df: DataFrame, raw: str, url: str, site_path: str, company: str)
         "full_jd": F.nullif(full, F.lit("")), "detail_url": link, "apply_url": link,
         "publish_date": R.epoch_millis_to_iso(v("publish_time", "bigint")),
     })
-    return out.filter("job_id is not null and job_title is not null")
+    return fence(out, ["job_id", "job_title"]).filter("job_id is not null and job_title is not null")
 
 
 def map_zhiye(df: DataFrame, raw: str, detail: str, url: str, company: str) -> DataFrame:
@@ -125,7 +127,7 @@ def map_zhiye(df: DataFrame, raw: str, detail: str, url: str, company: str) -> D
                                  F.when(string("locations").isNotNull(), F.array(string("locations"))),
                                  F.expr(R.NO_STRINGS)), lambda x: x != "")
     none = F.expr(R.NO_STRINGS)
-    return df.withColumns({
+    out = df.withColumns({
         "company": F.coalesce(text("company"), c(company)), "job_id": jid, "job_title": strip(string("job_title")),
         "job_category": text("category"), "department": text("department"), "locations": places,
         "recruitment_type": label, "education": text("education"), "major": text("major"),
@@ -133,7 +135,8 @@ def map_zhiye(df: DataFrame, raw: str, detail: str, url: str, company: str) -> D
         "responsibilities": F.coalesce(lines(string("duty")), none), "requirements": F.coalesce(lines(string("requirement")), none),
         "full_jd": F.nullif(F.concat_ws("\n\n", labelled("岗位职责", string("duty")), labelled("任职要求", string("requirement"))), F.lit("")),
         "detail_url": F.when(jid.isNotNull(), link), "publish_date": R.publish_date(string("publish_date")),
-    }).drop("_m", "_l").filter("job_title is not null")
+    }).drop("_m", "_l")
+    return fence(out, ["job_title"]).filter("job_title is not null")
 
 
 def _first(html, pattern) -> Column:

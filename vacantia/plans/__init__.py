@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 MODULES = ["addresses", "record_queries", "text_queries", "scoring_queries", "link_queries", "join_queries",
-           "summary_queries", "window_queries", "export_queries", "stream_queries"]
+           "summary_queries", "window_queries", "export_queries", "stream_queries", "flagship"]
 
 
 def load() -> dict:

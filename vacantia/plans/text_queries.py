@@ -197,7 +197,7 @@ def detail_pages(t):
   trim(regexp_replace(title, '{V.TITLE_TAIL}', ''), ' -|–—·') as brand, len(string_split_regex(title, '{V.TITLE_SEPARATOR}')) as parts from u)
 select page_id, 'Jobs at Brand ' || page_id as shown, 'Brand ' || page_id as company_by_title,
  case when title <> '' and parts = 1 and bare <> '' and length(bare) <= 30 and not regexp_matches(bare, '{V.TITLE_COMPANY_NOISE}') then trim(bare, ' -|–—')
-  when parts > 1 then nullif(trim(regexp_replace({S.strip(f"string_split_regex(title, '{V.TITLE_SEPARATOR}')[-1]")}, '(?i)\s+(?:jobs|careers)$', ''), ' -|–—'), '') end as company,
+  when parts > 1 then nullif(trim(regexp_replace({S.strip(f"string_split_regex(title, '{V.TITLE_SEPARATOR}')[-1]")}, '(?i)\\s+(?:jobs|careers)$', ''), ' -|–—'), '') end as company,
  case when title <> '' and parts = 1 and brand <> '' and length(brand) <= 30 and not regexp_matches(brand, '{V.TITLE_NOISE}') then brand end as brand,
  'Acme ' || page_id as by_ld_json, 'Site ' || page_id as by_meta, 'Tail ' || page_id as by_part from v""")
 def page_companies(t):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .. import vocab as V
 from ..functions import records as R, urls as U
@@ -46,7 +47,7 @@ def exchange_params(df: DataFrame, url: str, body: str) -> DataFrame:
     return df.withColumn("_p", U.page_params("params")).withColumns({"page": F.col("_p.page"), "page_size": F.col("_p.size")}).drop("_p")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(content, charset):
     """Bytes the JVM cannot decode: declared charset first, then GB18030."""
     import pandas as pd
@@ -96,7 +97,7 @@ def read_pages(spark: SparkSession, path: str, format_: str = "parquet") -> Data
     return spark.read.format(format_).load(path)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _state_texts(html):
     """JSON state texts of raw markup: JSON scripts in document order, then known window globals."""
     import json
