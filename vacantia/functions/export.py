@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import vocab as V
-from .text import c
+from .text import c, let
 
 
 def _quote_formula(x) -> Column:
-    return F.when(x.rlike(V.FORMULA_START), F.concat(F.lit("'"), x)).otherwise(x)
+    return F.regexp_replace(x, "^(?=[=+@-])", "'")
 
 
 def cell_body(text) -> Column:
@@ -20,10 +20,8 @@ def cell_body(text) -> Column:
 
 def sanitize_cell(text) -> Column:
     """Sheet cell: clean body, capped with a marker, formula start quoted (after the cap)."""
-    body = cell_body(text)
-    capped = F.when(F.length(body) > V.CELL_LIMIT, F.concat(
-        F.substring(body, 1, V.CELL_LIMIT - len(V.CELL_MARKER)), F.lit(V.CELL_MARKER))).otherwise(body)
-    return _quote_formula(capped)
+    return let(cell_body(text), lambda body: _quote_formula(F.when(F.length(body) > V.CELL_LIMIT, F.concat(
+        F.substring(body, 1, V.CELL_LIMIT - len(V.CELL_MARKER)), F.lit(V.CELL_MARKER))).otherwise(body)))
 
 
 def truncate_cell(text) -> Column:

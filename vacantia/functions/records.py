@@ -82,9 +82,10 @@ def string_value(v) -> Column:
 
 
 def is_blank_value(v) -> Column:
-    """Missing for membership tests: null, empty text, empty array.  Zero and false are values."""
-    return (c(v).isNull() | F.is_variant_null(c(v)) | (is_text(v) & (as_text(v) == ""))
-            | (as_text(v) == "[]"))
+    """Missing for membership tests: null, empty text, empty array (also one spelled as text).
+
+    Zero and false are values.  One read of the value decides."""
+    return F.coalesce(as_text(v).isin("", "[]"), F.lit(True))
 
 
 def path_get(v, path: str | None, type_: str = "variant") -> Column:
@@ -125,12 +126,11 @@ def pick_jd_field(record, names) -> Column:
 
     def candidate(e):
         position = F.array_position(exact, e["key"])
-        loose = F.array_position(folded, F.lower(e["key"]))
-        rank = F.when(position > 0, position).when(loose > 0, loose + 1000)
+        rank = F.when(position > 0, position).otherwise(F.array_position(folded, F.lower(e["key"])) + 1000)
         return F.struct(rank.alias("rank"), e["key"].alias("field"), string_value(e["value"]).alias("value"))
 
-    found = F.filter(F.transform(F.map_entries(c(record)), candidate),
-                     lambda s: s["rank"].isNotNull() & s["value"].isNotNull())
+    named = F.filter(F.map_entries(c(record)), lambda e: F.array_contains(folded, F.lower(e["key"])))
+    found = F.filter(F.transform(named, candidate), lambda s: s["value"].isNotNull())
     return let(F.array_min(found), lambda best: F.struct(best["field"].alias("field"), best["value"].alias("value")))
 
 
@@ -339,15 +339,18 @@ def epoch_millis_to_iso(ms) -> Column:
 
 def i18n(v) -> Column:
     """Readable label of a plain or translated value."""
-    member = lambda k: F.try_variant_get(c(v), f"$.{k}", "variant")
-    return F.coalesce(F.when(is_text(v), as_text(v)),
-                      *[F.when(is_text(member(k)) & (as_text(member(k)) != ""), as_text(member(k)))
-                        for k in V.I18N_KEYS])
+    def label(x):
+        members = F.array(*[F.try_variant_get(x, f"$.{k}", "variant") for k in V.I18N_KEYS])
+        texts = F.filter(members, lambda m: is_text(m) & (as_text(m) != ""))
+        return F.when(is_text(x), as_text(x)).otherwise(as_text(F.get(texts, F.lit(0))))
+
+    return let(c(v), label)
 
 
 def alias_field(record, name: str) -> Column:
     """First non-blank alias value as a variant."""
-    return F.coalesce(*[F.when(~is_blank_value(get(record, n)), get(record, n)) for n in V.ALIAS_FIELDS[name]])
+    values = F.transform(words(V.ALIAS_FIELDS[name]), lambda n: F.try_element_at(c(record), n))
+    return F.get(F.filter(values, lambda v: ~is_blank_value(v)), F.lit(0))
 
 
 def decode_envelope(payload, iv, payload_field: str = "data", key_field: str = "key") -> Column:

@@ -52,23 +52,34 @@ def key_sets(items) -> Column:
     return F.transform(sampled_records(items), lambda v: R.keys_within(v, 3))
 
 
-def homogeneity(sets) -> Column:
+def set_counts(sets) -> Column:
+    """array<struct<s,n>> of the distinct key sets, first seen first, with how often each occurs."""
+    from .text import let
+
+    return let(c(sets), lambda all_: F.transform(F.array_distinct(all_), lambda s: F.struct(
+        s.alias("s"), F.size(F.filter(all_, lambda t: t == s)).alias("n"))))
+
+
+def _total(counts, weight) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["n"] * weight(x["s"]))
+
+
+def homogeneity(counts) -> Column:
     """Mean overlap with the most common key set, the first one on ties, rounded to 4."""
-    sets = c(sets)
-    ranked = F.transform(sets, lambda s, i: F.struct(
-        F.size(F.filter(sets, lambda t: t == s)).alias("n"), (-i).alias("o"), s.alias("s")))
-    modal = F.array_max(ranked)["s"]
-    overlap = F.transform(sets, lambda s: F.size(F.array_intersect(s, modal))
-                          / F.greatest(F.size(F.array_union(s, modal)), F.lit(1)))
-    total = F.aggregate(overlap, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(sets) > 0, F.round(total / F.size(sets), 4)).otherwise(0.0)
+    from .text import let
+
+    def against(modal):
+        overlap = lambda s: F.size(F.array_intersect(s, modal)) / F.greatest(F.size(F.array_union(s, modal)), F.lit(1))
+        return F.round(_total(c(counts), overlap) / _total(c(counts), lambda s: F.lit(1.0)), 4)
+
+    ranked = F.transform(c(counts), lambda x, i: F.struct(x["n"].alias("n"), (-i).alias("o"), x["s"].alias("s")))
+    return F.when(F.size(c(counts)) > 0, let(F.array_max(ranked)["s"], against)).otherwise(0.0)
 
 
-def density(sets) -> Column:
+def density(counts) -> Column:
     """Share of job records among the key sets, rounded to 4."""
-    sets = c(sets)
-    return F.when(F.size(sets) > 0, F.round(
-        F.size(F.filter(sets, is_job_record)) / F.size(sets), 4)).otherwise(0.0)
+    return F.when(F.size(c(counts)) > 0, F.round(
+        _total(c(counts), lambda s: F.when(is_job_record(s), 1.0).otherwise(0.0)) / _total(c(counts), lambda s: F.lit(1.0)), 4)).otherwise(0.0)
 
 
 def is_job_array(items) -> Column:

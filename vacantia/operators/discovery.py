@@ -16,8 +16,8 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> Da
 
     All of it is row-wise over a bounded sample of each array, so no exchange meets another one."""
     df = df.withColumn("_arrays", R.arrays_in(payload, depth))
-    df = df.withColumn("_ranked", F.transform("_arrays", lambda a, i: let(K.key_sets(a["items"]), lambda s: let(
-        F.array_sort(F.array_distinct(F.flatten(s))), lambda f: F.struct(
+    df = df.withColumn("_ranked", F.transform("_arrays", lambda a, i: let(K.set_counts(K.key_sets(a["items"])), lambda s: let(
+        F.array_sort(F.array_distinct(F.flatten(F.transform(s, lambda x: x["s"])))), lambda f: F.struct(
             K.density(s).alias("density"), ((F.size(K.id_keys(f)) > 0) & (F.size(K.title_keys(f)) > 0)).alias("named"),
             K.homogeneity(s).alias("homogeneity"), F.least(a["n"], F.lit(100)).alias("bulk"), (-i).alias("o"),
             a["path"].alias("path"), a["n"].alias("n"), f.alias("fields"))))))

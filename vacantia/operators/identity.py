@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as V
 from ..functions import records as R, urls as U
-from ..functions.text import c, infer_field, words
+from ..functions.text import c, matches_role, words
 from .grouping import attach_group, fence, first_by, names
 
 
-def find_key(v, keys, depth: int = 3, infer: bool = False) -> Column:
-    """struct(field, value) of the first non-blank named key: own level first, then nested objects depth-first."""
+def find_key(entries, keys, infer: bool = False) -> Column:
+    """struct(field, value) of the first non-blank named key: own level first, then nested objects depth-first.
+
+    ``entries`` are the flattened members of the record, objects included."""
     order = words(keys)
-    rows = R.flat_entries(v, depth, keep="all")
+    rows = F.filter(c(entries), lambda s: ~s["kind"].startswith("OBJECT"))
     parts = lambda s: F.split(s["path"], r"\.")
     leaf = lambda s: F.element_at(parts(s), -1)
 
@@ -21,9 +23,8 @@ def find_key(v, keys, depth: int = 3, infer: bool = False) -> Column:
         exact = F.array_position(order, F.lower(leaf(s)))
         at = F.when(exact > 0, exact)
         if infer:
-            at = at.when(infer_field(F.array(leaf(s)), "id").isNotNull(), F.lit(1000).cast("bigint"))
-        usable = ~s["kind"].startswith("OBJECT") & ~R.is_blank_value(s["value"])
-        return F.when(usable & at.isNotNull(), F.struct(
+            at = at.when(matches_role(leaf(s), "id"), F.lit(1000).cast("bigint"))
+        return F.when(at.isNotNull() & ~R.is_blank_value(s["value"]), F.struct(
             F.slice(parts(s), F.lit(1), F.size(parts(s)) - 1).alias("parent"), at.alias("at"),
             leaf(s).alias("field"), R.as_text(s["value"]).alias("value")))
 
@@ -40,10 +41,11 @@ def job_identity(df: DataFrame, raw: str | None = None, url=None, title=None, lo
     blank = lambda x: F.coalesce(c(x).cast("string"), F.lit("")) if x is not None else F.lit("")
     tries = []
     if raw is not None:
+        df = df.withColumn("_find_members", R.flat_entries(raw, 3, keep="all"))
         for keys, source, infer in ((V.REQUISITION_KEYS, "REQUISITION_ID", False), (V.POSTING_KEYS, "JOB_POSTING_ID", False),
                                     (V.STABLE_KEYS, "STABLE_API_ID", True)):
             column = f"_find_{source}"
-            df = df.withColumn(column, find_key(raw, keys, infer=infer))
+            df = df.withColumn(column, find_key("_find_members", keys, infer=infer))
             tries.append(F.when(F.col(column).isNotNull(), F.struct(
                 F.lit(source).alias("s"), F.col(column)["value"].alias("v"), F.col(column)["field"].alias("f"))))
     if url is not None:

@@ -144,10 +144,10 @@ def run_issues(lines: DataFrame, run: str, text: str, kind: str) -> DataFrame:
 
 def sanitize_stats(df: DataFrame, run, text: str) -> DataFrame:
     """What cell sanitation changes, counted."""
-    n, x = F.count_if, F.col(text)
-    body = E.cell_body(x)
+    n, x, body = F.count_if, F.col(text), F.col("_body")
+    df = df.withColumn("_body", E.cell_body(text))
     return df.groupBy(*names(run)).agg(
-        n(E.sanitize_cell(x) != x).alias("cells_sanitized"), F.sum(F.regexp_count(x, F.lit(V.ILLEGAL_CONTROL)).cast("bigint")).alias("illegal_chars_removed"),
+        n((body != x) | (F.length(body) > V.CELL_LIMIT) | body.rlike(V.FORMULA_START)).alias("cells_sanitized"), F.sum(F.regexp_count(x, F.lit(V.ILLEGAL_CONTROL)).cast("bigint")).alias("illegal_chars_removed"),
         n(F.length(body) > V.CELL_LIMIT).alias("cells_truncated"), n(body.rlike(V.FORMULA_START)).alias("formula_escaped"))
 
 

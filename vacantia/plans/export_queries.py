@@ -125,7 +125,7 @@ def translated_jobs(t):
     kind = F.when(F.col("o_orderstatus") == "F", F.lit('{"i18n_name":"实习"}')).otherwise(F.lit('{"i18n_name":"","parent":{"id":1,"zh_cn":"社招"}}'))
     raw = F.concat(F.lit('{"code":0,"data":{"count":1,"job_post_list":[{"id":"'), "o_orderkey", F.lit('","title":"T'), "o_custkey", F.lit('","description":"do '), "o_custkey", F.lit('","requirement":"know '), "o_orderpriority",
                    F.lit('","city_list":[{"i18n_name":"Lyon"},{"name":"Lyon"}],"recruit_type":'), kind, F.lit(',"publish_time":'), F.unix_millis(F.col("o_orderdate").cast("timestamp")), F.lit("}]}}"))
-    df = t.orders.withColumn("l", PR.list_payload(R.parse(raw), "feishu")).select("o_orderkey", F.explode("l.records").alias("raw")).withColumns(
+    df = I.spread(t.orders, "o_orderkey").withColumn("l", PR.list_payload(R.parse(raw), "feishu")).select("o_orderkey", F.explode("l.records").alias("raw")).withColumns(
         {"url": F.lit("https://t.jobs.feishu.cn/index"), "path": F.lit("site"), "co": F.lit("Co")})
     out = PR.map_feishu(df, "raw", "url", "path", "co")
     return out.select("o_orderkey", "job_id", "job_title", "publish_date", F.array_join("locations", "|").alias("locations"), "recruitment_type", "detail_url", "full_jd")
@@ -139,7 +139,7 @@ def alias_jobs(t):
     lst = F.concat(F.lit('{"Code":200,"Count":1,"Data":{"Rows":[{"Id":'), "o_orderkey", F.lit(',"JobAdName":" T '), "o_custkey", F.lit('","CategoryId":"'), cat, F.lit('","Duty":"","LocNames":["X","Y"],"PostDate":"'),
                    F.when(F.col("o_orderstatus") == "P", "0001-01-01").otherwise("2024-05-06"), F.lit('"}]}}'))
     det = R.parse(F.concat(F.lit('{"Duty":" a ","Require":"'), "o_orderpriority", F.lit('"}')))
-    df = t.orders.withColumn("l", PR.list_payload(R.parse(lst), "zhiye")).select("o_orderkey", "o_orderpriority", F.explode("l.records").alias("raw"))
+    df = I.spread(t.orders, "o_orderkey").withColumn("l", PR.list_payload(R.parse(lst), "zhiye")).select("o_orderkey", "o_orderpriority", F.explode("l.records").alias("raw"))
     df = df.withColumns({"detail": det, "url": F.lit("https://c.zhiye.com/jobs"), "co": F.lit("Tenant")})
     out = PR.map_zhiye(df, "raw", "detail", "url", "co")
     return out.select("o_orderkey", "job_id", "job_title", "recruitment_type", "full_jd", "detail_url", "publish_date", "company", F.array_join("locations", "|").alias("locations"))
@@ -186,8 +186,8 @@ _MD = "replace(regexp_replace(replace(replace(replace(replace(s, '&', '&amp;'),
 select doc_id, sha256({_QUOTE('capped')}) as cell, length({_QUOTE('capped')}) as cell_length, sha256({_QUOTE('one')}) as csv, sha256(md) as markdown, length(s) > 32767 as truncated from k""")
 def export_cells(t):
     """Sheet, CSV and Markdown forms of whole texts."""
-    df = t.documents.select("doc_id", F.expr(_SPARK_CELL).alias("s"))
-    return df.select("doc_id", digest(E.sanitize_cell("s")).alias("cell"), F.length(E.sanitize_cell("s")).cast("bigint").alias("cell_length"), digest(E.csv_cell("s")).alias("csv"),
+    df = I.spread(t.documents, "doc_id").select("doc_id", F.expr(_SPARK_CELL).alias("s")).withColumn("cell", E.sanitize_cell("s"))
+    return df.select("doc_id", digest("cell").alias("cell"), F.length("cell").cast("bigint").alias("cell_length"), digest(E.csv_cell("s")).alias("csv"),
                      digest(E.md_inline("s")).alias("markdown"), E.truncate_cell("s")["truncated"].alias("truncated"))
 
 

@@ -29,6 +29,14 @@ URL_FORMS = [
 ]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a small input among all cores before row-wise work.
+
+    Only an input with fewer partitions than cores moves; a large table is read as its splits lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _spark_sql(expr: str) -> str:
     return expr.replace("as varchar", "as string")
 
@@ -51,7 +59,7 @@ BODY = ("case lang when 'en' then concat('Intro', chr(10), 'Responsibilities:',
 
 
 def postings(t) -> DataFrame:
-    return t.documents.selectExpr("doc_id", "lang", "source", "n_chars", "text", f"{_spark_sql(TITLE)} as title",
+    return spread(t.documents, "doc_id").selectExpr("doc_id", "lang", "source", "n_chars", "text", f"{_spark_sql(TITLE)} as title",
                                   f"{_spark_sql(BODY)} as body")
 
 
@@ -108,7 +116,7 @@ def exchanges(t) -> DataFrame:
     """entry_index, run_id, lang, url, payload_json, payload (variant), n_lines."""
     from ..functions import records as R
 
-    return (t.documents.withColumn("payload_json", F.expr(PAYLOAD_SQL))
+    return (spread(t.documents, "doc_id").withColumn("payload_json", F.expr(PAYLOAD_SQL))
             .withColumn("url", F.expr(_spark_sql(EXCHANGE_URL)))
             .withColumn("payload", R.parse("payload_json"))
             .withColumnRenamed("doc_id", "entry_index").withColumnRenamed("source", "run_id"))
@@ -158,7 +166,7 @@ PAGE_HTML = (f"concat('<html><head><title>Jobs at Brand ', {PAGE}, '</title></he
 
 
 def pages(t) -> DataFrame:
-    return t.pages.selectExpr("page_id", "url", f"{_spark_sql(PAGE_HTML)} as html")
+    return spread(t.pages, "page_id").selectExpr("page_id", "url", f"{_spark_sql(PAGE_HTML)} as html")
 
 
 PAGES = f"captured as (select page_id, url, {PAGE_HTML} as html from pages)"

@@ -208,7 +208,7 @@ def opened_envelopes(t):
     sealed = F.aes_encrypt(F.encode(plain, "UTF-8"), F.encode(key, "UTF-8"), F.lit("CBC"), F.lit("PKCS"), F.encode(iv, "UTF-8"))
     body = F.base64(F.substring(sealed, F.lit(17), F.length(sealed)))
     broken = F.when(F.col("o_orderstatus") == "P", F.lit("AAAA")).otherwise(body)
-    df = t.orders.withColumn("v", R.parse(F.to_json(F.struct(broken.alias("data"), key.alias("necromancer")))))
+    df = I.spread(t.orders, "o_orderkey").withColumn("v", R.parse(F.to_json(F.struct(broken.alias("data"), key.alias("necromancer")))))
     return df.select("o_orderkey", F.try_variant_get(R.decode_envelope("v", iv, key_field="necromancer"), "$.id", "bigint").alias("id"))
 
 
