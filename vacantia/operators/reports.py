@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab as V, __version__
 from ..functions import company as C, export as E, redact as X
 from ..functions.text import c
-from .grouping import names, running_total
+from .grouping import attach_group, running_total
 from .windows import collision_ordinal
 
 
@@ -106,8 +106,8 @@ def report_lines(runs: DataFrame, jobs: DataFrame, run: str, order: str, full_li
                    label("Expected", "total_expected", "None"), label("Fetched", "total_fetched"), label("Unique", "total_unique"), label("Status", "status"), F.lit(""),
                    F.lit("## Jobs"), F.lit(""))
     overview = runs.select(run, F.lit(0).cast("bigint").alias("job_no"), F.posexplode(head).alias("line_no", "line"))
-    sizes = jobs.groupBy(run).agg((F.count("*") <= full_limit).alias("_full"))
-    rows = numbered_jobs(jobs, run, order).join(sizes, run)
+    sizes = jobs.groupBy(run).agg(F.count("*").alias("_size"))
+    rows = attach_group(numbered_jobs(jobs, run, order), sizes, run, "_size", F.col(order)).withColumn("_full", F.col("_size") <= full_limit)
     body = F.array(F.concat(F.lit("### "), F.col("job_no").cast("string"), F.lit(". "), md("job_title")), F.lit(""),
                    F.concat(F.lit("- Location: "), md(F.coalesce(F.nullif(E.locations_text("locations"), F.lit("")), F.lit("Unknown")))),
                    label("Category", "job_category"), label("Department", "department"), label("Recruitment Type", "recruitment_type"), label("Detail", "detail_url", ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as V
 from ..functions.text import c
@@ -91,9 +91,8 @@ def peak_concurrency(tasks: DataFrame, run: str, start: str, end: str, block_sec
 
 
 def collision_ordinal(df: DataFrame, keys, order: str) -> DataFrame:
-    """Adds ordinal: 1 for the first run of a folder and stamp, then 2, 3, ..."""
-    w = Window.partitionBy(*names(keys)).orderBy(order)
-    return df.withColumn("ordinal", F.row_number().over(w))
+    """Adds ordinal: 1 for the first run of a folder and stamp, then 2, 3, ...  ``order`` is integral."""
+    return running_total(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {"ordinal": "_one"}).drop("_one")
 
 
 def cap_jobs(df: DataFrame, run: str, order: str, max_jobs: int) -> DataFrame:

@@ -59,3 +59,16 @@ def stream_task_states(t):
     folder = Z._folder(t.spark)
     Z.snapshot_states(df, "user_id", "k", "state", "event_id", folder)
     return Z.latest_snapshot(t.spark, folder).select("user_id", "k", "state", "updates")
+
+
+@query("S8 S9", """select user_id::varchar as run_id, event_id as job_id, case event_type when 'error' then 'FAILED' when 'view' then 'SUCCESS' else 'PENDING' end as state from events""")
+def checkpointed_states(t):
+    """Task states written as a checkpoint, one run rewritten in place, and read back."""
+    from ..sources import sinks
+
+    state = F.expr("case event_type when 'error' then 'FAILED' when 'view' then 'SUCCESS' else 'PENDING' end")
+    states = t.events.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("job_id"), state.alias("state"))
+    folder = Z._folder(t.spark)
+    sinks.write_checkpoint(states.withColumn("state", F.lit("PENDING")), folder)
+    sinks.write_checkpoint(states, folder)
+    return sinks.read_checkpoint(t.spark, folder, "job_id bigint, state string").select("run_id", "job_id", "state")

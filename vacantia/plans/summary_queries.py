@@ -278,7 +278,7 @@ select run_id, count(*) filter (body <> s or length(body) > 32767 or regexp_matc
 def sanitation_stats(t):
     """Cells an export has to change, by kind."""
     cell = F.expr("case lang when 'en' then concat('=', text) when 'fr' then concat(chr(7), text, chr(13), chr(10), 'x') when 'de' then repeat(concat(text, ' '), 40) else text end")
-    return M.sanitize_stats(t.documents.select(F.col("source").alias("run_id"), cell.alias("cell")), "run_id", "cell")
+    return M.sanitize_stats(I.spread(t.documents, "doc_id").select(F.col("source").alias("run_id"), cell.alias("cell")), "run_id", "cell")
 
 
 _SITES = """sites as (select event_id as site, value as seconds, case when event_id % 11 = 0 then 'dns down' when event_id % 13 = 0 then 'TargetClosed in browser' when event_id % 17 = 0 then 'page loop' else '' end as reason,

@@ -76,7 +76,7 @@ def peak_concurrency(t):
     return W.peak_concurrency(tasks, "user_id", "start", "end")
 
 
-@query("W13", """select event_id, row_number() over (partition by event_type, date_trunc('hour', ts) order by event_id) as ordinal from events""".replace("row_number() over (partition by event_type, date_trunc('hour', ts) order by event_id) as ordinal", "(row_number() over (partition by event_type, date_trunc('hour', ts) order by event_id))::integer as ordinal"))
+@query("W13", """select event_id, row_number() over (partition by event_type, date_trunc('hour', ts) order by event_id) as ordinal from events""")
 def collision_ordinals(t):
     """Ordinal of runs that share a folder and a stamp."""
     df = t.events.select("event_id", "event_type", F.date_trunc("hour", "ts").alias("stamp"))

@@ -1,4 +1,7 @@
-"""File sinks and checkpoints.  Writers hand the work to Spark's committers; nothing passes the driver."""
+"""File sinks and checkpoints.  Writers hand the work to Spark's committers; nothing passes the driver.
+
+Rows are rebalanced by folder before a partitioned write: few files per folder, and a large folder is still
+split over many tasks."""
 
 from __future__ import annotations
 
@@ -35,12 +38,12 @@ def write_report(lines: DataFrame, run: str, path: str) -> None:
 
 def write_layout(rows: DataFrame, path: str, format_: str = "parquet") -> None:
     """Rows that carry outcome, company_dir, stamp into the run folder layout."""
-    rows.write.mode("append").partitionBy("outcome", "company_dir", "stamp").format(format_).save(path)
+    rows.hint("rebalance", "outcome", "company_dir", "stamp").write.mode("append").partitionBy("outcome", "company_dir", "stamp").format(format_).save(path)
 
 
 def write_checkpoint(states: DataFrame, path: str) -> None:
     """Replace the checkpoint of exactly the runs present; a failed write leaves the old files."""
-    stamped = states.withColumn("format", F.lit(CHECKPOINT_FORMAT))
+    stamped = states.withColumn("format", F.lit(CHECKPOINT_FORMAT)).hint("rebalance", "run_id")
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
 
 
