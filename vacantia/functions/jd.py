@@ -45,11 +45,8 @@ def is_bot_challenge(html) -> Column:
 def pick_jd(record) -> Column:
     """struct(description, description_field, responsibilities(_field), requirements(_field), state)."""
     def wrapped(own, names):
-        tries = [own]
-        for w in V.JD_WRAPPERS:
-            inner = R.pick_jd_field(R.as_record(R.get(record, w)), names)
-            tries.append(F.struct(F.concat(F.lit(w + "."), inner["field"]).alias("field"), inner["value"].alias("value")))
-        return F.get(F.filter(F.array(*tries), lambda t: t["value"].isNotNull()), F.lit(0))
+        tries = F.array(own, R.pick_wrapped_field(record, V.JD_WRAPPERS, names))
+        return F.get(F.filter(tries, lambda t: t["value"].isNotNull()), F.lit(0))
 
     def described(p):
         d, duty, need = p["d"], p["duty"], p["need"]

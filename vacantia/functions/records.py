@@ -76,9 +76,8 @@ def text_of(v) -> Column:
 
 def string_value(v) -> Column:
     """Non-blank text of a string, or of the first text-bearing member of an object; kept verbatim."""
-    keep = lambda x: F.when(is_text(x) & (strip(as_text(x)) != ""), as_text(x))
-    inner = lambda k: let(F.try_variant_get(c(v), f"$.{k}", "variant"), keep)
-    return F.coalesce(keep(c(v)), *[inner(k) for k in V.TEXT_OBJECT_KEYS])
+    tries = F.array(c(v), *[F.try_variant_get(c(v), f"$.{k}", "variant") for k in V.TEXT_OBJECT_KEYS])
+    return as_text(F.get(F.filter(tries, lambda x: is_text(x) & (strip(as_text(x)) != "")), F.lit(0)))
 
 
 def is_blank_value(v) -> Column:
@@ -120,20 +119,35 @@ def resolve(v, names) -> Column:
     return F.coalesce(*dotted, *flat, F.get(nested, F.lit(0)))
 
 
-def pick_jd_field(record, names) -> Column:
-    """struct(field, value): exact spelling in alias order first, then spelling without case."""
+def _pick_named(entries, names) -> Column:
+    """Best (field, value) among array<struct<base,at,key,value>>: lowest base, then exact spelling in alias
+    order, then spelling without case."""
     exact, folded = words(names), words([n.lower() for n in names])
 
     def candidate(e):
         position = F.array_position(exact, e["key"])
         rank = F.when(position > 0, position).otherwise(F.array_position(folded, F.lower(e["key"])) + 1000)
-        return F.struct(rank.alias("rank"), e["key"].alias("field"), string_value(e["value"]).alias("value"))
+        return F.struct((e["base"] + rank).alias("rank"), e["at"].alias("field"), string_value(e["value"]).alias("value"))
 
-    named = F.filter(F.map_entries(c(record)), lambda e: F.array_contains(folded, F.lower(e["key"])))
+    named = F.filter(entries, lambda e: F.array_contains(folded, F.lower(e["key"])))
     found = F.filter(F.transform(named, candidate), lambda s: s["value"].isNotNull())
     return let(F.array_min(found), lambda best: F.struct(best["field"].alias("field"), best["value"].alias("value")))
 
 
+def pick_jd_field(record, names) -> Column:
+    """struct(field, value): exact spelling in alias order first, then spelling without case."""
+    return _pick_named(F.transform(F.map_entries(c(record)), lambda e: F.struct(
+        F.lit(0).alias("base"), e["key"].alias("at"), e["key"].alias("key"), e["value"].alias("value"))), names)
+
+
+def pick_wrapped_field(record, wrappers, names) -> Column:
+    """The same one level down, inside well-known wrapper objects, the first wrapper first."""
+    members = F.flatten(F.transform(words(wrappers), lambda w, i: F.transform(
+        F.coalesce(F.map_entries(as_record(F.try_element_at(c(record), w))), F.expr("cast(array() as array<struct<key:string,value:variant>>)")),
+        lambda e: F.struct((i * 10000).alias("base"), F.concat(w, F.lit("."), e["key"]).alias("at"), e["key"].alias("key"), e["value"].alias("value")))))
+    return _pick_named(members, names)
+
+
 def deep_pick(v, role: str, depth: int = 3) -> Column:
     """struct(path, value): breadth-first, nearest level first; strings, ``*name`` keys and short keys win."""
     def best(record):

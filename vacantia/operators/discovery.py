@@ -16,11 +16,14 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> Da
 
     All of it is row-wise over a bounded sample of each array, so no exchange meets another one."""
     df = df.withColumn("_arrays", R.arrays_in(payload, depth))
-    df = df.withColumn("_ranked", F.transform("_arrays", lambda a, i: let(K.set_counts(K.key_sets(a["items"])), lambda s: let(
-        F.array_sort(F.array_distinct(F.flatten(F.transform(s, lambda x: x["s"])))), lambda f: F.struct(
-            K.density(s).alias("density"), ((F.size(K.id_keys(f)) > 0) & (F.size(K.title_keys(f)) > 0)).alias("named"),
-            K.homogeneity(s).alias("homogeneity"), F.least(a["n"], F.lit(100)).alias("bulk"), (-i).alias("o"),
-            a["path"].alias("path"), a["n"].alias("n"), f.alias("fields"))))))
+    df = df.withColumn("_sets", F.transform("_arrays", lambda a: K.key_sets(a["items"])))
+    df = df.withColumn("_counts", F.transform("_sets", K.set_counts))
+    df = df.withColumn("_fields", F.transform("_sets", lambda s: F.array_sort(F.array_distinct(F.flatten(s)))))
+    df = df.withColumn("_ranked", F.transform("_arrays", lambda a, i: F.struct(
+        K.density(F.get("_counts", i)).alias("density"),
+        ((F.size(K.id_keys(F.get("_fields", i))) > 0) & (F.size(K.title_keys(F.get("_fields", i))) > 0)).alias("named"),
+        K.homogeneity(F.get("_counts", i)).alias("homogeneity"), F.least(a["n"], F.lit(100)).alias("bulk"), (-i).alias("o"),
+        a["path"].alias("path"), a["n"].alias("n"), F.get("_fields", i).alias("fields"))))
     df = df.withColumn("_best", F.array_max("_ranked"))
     df = df.withColumn("_items", F.get(F.filter("_arrays", lambda a: a["path"] == F.col("_best.path")), F.lit(0))["items"])
     none = F.expr(R.NO_STRINGS)
@@ -46,7 +49,7 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> Da
     })
     df = df.withColumn("confidence", K.confidence("score"))
     out = ["list_path", "list_length", "homogeneity", "density", "fields", "sample_fields", "reasons", "total_path", "total", "score", "evidence", "id_field", "title_field", "confidence"]
-    return fence(df.drop("_arrays", "_ranked", "_best", "_items", "_top", "_object", "_total"), out)
+    return fence(df.drop("_arrays", "_sets", "_counts", "_fields", "_ranked", "_best", "_items", "_top", "_object", "_total"), out)
 
 
 def score_details(df: DataFrame, url: str, payload: str) -> DataFrame:

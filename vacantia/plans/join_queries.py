@@ -81,7 +81,7 @@ def bound_cards(t):
     """Records bound to rendered cards by id token, else by unique title."""
     p = I.postings(t)
     records = p.select("doc_id", F.expr("case when lang in ('en', 'de') then concat('J', doc_id) else concat('zz', doc_id) end").alias("rid"), "title")
-    cards = t.documents.select(F.col("doc_id").alias("card_key"), "text", F.expr("case when lang = 'en' then concat('/jobs/J', doc_id, '?x=1') when lang = 'de' then concat('J', doc_id) else '' end").alias("blob"))
+    cards = I.spread(t.documents, "doc_id").select(F.col("doc_id").alias("card_key"), "text", F.expr("case when lang = 'en' then concat('/jobs/J', doc_id, '?x=1') when lang = 'de' then concat('J', doc_id) else '' end").alias("blob"))
     return A.bind_cards(records, cards, "rid", "title", "card_key", "text", F.col("blob")).select("doc_id", "candidates", "card", "outcome")
 
 
