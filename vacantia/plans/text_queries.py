@@ -38,11 +38,11 @@ def job_completeness(t):
 _VISIBLE = f"{S.strip('''regexp_replace(regexp_replace(h, '(?s)<script.*?</script>', '', 'g'), '<[^>]+>', '', 'g')''')}"
 
 
-@query("F7", f"""with p as (select page_id, page_id % 2 = 0 as short, case when page_id % 2 = 0 then html[1:150] || '<script>document.cookie="a"</script>' else html end as h from pages)
+@query("F7", f"""with p as (select page_id, page_id % 2 = 0 as short, case when page_id % 2 = 0 then '<p>' || url || '</p><script>document.cookie="a"</script>' else html end as h from pages)
 select page_id, coalesce(length(h) between 1 and 5000 and length({_VISIBLE}) < 200 and regexp_matches(h, '(?i)cookie|ssid|challenge|verify'), false) as challenge from p""")
 def bot_challenges(t):
-    """Near-empty pages that only compute a cookie; every other page is a cut shell with such a script."""
-    shell = F.concat(F.substring("html", 1, 150), F.lit('<script>document.cookie="a"</script>'))
+    """Near-empty pages that only compute a cookie; every other page is captured as such a shell."""
+    shell = F.concat(F.lit("<p>"), "url", F.lit('</p><script>document.cookie="a"</script>'))
     return t.pages.select("page_id", J.is_bot_challenge(F.when(F.col("page_id") % 2 == 0, shell).otherwise(F.col("html"))).alias("challenge"))
 
 
@@ -101,15 +101,15 @@ def rendered_sections(t):
     return df.select("doc_id", F.size("s.responsibilities").cast("bigint").alias("duties"), F.size("s.requirements").cast("bigint").alias("needs"))
 
 
-_CARD = "concat('T', cast(doc_id as varchar), chr(10), '[岗位职责] ', replace(substr(text, 1, 30 + n_chars % 30), chr(10), ' '), chr(10), '任职要求：', cast(n_chars as varchar), repeat('x', n_chars % 60))"
-_PART = "replace(substr(text, 1, 30 + n_chars % 30), chr(10), ' ')"
+_CARD = "concat('T', cast(doc_id as varchar), chr(10), '[岗位职责] ', replace(text, chr(10), ' '), chr(10), '任职要求：', cast(n_chars as varchar), repeat('x', n_chars % 60))"
+_PART = "replace(text, chr(10), ' ')"
 
 
 @query("J7", f"""with d as (select doc_id, n_chars, {S.strip(f"regexp_replace({_PART}, '[ \t]+', ' ', 'g')")} as r, n_chars::varchar || repeat('x', n_chars % 60) as q from documents)
 select doc_id, case when length(r) >= 40 then r end as responsibilities, case when length(q) >= 40 then q end as requirements from d""")
 def card_halves(t):
     """Two labelled halves of a card; short halves do not count."""
-    card = F.expr(_CARD.replace("as varchar", "as string").replace("n_chars % 30", "cast(n_chars % 30 as int)").replace("n_chars % 60", "cast(n_chars % 60 as int)"))
+    card = F.expr(_CARD.replace("as varchar", "as string").replace("n_chars % 60", "cast(n_chars % 60 as int)"))
     df = t.documents.withColumn("s", J.card_sections(card))
     return df.select("doc_id", "s.responsibilities", "s.requirements")
 
@@ -168,9 +168,9 @@ def page_lines(t):
 
 
 # a detail page around each document
-_DETAIL = ("concat('<html><nav>x</nav><h1>Role ', cast(doc_id as varchar), '</h1><h3>', case lang when 'es' then 'Other' else '岗位职责：' end, '</h3><p>', replace(replace(substr(text, 1, 400), '<', ' '), '&', ' '), '</p>', "
+_DETAIL = ("concat('<html><nav>x</nav><h1>Role ', cast(doc_id as varchar), '</h1><h3>', case lang when 'es' then 'Other' else '岗位职责：' end, '</h3><p>', replace(replace(text, '<', ' '), '&', ' '), '</p>', "
            "case lang when 'fr' then '' else '<h3>任职要求</h3><p>need one</p><p>need two</p>' end, '<h3>About us</h3><p>tail</p></html>')")
-_DLINES = "list_filter(list_transform(string_split(replace(replace(substr(text, 1, 400), '<', ' '), '&', ' '), chr(1)), lambda x: " + S.squeeze('x') + "), lambda x: x <> '')"
+_DLINES = "list_filter(list_transform(string_split(replace(replace(text, '<', ' '), '&', ' '), chr(1)), lambda x: " + S.squeeze('x') + "), lambda x: x <> '')"
 
 
 @query("T2", f"""with d as (select doc_id, lang, {_DLINES} as l from documents),
