@@ -47,22 +47,27 @@ def exchange_params(df: DataFrame, url: str, body: str) -> DataFrame:
     return df.withColumn("_p", U.page_params("params")).withColumns({"page": F.col("_p.page"), "page_size": F.col("_p.size")}).drop("_p")
 
 
-@F.pandas_udf(StringType())
-def _decode_other(content, charset):
-    """Bytes the JVM cannot decode: declared charset first, then GB18030."""
-    import pandas as pd
+def _other_decoder():
+    """UDF for bytes the JVM cannot decode: declared charset first, then GB18030.
 
-    def one(data, declared):
-        if data is None:
+    Built inside a function, so executors receive the code itself and need no copy of this package."""
+
+    def decode(content, charset):
+        import pandas as pd
+
+        def one(data, declared):
+            if data is None:
+                return None
+            for name in (declared, "utf-8-sig", "gb18030"):
+                try:
+                    return bytes(data).decode(name)
+                except (UnicodeDecodeError, LookupError):
+                    continue
             return None
-        for name in (declared, "utf-8-sig", "gb18030"):
-            try:
-                return data.decode(name)
-            except (UnicodeDecodeError, LookupError):
-                continue
-        return None
 
-    return pd.Series([one(d, n) for d, n in zip(content, charset)])
+        return pd.Series([one(d, n) for d, n in zip(content, charset)])
+
+    return F.pandas_udf(decode, StringType())
 
 
 def decode_charset(content, content_type) -> Column:
@@ -71,7 +76,7 @@ def decode_charset(content, content_type) -> Column:
     Valid UTF-8 stays in the JVM; only the remaining bytes travel to Python, in Arrow batches."""
     declared = F.lower(F.regexp_extract(c(content_type), r"(?i)charset\s*=\s*([\w.-]+)", 1))
     ours = declared.isin("", "utf-8", "utf8", "utf-8-sig") & F.is_valid_utf8(c(content).cast("string"))
-    other = _decode_other(F.when(~ours, c(content)), F.when(~ours, F.when(declared != "", declared).otherwise("utf-8")))
+    other = _other_decoder()(F.when(~ours, c(content)), F.when(~ours, F.when(declared != "", declared).otherwise("utf-8")))
     return F.when(ours, F.regexp_replace(F.decode(c(content), "UTF-8"), "^﻿", "")).otherwise(other)
 
 
@@ -97,36 +102,40 @@ def read_pages(spark: SparkSession, path: str, format_: str = "parquet") -> Data
     return spark.read.format(format_).load(path)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _state_texts(html):
-    """JSON state texts of raw markup: JSON scripts in document order, then known window globals."""
-    import json
-    import re
+def _state_scanner(names):
+    """UDF for the JSON state texts of raw markup: JSON scripts in document order, then the named globals."""
+    known = "|".join(names)
+
+    def scan(html):
+        import json
+        import re
 
-    import pandas as pd
+        import pandas as pd
 
-    script = re.compile(r"<script\b([^>]*)>(.*?)</script>", re.S | re.I)
-    assign = re.compile(r"window\.(" + "|".join(V.WINDOW_STATES) + r")\s*=\s*([^{\[]{0,4096})\{")
-    decoder = json.JSONDecoder()
+        script = re.compile(r"<script\b([^>]*)>(.*?)</script>", re.S | re.I)
+        assign = re.compile(r"window\.(" + known + r")\s*=\s*([^{\[]{0,4096})\{")
+        decoder = json.JSONDecoder()
 
-    def one(markup):
-        found = []
-        for attributes, body in script.findall(markup or ""):
-            low = attributes.lower()
-            if "application/json" in low or "__next_data__" in low:
+        def one(markup):
+            found = []
+            for attributes, body in script.findall(markup or ""):
+                low = attributes.lower()
+                if "application/json" in low or "__next_data__" in low:
+                    try:
+                        found.append(json.dumps(json.loads(body.strip()), ensure_ascii=False))
+                    except ValueError:
+                        continue
+            for match in assign.finditer(markup or ""):
                 try:
-                    found.append(json.dumps(json.loads(body.strip()), ensure_ascii=False))
+                    value, _ = decoder.raw_decode(markup, match.end() - 1)
+                    found.append(json.dumps(value, ensure_ascii=False))
                 except ValueError:
                     continue
-        for match in assign.finditer(markup or ""):
-            try:
-                value, _ = decoder.raw_decode(markup, match.end() - 1)
-                found.append(json.dumps(value, ensure_ascii=False))
-            except ValueError:
-                continue
-        return found
+            return found
+
+        return pd.Series([one(m) for m in html])
 
-    return pd.Series([one(m) for m in html])
+    return F.pandas_udf(scan, ArrayType(StringType()))
 
 
 def embedded_states(df: DataFrame, html: str) -> DataFrame:
@@ -135,5 +144,5 @@ def embedded_states(df: DataFrame, html: str) -> DataFrame:
     Pages without any state marker are dropped in the JVM before the scan."""
     marked = df.filter(c(html).contains("window.__") | F.lower(c(html)).contains("application/json") | c(html).contains("__NEXT_DATA__"))
     rest = [n for n in df.columns if n != html]
-    out = marked.select(*rest, _state_texts(c(html)).alias("_s")).select(*rest, F.posexplode("_s").alias("source_index", "_t"))
+    out = marked.select(*rest, _state_scanner(V.WINDOW_STATES)(c(html)).alias("_s")).select(*rest, F.posexplode("_s").alias("source_index", "_t"))
     return out.select(*rest, "source_index", R.parse("_t").alias("state"))
