@@ -1 +1,9 @@
-"""Operators for preparing language-model training data.  Nothing else in the library imports this package."""
+"""Operators for preparing language-model training data.  Nothing else in the library imports this package.
+
+Functions that run inside tasks travel by value, so executors need no copy of the package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

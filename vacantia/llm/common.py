@@ -5,23 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import configure
 
+# whole texts go to Python in batches of bounded size
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
 # white space of the contracts: blank and U+0009 to U+000D, and nothing else
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def by_value(module) -> None:
-    """Ship the functions of a module inside the task, so executors need no copy of this package."""
-    cloudpickle.register_pickle_by_value(module)
-
-
 def session(spark: SparkSession) -> SparkSession:
     """The session with the settings that the operators rely on."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     return configure(spark)
 
 
@@ -73,3 +72,15 @@ def hash128(*columns: Column) -> list[Column]:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; texts of one byte per character take the fast built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def slices(texts: list, most: int = 1 << 20):
+    """Runs of texts of about ``most`` characters each, to bound what one step holds; a longer text stands alone."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > most:
+            yield start, i
+            start, size = i, 0
+        size += len(text or "")
+    if start < len(texts):
+        yield start, len(texts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup
+from . import line_dedup, quality, simhash
 from .common import session
 
 QUERIES, ORACLES = {}, {}
@@ -46,3 +46,16 @@ def op1_line_dedup(table) -> DataFrame:
     """Documents without the lines that ten or more of them share."""
     out = line_dedup.dedup_lines(table("documents"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_simhash(table) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.clusters(table("documents"), shingle=3, most=3)
+
+
+@query()
+def op10_quality(table) -> DataFrame:
+    """Measures, base rule and verdict of every document."""
+    out = quality.judge(table("documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
