@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,7 +14,7 @@ WINDOW = 8
 
 # votes of the rules: (name, good when, bad when); a rule abstains where neither holds
 RULES = {
-    "length": ("n_words >= 40", "n_words < 20"),
+    "length": ("n_words >= 50", "n_words < 5"),
     "word_length": ("word_chars >= 3 * n_words and word_chars <= 10 * n_words", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     "symbols": ("50 * n_symbols <= n_words", "5 * n_symbols > n_words"),
     "letters": ("100 * n_letters >= 85 * word_chars", "100 * n_letters < 65 * word_chars"),
@@ -104,23 +102,28 @@ def votes() -> dict[str, Column]:
     return {name: F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for name, (good, bad) in RULES.items()}
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[float]]:
-    """Expectation-maximisation over vote patterns and their counts: share of good documents, accuracy per rule.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
+    """Expectation-maximisation over vote patterns and their counts, two classes, rules independent within a class.
 
-    Accuracies stay above one half, so that the rules' own meaning names the classes."""
+    Returns the log odds of a good document before any vote and, per rule, the log odds that its good and its bad
+    vote add.  A rule's accuracy is estimated apart for either class, since bad votes are rare; a vote can lose all
+    weight but never speak for the other side, so that the rules' own meaning names the classes."""
     if not patterns:
-        return 0.5, [0.8] * len(RULES)
-    v = np.array([p for p, _ in patterns], np.float64)
+        return 0.0, [(0.0, 0.0)] * len(RULES)
+    v = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], np.float64)
-    share, accuracy = 0.5, np.full(v.shape[1], 0.8)
+    cast = np.stack([v == 1, v == -1, v == 0])  # vote, pattern, rule
+    good = np.where((v == -1).any(1), 0.05, 0.95)
     for _ in range(rounds):
-        log_odds = math.log(share / (1 - share)) + v @ np.log(accuracy / (1 - accuracy))
-        good = 1 / (1 + np.exp(-log_odds))
-        right = (np.where(v > 0, good[:, None], 1 - good[:, None]) * (v != 0) * n[:, None]).sum(0)
-        cast = ((v != 0) * n[:, None]).sum(0)
-        accuracy = np.clip((right + 8) / (cast + 10), 0.55, 0.95)
-        share = float(np.clip((n @ good) / n.sum(), 0.05, 0.95))
-    return share, accuracy.tolist()
+        share = np.clip((n @ good) / n.sum(), 0.02, 0.98)
+        in_good = np.einsum("vpr,p->vr", cast, n * good) + np.array([[6.0], [0.5], [1.0]])
+        in_bad = np.einsum("vpr,p->vr", cast, n * (1 - good)) + np.array([[3.0], [3.0], [2.0]])
+        weight = np.log(in_good / in_good.sum(0)) - np.log(in_bad / in_bad.sum(0))
+        plus, minus = np.maximum(weight[0], 0), np.minimum(weight[1], 0)
+        prior = float(np.log(share / (1 - share)))
+        odds = prior + (v == 1) @ plus + (v == -1) @ minus
+        good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    return prior, list(zip(plus.tolist(), minus.tolist()))
 
 
 def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
@@ -133,10 +136,10 @@ def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, keep:
     measured = stored(measure(without(docs, "base_failed", "quality", "kept"), text_col, keep))
     cast = votes()
     counted = measured.groupBy(*[c.alias(f"v{i}") for i, c in enumerate(cast.values())]).count()
-    share, accuracy = estimate([(tuple(r)[:-1], r["count"]) for r in counted.collect()])
-    log_odds = F.lit(math.log(share / (1 - share)))
-    for vote, a in zip(cast.values(), accuracy):
-        log_odds = log_odds + vote * F.lit(math.log(a / (1 - a)))
+    prior, weights = estimate([(tuple(r)[:-1], r["count"]) for r in counted.collect()])
+    log_odds = F.lit(prior)
+    for vote, (plus, minus) in zip(cast.values(), weights):
+        log_odds = log_odds + F.when(vote == 1, plus).when(vote == -1, minus).otherwise(0.0)
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     scored = measured.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-log_odds)))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
