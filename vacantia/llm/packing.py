@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices
 from .tokens import tokenizer
 
-# windows balanced at a time; ids that a group leaves free in each, so that balance rarely exceeds the capacity
-GROUP, SLACK = 64, 2
+# windows balanced at a time; ids that a group leaves free in each, so that balance rarely exceeds the capacity;
+# longest piece of a rest, as balance needs several pieces a window
+GROUP, SLACK, LONGEST = 256, 4, 512
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -124,7 +125,7 @@ def _packed(path: str, capacity: int, end_id: int, group: int):
                         sequence += 1
                         start += capacity
                     while start < total:
-                        part = ids[start:start + room - size]
+                        part = ids[start:start + min(LONGEST, room - size)]
                         held.append((key, start, part, total))
                         start += len(part)
                         size += len(part)
@@ -145,7 +146,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_c
     """Pieces of documents in sequences of at most ``capacity`` ids, with their ids (little-endian unsigned 32-bit).
 
     A document is the ids of its whole text (null: empty) and ``end_id``, so it has at least one piece.  Full windows
-    are cut off; rests are gathered until they fill ``group`` windows but for a few ids, and balanced by differencing
+    are cut off; rests are cut to pieces of at most 512 ids and gathered until they fill ``group`` windows but for a few ids, and balanced by differencing
     into near-equal windows, whose number rises while one exceeds the capacity.  One pass over the table without a
     shuffle: a task packs what it reads, holds one group, and numbers its sequences from its partition's number on, so
     a task that is run again gives the same sequences.  A partition leaves at most one group half filled, whose

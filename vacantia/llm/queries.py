@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, quality, simhash
+from . import line_dedup, packing, quality, simhash, topk
 from .common import session
 
 QUERIES, ORACLES = {}, {}
 
 
+def vocabulary(name: str) -> str:
+    """A file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(oracle: str | None = None):
     """Register the decorated function (tables reader, folder) under its name."""
 
@@ -48,6 +55,29 @@ def op1_line_dedup(table) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query()
+def op2_packing(table) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids."""
+    out = packing.pack(table("documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query(r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+scores as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q, v c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score
+from scores qualify rank <= 10
+""")
+def op4_topk(table) -> DataFrame:
+    """The ten best vectors of every hundredth vector."""
+    vectors = table("embeddings").select("vec_id", topk.quantised("embedding", 1024).alias("vector"))
+    return topk.search(vectors.filter("vec_id % 100 = 0"), vectors, k=10, id_col="vec_id", vector_col="vector")
+
+
 @query()
 def op8_simhash(table) -> DataFrame:
     """Fingerprint and component of every document."""
