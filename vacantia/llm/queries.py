@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, packing, quality, simhash, topk
+from . import langid, line_dedup, packing, pii, quality, simhash, topk
 from .common import session
 
 QUERIES, ORACLES = {}, {}
@@ -78,6 +78,24 @@ def op4_topk(table) -> DataFrame:
     return topk.search(vectors.filter("vec_id % 100 = 0"), vectors, k=10, id_col="vec_id", vector_col="vector")
 
 
+#: stands for the secret that a deployment keeps; whoever has it can undo the permutations
+PSEUDONYM_KEY = "vacantia-demo-key"
+
+
+@query()
+def op5_pii(table) -> DataFrame:
+    """Every document with pseudonyms in place of personal data."""
+    return pii.pseudonymise(table("documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+@query()
+def op6_langid(table) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table("documents")
+    out = langid.identify(docs, langid.fit(docs), keep=["doc_id"])
+    return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op8_simhash(table) -> DataFrame:
     """Fingerprint and component of every document."""
