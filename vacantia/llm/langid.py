@@ -144,7 +144,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         languages: int = LANGUAGES, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
     """Machines fitted on a bounded sample of labelled documents that are not held out; None if there are none.
 
-    Of each of the ``languages`` most frequent labels, the ``per_language`` documents of smallest hashed id are taken,
+    Of each of the ``languages`` most frequent labels, up to ``per_language`` documents of smallest hashed id are taken,
     evenly fewer where that exceeds ``sample`` rows in all.  Whole texts become features in tasks; the driver gets
     the sparse features of the sample only."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -153,8 +153,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not common:
         return None
     each = max(1, min(per_language, sample // len(common)))
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.filter(F.col("lang").isin([r.lang for r in common])).select("id", "lang")
+    ranked = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id")
+    # about twice the rows wanted pass by their hash, so that ranking never meets a whole language
+    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(int(min(1.0, 2 * each / r["count"]) * (1 << 30)))) for r in common])
+    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("id", "lang")
     chosen = chosen.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= each)
     chosen = F.broadcast(chosen.select("id", "lang").distinct())
     texts = rows.join(chosen, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, line_dedup, packing, pii, quality, simhash, topk
+from . import bpe, langid, line_dedup, packing, pii, quality, simhash, token_files, topk
 from .common import session
 
 QUERIES, ORACLES = {}, {}
@@ -96,12 +96,28 @@ def op6_langid(table) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op7_token_files(table) -> DataFrame:
+    """Ids of every document, written to files in order of documents and read back."""
+    manifest, folder = token_files.write_tokens(table("documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+    out = token_files.read_tokens(manifest, folder)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query()
 def op8_simhash(table) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.clusters(table("documents"), shingle=3, most=3)
 
 
+@query()
+def op9_bpe(table) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them."""
+    out = bpe.encode_decode(table("documents"), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query()
 def op10_quality(table) -> DataFrame:
     """Measures, base rule and verdict of every document."""

@@ -42,9 +42,9 @@ class Encoder:
             return self.pattern.findall(text)
         return text.split()
 
-    def learn(self, chunks) -> None:
-        """Encode what the memo lacks."""
-        if len(self.memo) > MEMO:
+    def learn(self, chunks, keep: bool = False) -> None:
+        """Encode what the memo lacks; a memo over its bound starts anew unless it must be kept."""
+        if len(self.memo) > MEMO and not keep:
             self.memo.clear()
         new = list(set(chunks).difference(self.memo))
         for i in range(0, len(new), 10_000):
