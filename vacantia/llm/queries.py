@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, line_dedup, packing, pii, quality, simhash, token_files, topk
+from . import bpe, langid, line_dedup, packing, pii, quality, simhash, suffix_dedup, token_files, topk
 from .common import session
 
 QUERIES, ORACLES = {}, {}
@@ -62,6 +62,13 @@ def op2_packing(table) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query()
+def op3_suffix_dedup(table) -> DataFrame:
+    """Every document without the 400-byte strings that stand more than once."""
+    out = suffix_dedup.dedup(table("documents"), length=400, keep=["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(r"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
