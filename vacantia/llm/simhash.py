@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh, stored, without
+from .common import fresh, hash128, stored
 from .components import components
 
 BITS = 64
@@ -188,3 +188,21 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     firsts = named.groupBy("root").agg(F.min("least").alias("component_id"))
     table = stored(named.join(firsts, "root").select("fp", "component_id"))
     return rows.join(table, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 3,
+                    bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with one row of each group of linked fingerprints: that of the smallest id, then of the least hash.
+
+    A null id comes after all others; of rows that are equal in id and text one stays.  A group is found as in
+    ``clusters``; only keys of rows are grouped, and texts are fetched by an equality join."""
+    key, kept = fresh(docs, "_key", "_kept")
+    marks = [c.alias(n) for c, n in zip(hash128(F.col(text_col)), ("a", "b"))]
+    same = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), *marks)
+    rows = stored(fingerprints(docs.select(same.alias("same"), text_col), ["same"], shingle, text_col))
+    nodes = rows.groupBy("fp").agg(F.min("same").alias("least"))
+    roots = components(links(nodes.select("fp"), most, bucket))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("least").alias(kept)).select(kept)
+    found = docs.withColumn(key, same).join(firsts, F.col(key) == F.col(kept), "left_semi")
+    return found.dropDuplicates([key]).drop(key)
