@@ -65,8 +65,17 @@ def test_files_are_written_in_their_shape(spark, tmp_path):
         {n: none for n in ("company", "department", "education", "recruitment_type", "publish_date", "detail_url", "apply_url", "jd_enrichment_status")}).withColumns(
         {"responsibilities": F.col("locations"), "requirements": F.array().cast("array<string>")})
     sinks.write_jobs_csv(jobs, str(tmp_path / "csv"))
-    text = next((tmp_path / "csv").glob("part-*")).read_bytes()
-    assert text.startswith(b"\xef\xbb\xbfid,title") and "1,'=T".encode() in text and "a ⏎ b".encode() in text
+    parts = [p.read_bytes() for p in (tmp_path / "csv").glob("part-*")]
+    assert len(parts) == 1 and parts[0].startswith(b"\xef\xbb\xbfid,title")  # no file without a row
+    assert "1,'=T".encode() in parts[0] and "a ⏎ b".encode() in parts[0]
+    sinks.write_jobs_json(jobs, str(tmp_path / "json"))
+    back = spark.read.schema(jobs.schema).json(str(tmp_path / "json")).collect()
+    assert [(r.job_id, r.job_title, r.locations) for r in back] == [("1", "=T", ["a", "b"])]
+    errors = spark.createDataFrame([("r", "HTTP_403", "x")], "run_id string, code string, reason string")
+    sinks.write_rows_json(errors, str(tmp_path / "errors"))
+    assert spark.read.json(str(tmp_path / "errors")).count() == 1
+    sinks.write_layout(errors.selectExpr("*", "'ok' as outcome", "'Co' as company_dir", "'s' as stamp"), str(tmp_path / "runs"))
+    assert [p.name for p in (tmp_path / "runs" / "outcome=ok" / "company_dir=Co" / "stamp=s").glob("*.parquet")]
 
 
 def test_checkpoint_replaces_one_run_and_checks_its_format(spark, tmp_path):

@@ -208,7 +208,7 @@ def _enriched(found, responsibilities, requirements, source) -> Column:
 
 
 def work_mode(text) -> Column:
-    return F.nullif(F.regexp_extract(F.substring(c(text), 1, 30000), V.WORK_MODE, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c(text), V.WORK_MODE, 1), F.lit(""))
 
 
 def visible_totals(text) -> Column:

@@ -228,26 +228,30 @@ def find_total(v, list_length, depth: int = 4) -> Column:
     return let(F.array_min(good), lambda best: F.struct(best["path"].alias("path"), best["total"].alias("total")))
 
 
-def contains_secret(v, depth: int = 6) -> Column:
+def json_keys(v) -> Column:
+    """Every object key of a payload, at any depth and inside arrays: the strings of its text that a colon follows."""
+    strings = F.regexp_extract_all(F.to_json(c(v)), F.lit(r'"(?:[^"\\]|\\.)*+":?'), F.lit(0))
+    return F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda s: F.substring(s, F.lit(2), F.length(s) - 3))
+
+
+def contains_secret(v) -> Column:
     """Does any key, at any depth, look like a secret?"""
     from .redact import is_sensitive
 
-    return F.exists(flat_entries(v, depth, keep="all"),
-                    lambda s: is_sensitive(F.element_at(F.split(s["path"], r"\."), -1)))
+    return F.coalesce(F.exists(json_keys(v), is_sensitive), F.lit(False))
 
 
-def safe_business_data(v, depth: int = 6) -> Column:
-    """Sorted ``path=value`` entries of a payload without anything under a secret key."""
-    from .redact import is_sensitive
+def safe_business_data(v) -> Column:
+    """A payload without anything under a secret key; only payloads that hold one are rewritten."""
+    from .redact import without_secrets
 
-    kept = F.filter(flat_entries(v, depth), lambda s: ~F.exists(F.split(s["path"], r"\."), is_sensitive))
-    return F.array_sort(F.transform(kept, lambda s: F.concat(
-        s["path"], F.lit("="), F.coalesce(as_text(s["value"]), F.lit("null")))))
+    found = contains_secret(v)
+    return F.when(found, parse(without_secrets(F.when(found, F.to_json(c(v)))))).otherwise(c(v))
 
 
 def fingerprint(v, size: int = 16) -> Column:
     """Digest of a record without its secrets; equal records give equal digests whatever their key order."""
-    return F.substring(F.sha2(F.array_join(safe_business_data(v), "\x1f"), 256), 1, size)
+    return F.substring(F.sha2(F.to_json(safe_business_data(v)), 256), 1, size)
 
 
 def stable_id(v, keys=V.CAPTURE_ID_ALIASES) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from .. import vocab as V
 from .text import c, contains_any
@@ -29,12 +30,53 @@ def mask_secrets(text) -> Column:
     return F.regexp_replace(c(text), V.SECRET_IN_TEXT, "$1=[REDACTED]")
 
 
-def redact_map(values) -> Column:
-    return F.transform_values(c(values), lambda k, v: F.when(is_sensitive(k), F.lit("[REDACTED]")).otherwise(v))
+def _walker(mask: str | None):
+    """UDF over JSON texts: members under a secret key are masked, or dropped where there is no mask.
 
+    Built inside a function, so executors receive the code itself and need no copy of this package."""
+    pattern = SENSITIVE
 
-def drop_sensitive(values) -> Column:
-    return F.map_filter(c(values), lambda k, _: ~is_sensitive(k))
+    def walk(texts):
+        import json
+        import re
+
+        import pandas as pd
+
+        secret = re.compile(pattern)
+
+        def clean(value):
+            if isinstance(value, list):
+                return [clean(x) for x in value]
+            if not isinstance(value, dict):
+                return value
+            hidden = {k for k in value if secret.search(k.lower().replace("-", "_"))}
+            return {k: mask if k in hidden else clean(x) for k, x in value.items() if k not in hidden or mask is not None}
+
+        return pd.Series([None if t is None else json.dumps(clean(json.loads(t)), ensure_ascii=False) for t in texts])
+
+    return F.pandas_udf(walk, StringType())
+
+
+def without_secrets(json_text) -> Column:
+    """JSON text without members under secret keys, at any depth and inside arrays; null stays null."""
+    return _walker(None)(c(json_text))
+
+
+def drop_sensitive(record) -> Column:
+    """A record (map<string,variant>) without secrets at any depth."""
+    from . import records as R
+
+    return R.as_record(R.safe_business_data(F.to_variant_object(c(record))))
+
+
+def redact_record(record) -> Column:
+    """Text of every member of a record, secrets at any depth masked; only records that hold one are rewritten."""
+    from . import records as R
+
+    whole = F.to_variant_object(c(record))
+    found = R.contains_secret(whole)
+    masked = R.parse(_walker("[REDACTED]")(F.when(found, F.to_json(whole))))
+    return F.transform_values(R.as_record(F.when(found, masked).otherwise(whole)), lambda _, v: R.as_text(v))
 
 
 def request_shape(record) -> Column:

@@ -100,13 +100,29 @@ def separated_lines(x) -> Column:
     return F.filter(F.transform(F.split(c(x), "[\n;；]+"), strip), lambda v: v != "")
 
 
+def _character(code) -> Column:
+    """The character of a code point; none for those that no text may hold."""
+    good = ((c(code) > 0) & (c(code) < 0xD800)) | ((c(code) > 0xDFFF) & (c(code) < 0x110000))
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(c(code)), 8, "0")), "UTF-32"))
+
+
+def _reference(name) -> Column:
+    """Text of a character reference (without ampersand and semicolon); null for an unknown name."""
+    name = c(name)
+    number = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, F.lit(2), F.length(name)).cast("bigint")).when(
+        name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10).cast("bigint"))
+    named = F.create_map(*[F.lit(x) for pair in V.ENTITIES.items() for x in pair])
+    return F.when(name.startswith("#"), _character(number)).otherwise(F.try_element_at(named, name))
+
+
 def unescape(x) -> Column:
-    """HTML entities in running text; the ampersand goes last so nothing is decoded twice."""
+    """Character references in text, numbered and named, each decoded once; an unknown one stays as it is."""
     x = c(x)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-                         ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+    pattern = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,15});"
+    found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    decoded = F.transform(found, lambda r: F.coalesce(_reference(F.substring(r, F.lit(2), F.length(r) - 2)), r))
+    joined = F.array_join(F.zip_with(F.split(x, pattern, -1), decoded, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return F.when(x.rlike(pattern), joined).otherwise(x)
 
 
 SKIPPED_TAGS = ["script", "style", "noscript", "svg", "header", "footer", "nav"]

@@ -121,10 +121,23 @@ def resolve(base, ref) -> Column:
     return (F.when(ref == "", base)
             .when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
             .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
-            .when(ref.startswith("/"), F.concat(origin, ref))
+            .when(ref.startswith("/"), without_dots(F.concat(origin, ref)))
             .when(ref.startswith("#"), F.concat(no_fragment, ref))
             .when(ref.startswith("?"), F.concat(no_query, ref))
-            .otherwise(joined))
+            .otherwise(without_dots(joined)))
+
+
+def without_dots(url) -> Column:
+    """The address without ``.`` and ``..`` segments in its path; query and fragment stay."""
+    head = F.regexp_extract(url, r"^[^?#]*", 0)
+    rest = F.substring(url, F.length(head) + 1, F.length(url))
+    origin = F.regexp_extract(head, "^[^:/]+://[^/]*", 0)
+    parts = F.split(F.substring(head, F.length(origin) + 2, F.length(head)), "/")
+    kept = F.aggregate(parts, F.expr("cast(array() as array<string>)"), lambda done, s: F.when(s == ".", done).when(
+        s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
+    folder = F.element_at(parts, -1).isin(".", "..")
+    path_ = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(head.rlike(r"/\.\.?(?:/|$)"), F.concat(origin, path_, rest)).otherwise(url)
 
 
 def segments(text) -> Column:

@@ -49,8 +49,12 @@ def attach_group(rows: DataFrame, groups: DataFrame, keys, size: str, spread: Co
     packed = held.select(*keys, "_hot", F.struct(*facts).alias("_g"))
     hot = F.broadcast(packed.filter("_hot").select(*keys, F.col("_g").alias("_h")))
     cold = packed.filter("not _hot").select(*keys, F.col("_g").alias("_c"), F.lit(0).alias("_salt"))
+    # rows that no group can meet, for a null key, are scattered as well
+    whole_key = F.lit(True)
+    for key in keys:
+        whole_key = whole_key & F.col(key).isNotNull()
     marked = rows.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_h").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
+        "_salt", F.when(F.col("_h").isNull() & whole_key, 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
     joined = marked.join(cold, keys + ["_salt"], "left")
     whole = joined.withColumn("_g", F.coalesce("_h", "_c"))
     return whole.select(*[F.col(n) for n in rows.columns], *[F.col(f"_g.{n}").alias(n) for n in facts])
@@ -70,7 +74,11 @@ def running_total(df: DataFrame, keys, order: str, values: dict[str, str], block
     before = totals.select(*keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_b_{n}")
                                               for n in values])
     local = df.select("*", *[F.sum(v).over(inner).alias(f"_l_{n}") for n, v in values.items()])
-    out = local.join(before, keys + ["_block"])
+    known = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_block"])], *[f"_b_{n}" for n in values])
+    met = F.lit(True)
+    for i, k in enumerate([*keys, "_block"]):  # a null key is a group of its own, a null order the first block
+        met = met & local[k].eqNullSafe(known[f"_k{i}"])
+    out = local.join(known, met)
     plain = [n for n in df.columns if n != "_block"]
     return out.select(*plain, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in values])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as V
 from ..functions import records as R, urls as U
-from ..functions.text import c, matches_role, words
+from ..functions.text import c, canonical, matches_role, words
 from .grouping import attach_group, fence, first_by, names
 
 
@@ -22,8 +22,10 @@ def find_key(entries, keys, infer: bool = False) -> Column:
     def rank(s):
         exact = F.array_position(order, F.lower(leaf(s)))
         at = F.when(exact > 0, exact)
-        if infer:
-            at = at.when(matches_role(leaf(s), "id"), F.lit(1000).cast("bigint"))
+        if infer:  # inferred names as in infer_field: vocabulary order, then the shortest
+            name = canonical(leaf(s))
+            listed = F.array_position(words(["id", *V.ROLE_TERMS["id"]]), name)
+            at = at.when(matches_role(leaf(s), "id"), F.when(listed > 0, 1000 + listed).otherwise(10_000 + F.length(name)).cast("bigint"))
         return F.when(at.isNotNull() & ~R.is_blank_value(s["value"]), F.struct(
             F.slice(parts(s), F.lit(1), F.size(parts(s)) - 1).alias("parent"), at.alias("at"),
             leaf(s).alias("field"), R.as_text(s["value"]).alias("value")))

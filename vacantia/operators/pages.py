@@ -41,11 +41,18 @@ def outcome_label(route_changed, dom_changed, job_source) -> Column:
             .when(c(route_changed) | c(dom_changed), "USEFUL_ROUTE_CHANGE").otherwise("NO_PROGRESS"))
 
 
+# an attribute value in double quotes, in single quotes or bare, one group each; a quoted value of another attribute
+VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+QUOTED = r"""=\s*"[^"]*"|=\s*'[^']*'"""
+
+
 def extract_links(df: DataFrame, html: str, base: str) -> DataFrame:
     """One row per anchor: pos, href, label, resolved address, tag attributes."""
-    anchor = r'(?is)<a\b([^>]*?\bhref\s*=\s*"([^"]*)"[^>]*)>(.*?)</a>'
+    anchor = rf"(?is)<a\b((?:{QUOTED}|[^>\"'])*?\bhref\s*=\s*{VALUE}(?:{QUOTED}|[^>\"'])*)>(.*?)</a>"
+    glue = lambda a, b: F.concat(a, b)
     part = lambda g: F.regexp_extract_all(c(html), F.lit(anchor), F.lit(g))
-    zipped = F.arrays_zip(part(1).alias("attributes"), part(2).alias("href"), part(3).alias("body"))
+    href = F.zip_with(F.zip_with(part(2), part(3), glue), part(4), glue)
+    zipped = F.arrays_zip(part(1).alias("attributes"), href.alias("href"), part(5).alias("body"))
     rest = [n for n in df.columns if n != html]
     out = df.select(*rest, F.posexplode(zipped).alias("pos", "_a"))
     return out.select(*rest, "pos", unescape("_a.href").alias("href"),
@@ -109,9 +116,11 @@ def recruitment_entries(links: DataFrame, page: str) -> DataFrame:
 
 def embedded_sources(df: DataFrame, html: str, base: str) -> DataFrame:
     """Public https frames and job widgets a page embeds."""
-    tags = lambda p: F.regexp_extract_all(c(html), F.lit(p), F.lit(1))
-    frames = F.transform(tags(r'(?is)<iframe\b[^>]*?\bsrc\s*=\s*"([^"]*)"'), lambda s: F.struct(F.lit("IFRAME").alias("kind"), s.alias("src")))
-    widgets = F.transform(F.filter(tags(r'(?is)<script\b[^>]*?\bsrc\s*=\s*"([^"]*)"'), lambda s: contains_any(s, ["job", "career", "recruit"])),
+    glue = lambda a, b: F.concat(a, b)
+    part = lambda tag, g: F.regexp_extract_all(c(html), F.lit(rf"(?is)<{tag}\b(?:{QUOTED}|[^>\"'])*?\bsrc\s*=\s*{VALUE}"), F.lit(g))
+    sources = lambda tag: F.transform(F.zip_with(F.zip_with(part(tag, 1), part(tag, 2), glue), part(tag, 3), glue), unescape)
+    frames = F.transform(sources("iframe"), lambda s: F.struct(F.lit("IFRAME").alias("kind"), s.alias("src")))
+    widgets = F.transform(F.filter(sources("script"), lambda s: contains_any(s, ["job", "career", "recruit"])),
                           lambda s: F.struct(F.lit("EMBEDDED_WIDGET").alias("kind"), s.alias("src")))
     rest = [n for n in df.columns if n != html]
     out = df.select(*rest, F.posexplode(F.concat(frames, widgets)).alias("pos", "_s"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab as V, __version__
 from ..functions import company as C, export as E, redact as X
 from ..functions.text import c
-from .grouping import attach_group, running_total
+from .grouping import running_total
 from .windows import collision_ordinal
 
 
@@ -95,10 +95,10 @@ def human_summary(status, expected, fetched, unique, detail_total, http, browser
     return F.concat_ws("\n", phrase, F.lit(""), listed, detail, F.when(c(reason).isNotNull(), F.concat(F.lit("\nReason: "), c(reason))))
 
 
-def report_lines(runs: DataFrame, jobs: DataFrame, run: str, order: str, full_limit: int = 50) -> DataFrame:
+def report_lines(runs: DataFrame, jobs: DataFrame, run: str, order: str, compact: bool = False) -> DataFrame:
     """Markdown report as rows (run, job_no, line_no, line): an overview, then a section per job.
 
-    Runs of more than ``full_limit`` jobs leave the descriptions out."""
+    A compact report leaves the descriptions out."""
     md = E.md_inline
     label = lambda text, x, default="Unknown": F.concat(F.lit(f"- {text}: "), md(F.coalesce(F.nullif(F.col(x).cast("string"), F.lit("")), F.lit(default))))
     head = F.array(F.lit("# Job Collection Report"), F.lit(""), F.lit(f"Generated by vacantia {__version__}"), F.lit(""), F.lit("## Overview"), F.lit(""),
@@ -106,15 +106,13 @@ def report_lines(runs: DataFrame, jobs: DataFrame, run: str, order: str, full_li
                    label("Expected", "total_expected", "None"), label("Fetched", "total_fetched"), label("Unique", "total_unique"), label("Status", "status"), F.lit(""),
                    F.lit("## Jobs"), F.lit(""))
     overview = runs.select(run, F.lit(0).cast("bigint").alias("job_no"), F.posexplode(head).alias("line_no", "line"))
-    sizes = jobs.groupBy(run).agg(F.count("*").alias("_size"))
-    rows = attach_group(numbered_jobs(jobs, run, order), sizes, run, "_size", F.col(order)).withColumn("_full", F.col("_size") <= full_limit)
+    rows = numbered_jobs(jobs, run, order)
     body = F.array(F.concat(F.lit("### "), F.col("job_no").cast("string"), F.lit(". "), md("job_title")), F.lit(""),
                    F.concat(F.lit("- Location: "), md(F.coalesce(F.nullif(E.locations_text("locations"), F.lit("")), F.lit("Unknown")))),
                    label("Category", "job_category"), label("Department", "department"), label("Recruitment Type", "recruitment_type"), label("Detail", "detail_url", ""))
     text = F.replace(F.coalesce(F.nullif(F.col("full_jd"), F.lit("")), F.lit("No full JD available.")), F.lit("```"), F.lit("` ` `"))
-    none = F.expr("cast(array() as array<string>)")
-    whole = F.when(F.col("_full"), F.array(F.lit(""), F.lit("#### Full JD"), F.lit(""), F.lit("```text"), text, F.lit("```"))).otherwise(none)
-    sections = rows.select(run, "job_no", F.posexplode(F.concat(body, whole, F.array(F.lit("")))).alias("line_no", "line"))
+    whole = [] if compact else [F.array(F.lit(""), F.lit("#### Full JD"), F.lit(""), F.lit("```text"), text, F.lit("```"))]
+    sections = rows.select(run, "job_no", F.posexplode(F.concat(body, *whole, F.array(F.lit("")))).alias("line_no", "line"))
     return overview.unionByName(sections)
 
 

@@ -237,27 +237,32 @@ def secret_keys(t):
     return df.select("p_partkey", "name", X.is_sensitive("name").alias("sensitive"), X.is_ephemeral("name").alias("ephemeral"))
 
 
-@query("F20", "select doc_id, lang in ('en', 'es') as leaks from documents")
+@query("F20", "select doc_id, lang in ('en', 'es') and (lang <> 'es' or doc_id % 4 <> 3) as leaks from documents")
 def secret_payloads(t):
     """Payloads that hold a secret key at any depth."""
-    deep = F.when(F.col("lang") == "es", F.lit('{"a":{"b":{"session_key":1}}}')).otherwise(F.col("record_json"))
+    nine = F.lit('{"a":' * 9 + '{"api_key":1}' + "}" * 9)
+    forms = [F.lit('{"a":{"b":{"session_key":1}}}'), F.concat(F.lit('{"list":[1,[{"id":'), "doc_id", F.lit(',"token":"x"}]]}')), nine,
+             F.lit(r'{"text":"a \"token\": 1 in a value","tokens_left":2}')]
+    deep = F.when(F.col("lang") == "es", F.get(F.array(*forms), (F.col("doc_id") % 4).cast("int"))).otherwise(F.col("record_json"))
     return I.records(t).select("doc_id", R.contains_secret(R.parse(deep)).alias("leaks"))
 
 
 @query("X1", f"""with {I.POSTINGS} select doc_id, case lang when 'en' then 9 when 'fr' then 11 when 'de' then 7 else 8 end::integer as kept_keys,
  case lang when 'en' then '[REDACTED]' end as shown_token,
  case lang when 'en' then 'int' when 'fr' then 'string' when 'de' then 'int' else 'string' end as id_type,
- case lang when 'fr' then 'object' end as department_type, (lang = 'en')::int::bigint as dropped from postings""")
+ case lang when 'fr' then 'object' end as department_type, (lang = 'en')::int::bigint as dropped,
+ '{{"deep":{{"a":{{"a":{{"a":{{"a":{{"a":{{"a":{{"a":{{"id":' || doc_id || '}}}}}}}}}}}}}}}},"rows":[{{"id":' || doc_id || '}},[{{"n":1}}]]}}' as nested from postings""")
 def safe_records(t):
     """Records without secrets, with redacted values, and as a typed shape."""
     df = I.records(t).withColumn("shape", X.request_shape("rec")).withColumn("safe", X.drop_sensitive("rec"))
-    text = F.transform_values("rec", lambda _, v: R.as_text(v))
+    nested = F.concat(F.lit('{"rows":[{"token":"S","id":'), "doc_id", F.lit('},[{"n":1,"Session-Id":{"x":[1]}}]],"deep":' + '{"a":' * 7 + '{"secret":"S","id":'),
+                      "doc_id", F.lit("}" * 9))
     return df.select(
         "doc_id", F.size("safe").alias("kept_keys"),
-        F.try_element_at(X.redact_map(text), F.lit("token")).alias("shown_token"),
+        F.try_element_at(X.redact_record("rec"), F.lit("token")).alias("shown_token"),
         F.coalesce(*[F.try_element_at("shape", F.lit(k)) for k in ("jobId", "postId", "id", "demandCode")]).alias("id_type"),
         F.try_element_at("shape", F.lit("department")).alias("department_type"),
-        (F.size("rec") - F.size("safe")).cast("bigint").alias("dropped"))
+        (F.size("rec") - F.size("safe")).cast("bigint").alias("dropped"), F.to_json(R.safe_business_data(R.parse(nested))).alias("nested"))
 
 
 @query("J1", f"""with {I.POSTINGS} select doc_id, case lang when 'en' then 'description' when 'es' then case when {S.strip('title')} <> '' then 'summary' end end as description_field,
@@ -317,7 +322,7 @@ select lang, count(distinct k) as records, count(distinct k) as prints, true as
 def record_fingerprints(t):
     """Digests of records without secrets: one per distinct record, whatever the key order."""
     df = I.records(t).withColumn("f", R.fingerprint("v"))
-    swapped = R.fingerprint(R.parse(F.concat(F.lit('{"b":'), F.col("doc_id"), F.lit(',"a":1,"token":"x"}'))))
-    straight = R.fingerprint(R.parse(F.concat(F.lit('{"a":1,"b":'), F.col("doc_id"), F.lit("}"))))
+    swapped = R.fingerprint(R.parse(F.concat(F.lit('{"b":'), F.col("doc_id"), F.lit(',"a":1,"l":[{"token":"x","k":[1]}],"token":"x"}'))))
+    straight = R.fingerprint(R.parse(F.concat(F.lit('{"a":1,"l":[{"k":[1]}],"b":'), F.col("doc_id"), F.lit("}"))))
     per = df.withColumn("same", swapped == straight).groupBy("lang", "f").agg(F.bool_and("same").alias("same"), F.count_distinct("doc_id").alias("n"))
     return per.groupBy("lang").agg(F.sum("n").alias("records"), F.count("*").alias("prints"), F.bool_and("same").alias("order_free"))

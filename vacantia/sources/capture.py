@@ -10,18 +10,27 @@ from ..functions import records as R, urls as U
 from ..functions.text import c
 
 
+RECORDING = """log struct<entries: array<struct<
+  request: struct<method: string, url: string, postData: struct<text: string>>,
+  response: struct<status: int, content: struct<text: string, encoding: string>>>>>"""
+
+
 def har_entries(df: DataFrame, text: str) -> DataFrame:
     """One row per ``log.entries[]`` of a recording's text, order kept.
 
-    Only what the import needs is taken out: headers and cookies never leave the parsed document."""
+    Only what the import needs is taken out, by schema: headers and cookies never leave the text, and neither the
+    recording nor a body has a limit but that of a string.  A recording that is no such document gives one row
+    with ``import_error`` and nothing else."""
     rest = [n for n in df.columns if n != text]
-    entries = F.try_variant_get(R.parse(text), "$.log.entries", "array<variant>")
-    out = df.select(*rest, F.posexplode(entries).alias("entry_index", "_e"))
-    at = lambda p, t="string": F.try_variant_get("_e", f"$.{p}", t)
-    return out.select(
+    parsed = F.from_json(c(text), RECORDING, {"maxStringLen": str(2 ** 31 - 1), "mode": "PERMISSIVE"})
+    out = df.select(*rest, F.posexplode_outer(parsed["log"]["entries"]).alias("entry_index", "_e"), parsed["log"]["entries"].isNull().alias("_bad"))
+    at = lambda p: F.col(f"_e.{p}")
+    whole = out.filter(F.col("_bad") | F.col("entry_index").isNotNull())
+    return whole.select(
         *rest, F.col("entry_index").cast("bigint").alias("entry_index"), at("request.method").alias("method"), at("request.url").alias("url"),
-        at("request.postData.text").alias("body_text"), at("response.status", "int").alias("status"),
-        at("response.content.text").alias("content_text"), at("response.content.encoding").alias("content_encoding"))
+        at("request.postData.text").alias("body_text"), at("response.status").alias("status"),
+        at("response.content.text").alias("content_text"), at("response.content.encoding").alias("content_encoding"),
+        F.when(F.col("_bad"), "HAR_FILE_INVALID").alias("import_error"))
 
 
 def read_har(spark: SparkSession, path: str) -> DataFrame:

@@ -19,10 +19,13 @@ def write_jobs_json(jobs: DataFrame, path: str) -> None:
 
 
 def write_jobs_csv(jobs: DataFrame, path: str) -> None:
-    """The export rows; the byte-order mark is part of the first header so sheets open the file as UTF-8."""
+    """The export rows; the byte-order mark is part of the first header so sheets open the file as UTF-8.
+
+    Rows are rebalanced first, so no file holds a header only.  Every file is a whole table with mark and header;
+    to join files, keep those of the first."""
     rows = csv_rows(jobs)
     marked = rows.withColumnRenamed(V.CSV_HEADERS[0], "﻿" + V.CSV_HEADERS[0])
-    marked.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    marked.hint("rebalance").write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_rows_json(rows: DataFrame, path: str) -> None:

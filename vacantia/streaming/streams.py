@@ -40,8 +40,12 @@ def sliding_throughput(df: DataFrame, run: str, event_time: str, delay: str, wid
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder; a temporary one only where none is named."""
-    root = checkpoint_root(spark) or tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder under the shared checkpoint folder; a temporary one only on a single machine where none is named."""
+    root = checkpoint_root(spark)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/vacantia/{uuid.uuid4().hex}"
 
 

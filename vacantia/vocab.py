@@ -411,3 +411,17 @@ ETA_SAMPLES, ETA_MIN_SAMPLES, ETA_MIN_SPAN, ETA_STALL = 12, 5, 10.0, 15.0
 WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
               "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+
+
+# Named character references, those of Latin-1 in the order of their code points from 160 on, then some others.
+LATIN_ENTITIES = """nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro
+para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute
+Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN
+szlig agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml igrave iacute icirc iuml eth ntilde ograve oacute
+ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml""".split()
+ENTITIES = {name: chr(160 + i) for i, name in enumerate(LATIN_ENTITIES)} | {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ensp": "\u2002", "emsp": "\u2003", "thinsp": "\u2009", "zwnj": "\u200c",
+    "zwj": "\u200d", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "sbquo": "\u201a", "ldquo": "\u201c",
+    "rdquo": "\u201d", "bdquo": "\u201e", "bull": "\u2022", "hellip": "\u2026", "permil": "\u2030", "lsaquo": "\u2039", "rsaquo": "\u203a",
+    "euro": "\u20ac", "trade": "\u2122", "larr": "\u2190", "rarr": "\u2192", "minus": "\u2212", "oelig": "\u0153", "OElig": "\u0152",
+}
