@@ -203,13 +203,13 @@ def flat_entries(v, depth: int, keep: str = "leaf") -> Column:
 
 
 def arrays_in(v, depth: int = 4) -> Column:
-    """array<struct<path,n,items>> of every array reached through objects only; first 20 items kept."""
+    """array<struct<path,n,items>> of every array reached through objects only, items whole."""
     root = F.when(as_array(v).isNotNull(), F.array(F.struct(
-        F.lit("$").alias("path"), F.size(as_array(v)).alias("n"), F.slice(as_array(v), 1, 20).alias("items"))))
+        F.lit("$").alias("path"), F.size(as_array(v)).alias("n"), as_array(v).alias("items"))))
     inner = F.transform(
         F.filter(flat_entries(v, depth - 1), lambda s: s["kind"].startswith("ARRAY")),
         lambda s: F.struct(s["path"].alias("path"), F.size(as_array(s["value"])).alias("n"),
-                           F.slice(as_array(s["value"]), 1, 20).alias("items")))
+                           as_array(s["value"]).alias("items")))
     return F.coalesce(root, inner)
 
 

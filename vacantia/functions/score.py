@@ -41,8 +41,8 @@ def is_job_record(keys) -> Column:
 
 
 def sampled_records(items) -> Column:
-    """Objects among the first twenty items; ``node`` wrappers are opened when every item has one."""
-    items = F.filter(F.slice(c(items), 1, 20), lambda v: R.as_record(v).isNotNull())
+    """Objects among the items; ``node`` wrappers are opened when every item has one."""
+    items = F.filter(c(items), lambda v: R.as_record(v).isNotNull())
     node = lambda v: F.try_variant_get(v, "$.node", "variant")
     wrapped = (F.size(items) > 0) & F.forall(items, lambda v: F.coalesce(R.as_record(node(v)).isNotNull(), F.lit(False)))
     return F.when(wrapped, F.transform(items, node)).otherwise(items)
@@ -56,8 +56,10 @@ def set_counts(sets) -> Column:
     """array<struct<s,n>> of the distinct key sets, first seen first, with how often each occurs."""
     from .text import let
 
-    return let(c(sets), lambda all_: F.transform(F.array_distinct(all_), lambda s: F.struct(
-        s.alias("s"), F.size(F.filter(all_, lambda t: t == s)).alias("n"))))
+    # as one text a set is compared by hash, so a long array costs a pass per distinct set
+    spelled = F.transform(c(sets), lambda s: F.array_join(s, "\x1f"))
+    return let(spelled, lambda all_: F.transform(F.array_distinct(all_), lambda t: F.struct(
+        F.when(t == "", F.expr(R.NO_STRINGS)).otherwise(F.split(t, "\x1f")).alias("s"), F.size(F.filter(all_, lambda u: u == t)).alias("n"))))
 
 
 def _total(counts, weight) -> Column:

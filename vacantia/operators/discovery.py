@@ -14,7 +14,8 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> Da
     """Adds list_path, list_length, homogeneity, density, fields, reasons, score, evidence, confidence,
     id_field, title_field, total_path, total of each exchange.
 
-    All of it is row-wise over a bounded sample of each array, so no exchange meets another one."""
+    All of it is row-wise over whole arrays, so no exchange meets another one; only ``sample_fields``, which is for
+    display, is cut to 100 names, after the fields were chosen."""
     df = df.withColumn("_arrays", R.arrays_in(payload, depth))
     df = df.withColumn("_sets", F.transform("_arrays", lambda a: K.key_sets(a["items"])))
     df = df.withColumn("_counts", F.transform("_sets", K.set_counts))
@@ -31,8 +32,8 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> Da
         "list_path": F.col("_best.path"), "list_length": F.coalesce("_best.n", F.lit(0)),
         "homogeneity": F.coalesce("_best.homogeneity", F.lit(0.0)), "density": F.coalesce("_best.density", F.lit(0.0)),
         "fields": F.coalesce("_best.fields", none),
-        "sample_fields": F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform(
-            F.coalesce(K.sampled_records("_items"), F.expr("cast(array() as array<variant>)")), lambda v: F.map_keys(R.as_record(v)))))), 1, 100),
+        "_names": F.array_sort(F.array_distinct(F.flatten(F.transform(
+            F.coalesce(K.sampled_records("_items"), F.expr("cast(array() as array<variant>)")), lambda v: F.map_keys(R.as_record(v)))))),
         "_top": F.coalesce(F.transform(F.map_keys(R.as_record(payload)), F.lower), none),
         "_object": R.as_record(payload).isNotNull(),
     })
@@ -44,12 +45,12 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> Da
         "score": K.list_score(url, "fields", "homogeneity", "density", "list_length", F.col("_total.path").isNotNull(),
                               F.size("reasons") > 0, empty),
         "evidence": K.list_evidence(url, "fields", "homogeneity", "density", "list_length", F.col("_total.path"), F.col("reasons"), empty),
-        "id_field": F.coalesce(infer_field("sample_fields", "id"), F.array_min(K.id_keys("fields"))),
-        "title_field": infer_field("sample_fields", "title"),
+        "id_field": F.coalesce(infer_field("_names", "id"), F.array_min(K.id_keys("fields"))),
+        "title_field": infer_field("_names", "title"), "sample_fields": F.slice("_names", 1, 100),
     })
     df = df.withColumn("confidence", K.confidence("score"))
     out = ["list_path", "list_length", "homogeneity", "density", "fields", "sample_fields", "reasons", "total_path", "total", "score", "evidence", "id_field", "title_field", "confidence"]
-    return fence(df.drop("_arrays", "_sets", "_counts", "_fields", "_ranked", "_best", "_items", "_top", "_object", "_total"), out)
+    return fence(df.drop("_arrays", "_sets", "_counts", "_fields", "_ranked", "_best", "_items", "_names", "_top", "_object", "_total"), out)
 
 
 def score_details(df: DataFrame, url: str, payload: str) -> DataFrame:

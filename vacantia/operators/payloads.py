@@ -40,40 +40,41 @@ def flatten_rows(df: DataFrame, v: str, depth: int = 6) -> DataFrame:
     return out.select(*rest, F.col("_e.path").alias("path"), F.col("_e.kind").alias("kind"), F.col("_e.value").alias("value"))
 
 
-def detail_record(v, depth: int = 5, first_items: int = 20) -> Column:
-    """struct(path, state, record_json) of the first nested object, depth-first, that carries a job description.
-
-    Of an array only the first items are looked at, as in any sampled payload."""
-    none = F.expr("cast(array() as array<string>)")
-    level = F.array(F.struct(none.alias("p"), c(v).alias("v")))
+def _objects(v, depth: int) -> Column:
+    """array<struct<at,path,value>> of the objects of a payload, inside arrays as well, all items; ``at`` sorts depth-first."""
+    none = F.expr(R.NO_STRINGS)
+    level = F.array(F.struct(none.alias("at"), none.alias("path"), c(v).alias("value")))
     nodes = [level]
+    step = lambda n, at, name, value: F.struct(F.concat(n["at"], F.array(at)).alias("at"), F.concat(n["path"], F.array(name)).alias("path"), value.alias("value"))
     for _ in range(depth):
-        members = lambda n: let(R.as_record(n["v"]), lambda m: F.transform(
-            F.coalesce(F.map_entries(m), F.expr(f"cast(array() as array<struct<key:string,value:variant>>)")),
-            lambda e: F.struct(F.concat(n["p"], F.array(e["key"])).alias("p"), e["value"].alias("v"))))
+        members = lambda n: let(R.as_record(n["value"]), lambda m: F.transform(
+            F.coalesce(F.map_entries(m), F.expr("cast(array() as array<struct<key:string,value:variant>>)")), lambda e: step(n, e["key"], e["key"], e["value"])))
         items = lambda n: F.transform(
-            F.slice(F.coalesce(R.as_array(n["v"]), F.expr("cast(array() as array<variant>)")), 1, first_items),
-            lambda x, i: F.struct(F.concat(n["p"], F.array(F.lpad(i.cast("string"), 2, "0"))).alias("p"), x.alias("v")))
-        level = F.flatten(F.transform(level, lambda n: F.concat(members(n), items(n))))
+            F.coalesce(R.as_array(n["value"]), F.expr("cast(array() as array<variant>)")),
+            lambda x, i: step(n, F.lpad(i.cast("string"), 9, "0"), F.lpad(i.cast("string"), F.greatest(F.length(i.cast("string")), F.lit(2)), F.lit("0")), x))
+        nested = lambda n: R.kind(n["value"]).startswith("OBJECT") | R.kind(n["value"]).startswith("ARRAY")
+        level = F.filter(F.flatten(F.transform(level, lambda n: F.concat(members(n), items(n)))), nested)
         nodes.append(level)
-    found = F.transform(
-        F.filter(F.flatten(F.array(*nodes)), lambda n: R.as_record(n["v"]).isNotNull()),
-        lambda n: F.struct(n["p"].alias("at"), J.pick_jd(R.as_record(n["v"]))["state"].alias("state"), R.as_text(n["v"]).alias("record_json")))
+    return F.filter(F.flatten(F.array(*nodes)), lambda n: R.kind(n["value"]).startswith("OBJECT"))
+
+
+def detail_record(v, depth: int = 6) -> Column:
+    """struct(path, state, record_json) of the first nested object, depth-first, that carries a job description."""
+    found = F.transform(_objects(v, depth), lambda n: F.struct(
+        n["at"].alias("at"), n["path"].alias("path"), J.pick_jd(R.as_record(n["value"]))["state"].alias("state"), R.as_text(n["value"]).alias("record_json")))
     best = F.array_min(F.filter(found, lambda s: s["state"] != "ABSENT"))
-    return let(best, lambda b: F.struct(F.array_join(b["at"], ".").alias("path"), b["state"].alias("state"),
+    return let(best, lambda b: F.struct(F.array_join(b["path"], ".").alias("path"), b["state"].alias("state"),
                                         b["record_json"].alias("record_json")))
 
 
-def embedded_detail(states: DataFrame, page: str, expected_title: str, depth: int = 5) -> DataFrame:
-    """First job detail of a page's serialized states: credible text and a title that fits.
+def embedded_detail(states: DataFrame, page: str, expected_title: str, depth: int = 6) -> DataFrame:
+    """First job detail of a page's serialized states: credible text and a title that fits, inside arrays as well.
 
     States are rows; the first hit of a page is chosen by source index, then depth-first position."""
-    objects = F.filter(F.concat(F.array(F.struct(F.lit("").alias("path"), F.lit(0).alias("depth"), R.kind("state").alias("kind"), F.col("state").alias("value"))),
-                                R.flat_entries("state", depth, keep="all")), lambda s: s["kind"].startswith("OBJECT"))
-    df = states.withColumn("_o", F.explode(F.transform(objects, lambda s: F.struct(s["path"].alias("path"), s["value"].alias("value")))))
+    df = states.withColumn("_o", F.explode(_objects("state", depth)))
     df = df.withColumn("_r", R.as_record(F.col("_o.value"))).withColumn("_jd", J.pick_jd("_r"))
     title = R.first_text("_r", V.EMBEDDED_TITLE_KEYS)
     good = fence(df, ["_r", "_jd"]).filter(F.col("_jd.description").isNotNull() & J.credible_jd(F.col("_jd.description")) & J.loose_title_match(expected_title, title))
-    rows = good.select(page, "source_index", F.split("_o.path", r"\.").alias("_at"), title.alias("title"), F.col("_jd.description").alias("full_jd"),
+    rows = good.select(page, "source_index", F.col("_o.at").alias("_at"), title.alias("title"), F.col("_jd.description").alias("full_jd"),
                        F.col("_jd.responsibilities").alias("responsibilities"), F.col("_jd.requirements").alias("requirements"))
     return first_by(rows, page, ["source_index", "_at"]).drop("_at")

@@ -83,7 +83,9 @@ def embedded_details(t):
     from ..operators.payloads import embedded_detail
 
     title = F.when(F.col("lang") == "de", F.lit("zzz")).otherwise(F.col("title"))
-    state = F.to_json(F.struct(F.struct(F.struct(F.col("title").alias("jobTitle"), F.col("text").alias("description")).alias("detail")).alias("page")))
+    job = F.struct(F.col("title").alias("jobTitle"), F.col("text").alias("description"))
+    listed = F.to_json(F.struct(F.array(F.array(job)).alias("jobs")))
+    state = F.when(F.col("doc_id") % 2 == 0, listed).otherwise(F.to_json(F.struct(F.struct(job.alias("detail")).alias("page"))))
     html = F.concat(F.lit('<script type="application/json">{"a":1}</script><script>window.__INITIAL_DATA__ = '), state, F.lit("</script>"))
     df = I.postings(t).select("doc_id", F.when(F.length(F.trim("title")) > 0, title).alias("expected"), html.alias("html"))
     out = embedded_detail(CAP.embedded_states(df, "html"), "doc_id", "expected")

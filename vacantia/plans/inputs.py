@@ -51,7 +51,7 @@ URLS = ("urls as (select page_id, cast(v as integer) as v, list_extract(forms, v
         f"select page_id, [{', '.join(URL_FORMS)}] as forms from pages), unnest(range({len(URL_FORMS)})) as r(v))")
 
 # postings: a title, a body with headings that differ by language
-TITLE = "substr(split_part(text, chr(10), 1), 1, 60)"
+TITLE = "split_part(text, chr(10), 1)"
 BODY = ("case lang when 'en' then concat('Intro', chr(10), 'Responsibilities:', chr(10), text, chr(10), "
         "'Requirements', chr(10), 'R ', cast(doc_id as varchar), chr(10), 'Q') "
         f"when 'fr' then concat('岗位职责：', chr(10), text, chr(10), '任职要求', chr(10), {TITLE}) "
@@ -101,11 +101,11 @@ ITEM = "transform(filter(split(text, chr(10)), x -> trim(x) <> ''), (x, i) -> "
 PAYLOAD_SQL = f"""
 case lang
 when 'en' then to_json(named_struct('success', true, 'result', named_struct('total', n_chars, 'list', {ITEM}
-  named_struct('code', concat(doc_id, '-', i), 'jobName', substr(x, 1, 40), 'city', source, 'updateTime', 't')))))
-when 'fr' then to_json(named_struct('navigation', true, 'menu', {ITEM} named_struct('label', substr(x, 1, 20), 'url', i))))
+  named_struct('code', concat(doc_id, '-', i), 'jobName', x, 'city', source, 'updateTime', 't')))))
+when 'fr' then to_json(named_struct('navigation', true, 'menu', {ITEM} named_struct('label', x, 'url', i))))
 when 'de' then to_json(named_struct('data', named_struct('count', 1, 'rows', {ITEM}
-  named_struct('id', i, 'name', substr(x, 1, 20), 'value', i)))))
-else to_json({ITEM} named_struct('positionId', i, 'positionName', substr(x, 1, 20), 'description', x, 'city', source)))
+  named_struct('id', i, 'name', x, 'value', i)))))
+else to_json({ITEM} named_struct('positionId', i, 'positionName', x, 'description', x, 'city', source)))
 end"""
 EXCHANGE_URL = ("concat('https://', source, '.example.net/', case lang when 'en' then 'api/job/list' "
                 "when 'fr' then 'api/navigation' when 'de' then 'api/settings' else 'api/search' end, '?page=', "

@@ -212,7 +212,7 @@ def opened_envelopes(t):
     return df.select("o_orderkey", F.try_variant_get(R.decode_envelope("v", iv, key_field="necromancer"), "$.id", "bigint").alias("id"))
 
 
-@query("P24", f"""with {I.POSTINGS} select doc_id, case when lang <> 'es' or {S.strip('title')} <> '' then 'data.rows.00' end as path,
+@query("P24", f"""with {I.POSTINGS} select doc_id, case when lang <> 'es' or {S.strip('title')} <> '' then 'data.rows.' || case doc_id % 3 when 0 then '00' when 1 then '26' else '120' end end as path,
  case lang when 'en' then case when {S.credible_body('body')} then 'FULL_TEXT' else 'SUMMARY' end when 'de' then 'SPLIT'
   when 'fr' then case when {S.strip('title')} <> '' and length({S.strip('text')}) + length({S.strip('title')}) < 40 then 'SUMMARY' else 'SPLIT' end
   else case when {S.strip('title')} <> '' then case when {S.credible_body('title')} then 'FULL_TEXT' else 'SUMMARY' end end end as state from postings""")
@@ -221,7 +221,7 @@ def detail_records(t):
     from ..operators.payloads import detail_record
 
     df = I.records(t)
-    deep = F.concat(F.lit('{"code":0,"data":{"meta":{"x":1},"rows":['), F.col("record_json"), F.lit(',{"id":1}]}}'))
+    deep = F.concat(F.lit('{"code":0,"data":{"meta":{"x":1},"rows":['), F.expr("repeat('{\"id\":0},', case doc_id % 3 when 0 then 0 when 1 then 26 else 120 end)"), F.col("record_json"), F.lit(',{"id":1}]}}'))
     df = df.withColumn("d", detail_record(R.parse(deep)))
     return df.select("doc_id", F.col("d.path").alias("path"), F.col("d.state").alias("state"))
 

@@ -109,7 +109,7 @@ def run_statuses(t):
                     M.completion_contract(F.when(mod == 6, 0).otherwise(1), "expected", "fetched", "uniq", F.col("fetched") - F.col("uniq"), "errors", "errors", F.lit(True), zero, "failed", zero, zero).alias("strict_status"))
 
 
-_IDENT = """ident as (select doc_id, text, source as url, split_part(text, chr(10), 1) as title, lang as raw_id, case when lang = 'es' then 'COMPOSITE_FINGERPRINT' else 'STABLE_API_ID' end as identity_source, lower(substr(text, 1, 6)) as identity_value, sha256(text) as fp from documents),
+_IDENT = """ident as (select doc_id, text, source as url, split_part(text, chr(10), 1) as title, lang as raw_id, case when lang = 'es' then 'COMPOSITE_FINGERPRINT' else 'STABLE_API_ID' end as identity_source, lower(split_part(text, ' ', 1)) as identity_value, sha256(text) as fp from documents),
  grp as (select identity_source, identity_value, count(*) as records, case when count(distinct fp) = 1 then 'IDENTICAL_SOURCE_RECORD' when identity_source <> 'COMPOSITE_FINGERPRINT' and count(distinct title) = 1 then 'SAME_REQUISITION_DUPLICATE_PRESENTATION'
   when count(distinct url) > 1 or count(distinct title) > 1 or count(distinct raw_id) > 1 then 'AMBIGUOUS_ID_COLLISION' else 'UNEXPLAINED_DUPLICATE' end as reason from ident group by 1, 2 having count(*) >= 2)"""
 
@@ -117,7 +117,7 @@ _IDENT = """ident as (select doc_id, text, source as url, split_part(text, chr(1
 def _identified(t):
     return t.documents.select("doc_id", F.col("source").alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("lang").alias("raw_id"),
                               F.when(F.col("lang") == "es", "COMPOSITE_FINGERPRINT").otherwise("STABLE_API_ID").alias("identity_source"),
-                              F.lower(F.substring("text", 1, 6)).alias("identity_value"), F.sha2("text", 256).alias("fp"))
+                              F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("identity_value"), F.sha2("text", 256).alias("fp"))
 
 
 def _groups(t):
@@ -147,12 +147,12 @@ def dedup_trace(t):
     return out.select("doc_id", "classification", "job_id", "reason")
 
 
-@query("W8", """with i as (select doc_id, source as url, split_part(text, chr(10), 1) as title, lower(substr(text, 1, 6)) as idv from documents), f as (select *, min(doc_id) over (partition by idv) as first_id, first_value(url) over (partition by idv order by doc_id) as u0, first_value(title) over (partition by idv order by doc_id) as t0 from i)
+@query("W8", """with i as (select doc_id, source as url, split_part(text, chr(10), 1) as title, lower(split_part(text, ' ', 1)) as idv from documents), f as (select *, min(doc_id) over (partition by idv) as first_id, first_value(url) over (partition by idv order by doc_id) as u0, first_value(title) over (partition by idv order by doc_id) as t0 from i)
 select doc_id, case when doc_id = first_id then 'PRESERVED' when url = u0 and title = t0 then 'SAME_REQUISITION_DUPLICATE_PRESENTATION' else 'AMBIGUOUS_ID_COLLISION' end as classification,
  case when doc_id = first_id or (url = u0 and title = t0) then idv else idv || ':' || sha256(url)[1:12] end as job_id from f""")
 def card_collisions(t):
     """Rendered cards that share an id."""
-    df = t.documents.select("doc_id", F.col("source").alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.lower(F.substring("text", 1, 6)).alias("idv"))
+    df = t.documents.select("doc_id", F.col("source").alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("idv"))
     return ID.dom_collisions(df, "idv", "doc_id", "url", "title").select("doc_id", "classification", "job_id")
 
 
