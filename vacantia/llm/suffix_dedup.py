@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import hash128, stored, without
 
 GRAM = 32
+# members of an interval that are looked at side by side with those of others, before the rest is taken as a whole
+STEPS = 16
 # bytes that one step looks at; different segments of an anchor beyond which they are cut by halves; bytes of one transform
 PART, GROUP, CHUNK = 1 << 20, 512, 2 << 20
 ANCHORS = "id1 long, id2 long, at long, first long, last long, gram long, same1 long, same2 long"
@@ -149,13 +151,19 @@ def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
         if not len(level):
             break
         made, start, at = [], level, level
-        while len(at):
+        for _ in range(STEPS):
+            if not len(at):
+                break
             first = earlier[at] < start  # the first of its byte in the interval
             target = back[at[first]]
             made.append(target[~bound[target]])
             at = at + 1
             go = ~bound[at]
             start, at = start[go], at[go]
+        for s, a in zip(start.tolist(), at.tolist()):  # long intervals as a whole
+            target = back[a:a + int(bound[a:].argmax())]
+            target = target[earlier[a:a + len(target)] < s]
+            made.append(target[~bound[target]])
         level = np.concatenate(made)
         bound[level] = True
         level.sort()
