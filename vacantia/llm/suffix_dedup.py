@@ -221,8 +221,8 @@ def repeats(docs: DataFrame, length: int = 400, text_col: str = "text", group: i
     texts = docs.select(F.col(text_col).alias("text")).filter(F.octet_length("text") >= length)
     texts = texts.select(id1.alias("id1"), id2.alias("id2"), "text")
     found = stored(texts.mapInArrow(_anchored(length), ANCHORS))
-    # anchors that stand once hold no repeat
-    again = found.groupBy("gram").count().filter("count > 1").select("gram")
+    # anchors that stand once hold no repeat; as a table of its own, the join can split a frequent anchor
+    again = stored(found.groupBy("gram").count().filter("count > 1").select("gram"))
     found = stored(found.join(again, "gram", "left_semi"))
     # equal segments count; one of each stands for all
     key = ["gram", "same1", "same2"]
