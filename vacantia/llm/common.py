@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import configure
 
 # whole texts go to Python in batches of bounded size
-SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 # white space of the contracts: blank and U+0009 to U+000D, and nothing else
 BLANKS = " \t\n\x0b\x0c\r"

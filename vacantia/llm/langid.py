@@ -184,7 +184,7 @@ def _predicted(model: Model | None):
                 if found is not None:
                     rows.append(found)
                     at.append(i)
-                if len(rows) == 256:
+                if len(rows) == 64:
                     flush()
             if rows:
                 flush()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import json
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import slices
-from .tokens import tokenizer
+from .tokens import BYTE_LETTERS, tokenizer
 
 # windows balanced at a time; ids that a group leaves free in each, so that balance rarely exceeds the capacity;
 # longest piece of a rest, as balance needs several pieces a window
@@ -68,17 +69,19 @@ class ByteEncoder:
     def __init__(self, path: str):
         import tiktoken
 
-        self.library = tokenizer(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path = path
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        # the file spells bytes by printable characters: those of Latin-1 stand for themselves, others from U+0100 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+            whole = json.load(file)
+        self.special, vocabulary = [t["content"] for t in whole["added_tokens"]], whole["model"]["vocab"]
+        byte = {letter: b for b, letter in BYTE_LETTERS.items()}
         ranks = {bytes(byte[c] for c in piece): i for piece, i in vocabulary.items() if piece not in self.special}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self):
+        return tokenizer(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
