@@ -20,7 +20,7 @@ FRAME = 1 << 18
 # fixed values of the public seekable format: skippable frames for the index and the seek table, the closing mark
 INDEX_MAGIC, TABLE_MAGIC, CLOSING_MAGIC, HAS_CHECKSUM = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1, 0x80
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
-READ = "doc_id long, part int, at long, local_start long, n_tokens long, ids binary"
+READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
 class FrameWriter:
@@ -63,7 +63,7 @@ class FrameWriter:
 
 
 def read_documents(source, wanted: set | None = None):
-    """(position, key, first id's place, ids) of the documents in an open file; only their frames are decompressed.
+    """(key, first id's place, ids) of the documents in an open file; only their frames are decompressed.
 
     A frame whose checksum does not hold raises an error."""
     end = source.size()
@@ -93,7 +93,7 @@ def read_documents(source, wanted: set | None = None):
             if xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != table[frame, 2]:
                 raise ValueError(f"frame {frame} is damaged")
         at = 4 * int(place[i] - place[first[frame]])
-        yield i, key, int(place[i]), data[at:at + 4 * int(sizes[i])]
+        yield key, int(place[i]), data[at:at + 4 * int(sizes[i])]
 
 
 def _written(path: str, folder: str, end: bytes, keep_space: bool):
@@ -143,11 +143,11 @@ def _read(folder: str, wanted: set | None):
     def run(batches):
         system, _ = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for part, file in zip(batch.column("part").to_pylist(), batch.column("file").to_pylist()):
+            for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist()):
                 with system.open_input_file(file) as source:
                     rows, size = [], 0
-                    for at, key, start, ids in read_documents(source, wanted):
-                        rows.append((key, part, at, start, len(ids) // 4, ids))
+                    for key, start, ids in read_documents(source, wanted):
+                        rows.append((key, before + start, len(ids) // 4, ids))
                         size += len(ids)
                         if size > 4 << 20:
                             yield batch_of(rows)
@@ -156,7 +156,7 @@ def _read(folder: str, wanted: set | None):
                         yield batch_of(rows)
 
     def batch_of(rows):
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = [c.split()[0] for c in READ.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -169,7 +169,6 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: set[int] | None = None
     With ``wanted`` only these documents' frames are decompressed.  The places of files are a running sum over the
     manifest, one row per file."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    places = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
-    files = manifest.select("part", "file").repartition(max(1, manifest.count()), "part")
-    rows = files.mapInArrow(_read(folder, wanted), READ).join(places, "part")
-    return rows.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    places = manifest.select("part", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
+    files = places.repartition(max(1, manifest.count()), "part")
+    return files.mapInArrow(_read(folder, wanted), READ)
