@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -14,64 +13,89 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored
 from .tokens import Encoder, tokenizer
 
-# characters of the texts of a block, which share one word list
-BLOCK = 12 << 20
-ROWS = "block long, bucket int, key {kind}, blob binary"
+# characters of the texts of a block, which share one word list, and of the texts packed in one row
+BLOCK, ROW = 32 << 20, 1 << 20
+ROWS = "block long, bucket int, keys array<{kind}>, blob binary"
 
 
-def _packed(parts: list[bytes]) -> bytes:
-    """Lengths and bytes of a list, compressed."""
-    lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zstandard.compress(np.uint32(len(parts)).tobytes() + lengths.tobytes() + b"".join(parts))
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, of which the high ones compress to nothing."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unpacked(blob: bytes) -> list[bytes]:
+def _numbers(raw: bytes, start: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, start).reshape(4, n).T).view("<u4").ravel()
+
+
+def _packed(numbers: list[np.ndarray], rest: bytes = b"") -> bytes:
+    """Lists of numbers and some bytes, compressed."""
+    sizes = np.array([len(numbers), *map(len, numbers)], "<u4").tobytes()
+    return zstandard.compress(sizes + b"".join(map(_planes, numbers)) + rest)
+
+
+def _unpacked(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.decompress(blob)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    ends = (np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
-    return [raw[s:e] for s, e in zip([4 + 4 * n, *ends], ends)]
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    at, out = 4 + 4 * n, []
+    for size in np.frombuffer(raw, "<u4", n, 4).tolist():
+        out.append(_numbers(raw, at, size))
+        at += 4 * size
+    return out, raw[at:]
 
 
-def _codes(codes: np.ndarray) -> bytes:
-    small = codes.astype(np.uint16) if len(codes) == 0 or codes.max() < 65536 else codes.astype(np.uint32)
-    return bytes([small.itemsize]) + zstandard.compress(small.tobytes())
+def _parts(raw: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    return [raw[s:e] for s, e in zip([0, *ends], ends)]
 
 
 def _split(path: str, buckets: int):
     def run(batches):
-        """Blocks of texts: a row per text with the numbers of its words, and a row per bucket of the block's words."""
+        """Blocks of texts: rows of texts as the numbers of their words, and a row per bucket of the block's words."""
         encoder = Encoder(path, keep_space=False)
-        block = TaskContext.get().partitionId() << 33
-        keys, texts, size, schema = [], [], 0, None
+        block, schema = TaskContext.get().partitionId() << 33, None
+        ids, keys, codes, sizes, held = {}, [], [], [], 0
 
         def flush():
-            ids, parts = {}, []
-            for text in texts:
-                if text.isascii() and "<|" not in text:  # the tokenizer lower-cases: fewer distinct words
-                    text = text.lower()
-                parts.append(np.array([ids.setdefault(w, len(ids)) for w in encoder.chunks(text)], np.int64))
+            flat = np.concatenate(codes)
+            order = np.argsort(-np.bincount(flat, minlength=len(ids)), kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.arange(len(ids))
             words = [w.encode() for w in ids]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")  # words are numbered by bucket, then by appearance
-            number = np.empty(len(words), np.int64)
-            number[order] = np.arange(len(words))
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-            lists = [(b, [words[i] for i in order[cuts[b]:cuts[b + 1]].tolist()]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            rows = [(b, None, _packed(w)) for b, w in lists] + [(buckets, k, _codes(number[p])) for k, p in zip(keys, parts)]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))[order]
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
+            rows = []
+            for b in range(buckets):
+                if cuts[b] < cuts[b + 1]:
+                    ranks = by[cuts[b]:cuts[b + 1]]
+                    own = [words[i] for i in order[ranks].tolist()]
+                    rows.append((b, None, _packed([np.diff(ranks, prepend=0), np.array([*map(len, own)])], b"".join(own))))
+            first = size = 0
+            for i, n in enumerate(sizes):
+                size += n
+                if size >= ROW or i + 1 == len(sizes):
+                    numbers = [rank[c] for c in codes[first:i + 1]]
+                    rows.append((buckets, keys[first:i + 1], _packed([np.array([*map(len, numbers)]), np.concatenate(numbers)])))
+                    first, size = i + 1, 0
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(rows), block)), pa.array([r[0] for r in rows], pa.int32()),
-                 pa.array([r[1] for r in rows], schema.field(0).type), pa.array([r[2] for r in rows], pa.binary())],
-                ["block", "bucket", "key", "blob"])
+                 pa.array([r[1] for r in rows], pa.list_(schema.field(0).type)), pa.array([r[2] for r in rows], pa.binary())],
+                ["block", "bucket", "keys", "blob"])
 
         for batch in batches:
             schema = batch.schema
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = text or ""
+                if text.isascii() and "<|" not in text:  # the tokenizer lower-cases: fewer distinct words
+                    text = text.lower()
+                words = encoder.chunks(text)
+                codes.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
                 keys.append(key)
-                texts.append(text or "")
-                size += len(texts[-1])
-                if size >= BLOCK:
+                sizes.append(len(text))
+                held += len(text)
+                if held >= BLOCK:
                     yield flush()
-                    keys, texts, size, block = [], [], 0, block + 1
+                    ids, keys, codes, sizes, held, block = {}, [], [], [], 0, block + 1
         if keys:
             yield flush()
 
@@ -88,9 +112,11 @@ def _encoded(path: str):
                 if bucket != now:
                     now = bucket
                     encoder.memo.clear()
-                words = [w.decode() for w in _unpacked(blob.as_py())]
+                (ranks, lengths), raw = _unpacked(blob.as_py())
+                words = [w.decode() for w in _parts(raw, lengths)]
                 encoder.learn(words, keep=True)
-                out.append(_packed([encoder.memo[w] for w in words]))
+                ids = [encoder.memo[w] for w in words]
+                out.append(_packed([ranks, np.array([*map(len, ids)]), np.frombuffer(b"".join(ids), np.uint32)]))
             yield batch.set_column(batch.schema.get_field_index("blob"), "blob", pa.array(out, pa.binary()))
 
     return run
@@ -100,33 +126,32 @@ def _joined(path: str):
     def run(batches):
         """Ids and decoded texts: for each block first its word lists, then its texts."""
         known = tokenizer(path)
-        pieces = defaultdict(bytes, {i: p.encode() for p, i in known.get_vocab(with_added_tokens=True).items()})
-        now, lists, flat, decoded = None, [], [], None
+        pieces = {i: p.encode() for p, i in known.get_vocab(with_added_tokens=True).items()}
+        now, lists, ids, decoded = None, [], [], None
         for batch in batches:
-            keys, ids, texts = [], [], []
-            last = batch.column("last").to_pylist()
-            for row, (block, is_text) in enumerate(zip(batch.column("block").to_pylist(), last)):
+            kind = batch.schema.field("keys").type.value_type
+            for row, (block, is_text) in enumerate(zip(batch.column("block").to_pylist(), batch.column("last").to_pylist())):
                 if block != now:
-                    now, flat, decoded = block, [], None
-                blob = batch.column("blob")[row].as_py()
+                    now, lists, decoded = block, [], None
+                numbers, _ = _unpacked(batch.column("blob")[row].as_py())
                 if not is_text:
-                    flat += _unpacked(blob)
+                    lists.append(numbers)
                     continue
                 if decoded is None:  # the id-to-piece join, once per distinct word of the block
-                    decoded = [b" ".join([pieces[i] for i in np.frombuffer(w, np.uint32).tolist()]) for w in flat]
-                codes = np.frombuffer(zstandard.decompress(blob[1:]), np.uint16 if blob[0] == 2 else np.uint32).tolist()
-                keys.append(row)
-                ids.append(b"".join([flat[c] for c in codes]))
-                texts.append(b" ".join([decoded[c] for c in codes if decoded[c]]))
-                if sum(map(len, texts[-64:])) > 4 << 20:
-                    yield batch_of(batch, keys, ids, texts)
-                    keys, ids, texts = [], [], []
-            if keys:
-                yield batch_of(batch, keys, ids, texts)
-
-    def batch_of(batch, rows, ids, texts):
-        return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), pa.array(ids, pa.binary()),
-                                           pa.array(texts, pa.binary()).cast(pa.string())], ["key", "ids", "decoded"])
+                    size = sum(len(x[0]) for x in lists)
+                    ids, decoded = [b""] * size, [b""] * size
+                    for ranks, lengths, flat in lists:
+                        for at, word in zip(np.cumsum(ranks, dtype=np.int64).tolist(), _parts(flat.tobytes(), lengths)):
+                            ids[at] = word
+                            decoded[at] = b" ".join([pieces.get(i, b"") for i in np.frombuffer(word, np.uint32).tolist()])
+                lengths, flat = numbers
+                ends = np.cumsum(lengths, dtype=np.int64).tolist()
+                codes = flat.tolist()
+                texts = [codes[s:e] for s, e in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(batch.column("keys")[row].as_py(), kind), pa.array([b"".join([ids[c] for c in t]) for t in texts], pa.binary()),
+                     pa.array([b" ".join([decoded[c] for c in t if decoded[c]]) for t in texts], pa.binary()).cast(pa.string())],
+                    ["key", "ids", "decoded"])
 
     return run
 
@@ -143,7 +168,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     count.  Repeated rows and null ids stay as they are; other columns are not returned."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 4 * parts
+    buckets = buckets or parts
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     schema = ROWS.format(kind=rows.schema["key"].dataType.simpleString())
     blocks = stored(rows.mapInArrow(_split(path, buckets), schema))
