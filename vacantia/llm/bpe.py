@@ -15,6 +15,8 @@ from .tokens import Encoder, tokenizer
 
 # characters of the texts of a block, which share one word list, and of the texts packed in one row
 BLOCK, ROW = 32 << 20, 1 << 20
+# compression of what is stored and shuffled: time for disk
+LEVEL = 15
 ROWS = "block long, bucket int, keys array<{kind}>, blob binary"
 
 
@@ -30,7 +32,7 @@ def _numbers(raw: bytes, start: int, n: int) -> np.ndarray:
 def _packed(numbers: list[np.ndarray], rest: bytes = b"") -> bytes:
     """Lists of numbers and some bytes, compressed."""
     sizes = np.array([len(numbers), *map(len, numbers)], "<u4").tobytes()
-    return zstandard.compress(sizes + b"".join(map(_planes, numbers)) + rest)
+    return zstandard.compress(sizes + b"".join(map(_planes, numbers)) + rest, LEVEL)
 
 
 def _unpacked(blob: bytes) -> tuple[list[np.ndarray], bytes]:
