@@ -11,11 +11,28 @@ ROUNDS = 8
 # fixed values: the formats that are looked for, in the order in which they are tried
 EMAIL = (r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?"
          r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?){1,8}")
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)\b"
-DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}(?<mark>[/.\-])[0-9]{2}\k<mark>[0-9]{4})(?![0-9])"
+# characters of an account number by country; spaced ones stand in groups of four
+LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+           22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+           26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+           31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _account(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    spaced = f"(?: [A-Z0-9]{{4}}){{{groups}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{length - 4}}}|{spaced})"
+
+
+# countries without a known length, last, may take any number of groups
+IBAN = (r"\b(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_account(n, c) for n, c in LENGTHS.items()) + r"|(?!" + "|".join(" ".join(LENGTHS.values()).split())
+        + r")[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?))\b")
+DATE = (r"(?<![0-9])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
+        r"|[0-9]{1,2}(?<mark>[/.\-])[0-9]{1,2}\k<mark>[0-9]{4})(?![0-9])")
 SOCIAL = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = (r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?\([0-9]{1,4}\)(?:[ .\-]?[0-9]{2,4}){2,3}|\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){3,5}|\+[0-9]{8,15}"
-         r"|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])")
+         r"|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}"
+         r"|0[0-9]{2} [0-9]{4} [0-9]{4}|0[0-9]{3} [0-9]{3} [0-9]{4}|0[0-9]{4} [0-9]{3} [0-9]{3}|0[1-9](?: [0-9]{2}){4}|0[0-9]{2,4} [0-9]{5,8})(?![0-9])")
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<four>[ \-])[0-9]{4}\k<four>[0-9]{4}\k<four>[0-9]{4}|[0-9]{4}(?<six>[ \-])[0-9]{6}\k<six>[0-9]{5})(?![0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
 SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
@@ -173,11 +190,11 @@ def _day(value: Column) -> Column:
     year = F.when(first, n[0]).otherwise(n[2])
     month = F.when(first | ~monthly, n[1]).otherwise(n[0])
     day = F.when(first, n[2]).when(monthly, n[1]).otherwise(n[0])
-    return F.datediff(F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd"), F.to_date(F.lit(EPOCH)))
+    return F.datediff(F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"), F.to_date(F.lit(EPOCH)))
 
 
 def date(value: Column, key: str) -> Column:
-    """A day of 1900 to 2079 to another one, written in the same order with the same separators."""
+    """A day of 1900 to 2079 to another one, written in the same order with the same separators; a part of one digit is not padded."""
     n = F.split(value, r"[/.\-]")
     yearly, monthly = F.length(n[0]) == 4, n[1].cast("int") > 12
     mark = F.regexp_extract(value, r"[/.\-]", 0)
@@ -186,7 +203,10 @@ def date(value: Column, key: str) -> Column:
     new = F.transform(F.array(pair), lambda p: F.date_add(F.lit(EPOCH).cast("date"), (p.a * 256 + p.b).cast("int")))
 
     def written(d, *order):
-        return F.concat_ws("", *[x for part in order for x in (mark, F.date_format(d, part))][1:])
+        def number(part, i):
+            return F.date_format(d, part) if part == "yyyy" else F.when(F.length(n[i]) == 1, F.date_format(d, part[0])).otherwise(F.date_format(d, part))
+
+        return F.concat_ws("", *[x for i, part in enumerate(order) for x in (mark, number(part, i))][1:])
 
     return F.transform(new, lambda d: F.when(yearly, written(d, "yyyy", "MM", "dd")).when(
         monthly, written(d, "MM", "dd", "yyyy")).otherwise(written(d, "dd", "MM", "yyyy")))[0]
