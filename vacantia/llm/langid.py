@@ -27,7 +27,7 @@ FAMILY = {language: family for family, languages in FAMILIES.items() for languag
 UNKNOWN = "und"
 BINS = 1 << 13
 # bounds of the labelled sample that the machines are fitted on
-LANGUAGES, PER_LANGUAGE, SAMPLE = 200, 500, 4000
+PER_LANGUAGE, SAMPLE = 500, 4000
 PART = 1 << 20
 
 # bytes to letters: A-Z lower-cased, bytes of other scripts as they are, everything else a blank
@@ -141,22 +141,23 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        languages: int = LANGUAGES, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
+        per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
     """Machines fitted on a bounded sample of labelled documents that are not held out; None if there are none.
 
-    Of each of the ``languages`` most frequent labels, up to ``per_language`` documents of smallest hashed id are taken,
-    evenly fewer where that exceeds ``sample`` rows in all.  Whole texts become features in tasks; the driver gets
+    Of each label, the ``sample`` most frequent ones at most, up to ``per_language`` documents of smallest hashed id are
+    taken, evenly fewer where that exceeds ``sample`` rows in all.  Whole texts become features in tasks; the driver gets
     the sparse features of the sample only."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(~held_out("id") & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
     if not common:
         return None
     each = max(1, min(per_language, sample // len(common)))
     ranked = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id")
     # about twice the rows wanted pass by their hash, so that ranking never meets a whole language
-    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(int(min(1.0, 2 * each / r["count"]) * (1 << 30)))) for r in common])
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("id", "lang")
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 2 * each / r["count"]) * (1 << 30))) for r in common], "lang string, share long")
+    chosen = rows.select("id", "lang").join(F.broadcast(shares), "lang")
+    chosen = chosen.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share")).select("id", "lang")
     chosen = chosen.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= each)
     chosen = F.broadcast(chosen.select("id", "lang").distinct())
     texts = rows.join(chosen, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
