@@ -10,9 +10,9 @@ from ..functions.text import c, infer_field, let
 from .grouping import fence, first_by, modal, names, top_k
 
 
-def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> DataFrame:
+def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7, items: str | None = None) -> DataFrame:
     """Adds list_path, list_length, homogeneity, density, fields, reasons, score, evidence, confidence,
-    id_field, title_field, total_path, total of each exchange.
+    id_field, title_field, total_path, total of each exchange; and, named ``items``, the whole array at list_path.
 
     All of it is row-wise over whole arrays, so no exchange meets another one; only ``sample_fields``, which is for
     display, is cut to 100 names, after the fields were chosen."""
@@ -49,7 +49,9 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7) -> Da
         "title_field": infer_field("_names", "title"), "sample_fields": F.slice("_names", 1, 100),
     })
     df = df.withColumn("confidence", K.confidence("score"))
-    out = ["list_path", "list_length", "homogeneity", "density", "fields", "sample_fields", "reasons", "total_path", "total", "score", "evidence", "id_field", "title_field", "confidence"]
+    if items:
+        df = df.withColumn(items, F.col("_items"))
+    out = [*([items] if items else []), "list_path", "list_length", "homogeneity", "density", "fields", "sample_fields", "reasons", "total_path", "total", "score", "evidence", "id_field", "title_field", "confidence"]
     return fence(df.drop("_arrays", "_sets", "_counts", "_fields", "_ranked", "_best", "_items", "_names", "_top", "_object", "_total"), out)
 
 

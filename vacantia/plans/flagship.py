@@ -39,9 +39,8 @@ def page_job_audit(t):
 select run_id, count(*) as raw_rows, count(*) filter (r = 1) as jobs, count(*) filter (r = 1 and lang = 'es' and {S.credible_body('line')}) as full_texts from d group by 1""")
 def captured_jobs(t):
     """Captured responses to jobs per run: score, keep credible sources, explode, first id wins, read the text."""
-    df = D.score_exchanges(I.exchanges(t), "url", "payload").filter("confidence = 'HIGH' and size(reasons) = 0")
-    records = F.coalesce(R.as_array("payload"), F.try_variant_get("payload", "$.result.list", "array<variant>"))
-    rows = df.select("run_id", "entry_index", "id_field", "title_field", F.posexplode(records).alias("pos", "raw")).withColumn("rec", R.as_record("raw"))
+    df = D.score_exchanges(I.exchanges(t), "url", "payload", items="records").filter("confidence = 'HIGH' and size(reasons) = 0")
+    rows = df.select("run_id", "entry_index", "id_field", "title_field", F.posexplode("records").alias("pos", "raw")).withColumn("rec", R.as_record("raw"))
     jobs = rows.select("run_id", "entry_index", "pos", R.as_text(F.try_element_at("rec", F.col("id_field"))).alias("job_id"),
                        R.as_text(F.try_element_at("rec", F.col("title_field"))).alias("title"), J.pick_jd("rec").alias("jd"))
     jobs = jobs.filter("job_id is not null and title <> ''").select("run_id", "entry_index", "pos", "job_id", (F.col("jd.state") == "FULL_TEXT").alias("full"))
