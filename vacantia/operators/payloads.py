@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from .. import vocab as V
 from ..functions import jd as J, records as R
@@ -40,8 +41,45 @@ def flatten_rows(df: DataFrame, v: str, depth: int = 6) -> DataFrame:
     return out.select(*rest, F.col("_e.path").alias("path"), F.col("_e.kind").alias("kind"), F.col("_e.value").alias("value"))
 
 
+def _below(depth: int):
+    """UDF over JSON texts: the objects more than ``depth`` levels down, as a JSON array of (at, path, value).
+
+    Built inside a function, so executors receive the code itself and need no copy of this package."""
+    def walk(texts):
+        import json
+
+        import pandas as pd
+
+        def objects(root):
+            found, left = [], [([], [], root)]
+            while left:
+                at, path, value = left.pop()
+                named = [(k, k, x) for k, x in value.items()] if isinstance(value, dict) else [(f"{i:09}", f"{i:02}", x) for i, x in enumerate(value)]
+                for a, p, x in named:
+                    if isinstance(x, (dict, list)):
+                        left.append(([*at, a], [*path, p], x))
+                        if isinstance(x, dict) and len(at) >= depth:
+                            found.append({"at": [*at, a], "path": [*path, p], "value": json.dumps(x, ensure_ascii=False)})
+            return json.dumps(found, ensure_ascii=False)
+
+        return pd.Series([None if t is None else objects(json.loads(t)) for t in texts])
+
+    return F.pandas_udf(walk, StringType())
+
+
+def _deep_text(v, depth: int) -> Column:
+    """The JSON text of a payload with more than ``depth`` levels of brackets below its own, else null."""
+    text = F.to_json(c(v))
+    rest = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
+    for _ in range(depth + 1):
+        rest = F.regexp_replace(rest, r"\{\}|\[\]", "")
+    return F.when(rest != "", text)
+
+
 def _objects(v, depth: int) -> Column:
-    """array<struct<at,path,value>> of the objects of a payload, inside arrays as well, all items; ``at`` sorts depth-first."""
+    """array<struct<at,path,value>> of the objects of a payload, inside arrays as well, all items; ``at`` sorts depth-first.
+
+    Levels up to ``depth`` are expressions; only payloads that go on below are walked to their end in Python."""
     none = F.expr(R.NO_STRINGS)
     level = F.array(F.struct(none.alias("at"), none.alias("path"), c(v).alias("value")))
     nodes = [level]
@@ -55,7 +93,9 @@ def _objects(v, depth: int) -> Column:
         nested = lambda n: R.kind(n["value"]).startswith("OBJECT") | R.kind(n["value"]).startswith("ARRAY")
         level = F.filter(F.flatten(F.transform(level, lambda n: F.concat(members(n), items(n)))), nested)
         nodes.append(level)
-    return F.filter(F.flatten(F.array(*nodes)), lambda n: R.kind(n["value"]).startswith("OBJECT"))
+    below = F.from_json(F.coalesce(_below(depth)(_deep_text(v, depth)), F.lit("[]")), "array<struct<at:array<string>,path:array<string>,value:string>>")
+    deeper = F.transform(below, lambda n: F.struct(n["at"].alias("at"), n["path"].alias("path"), R.parse(n["value"]).alias("value")))
+    return F.concat(F.filter(F.flatten(F.array(*nodes)), lambda n: R.kind(n["value"]).startswith("OBJECT")), deeper)
 
 
 def detail_record(v, depth: int = 6) -> Column:
