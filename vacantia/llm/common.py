@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import configure
@@ -84,3 +87,28 @@ def slices(texts: list, most: int = 1 << 20):
         size += len(text or "")
     if start < len(texts):
         yield start, len(texts)
+
+
+def packed(numbers: list[np.ndarray], rest: bytes = b"", level: int = 3) -> bytes:
+    """Lists of numbers below 2^32 and some bytes, compressed; numbers as four planes of bytes, of which high ones shrink to nothing."""
+    sizes = np.array([len(numbers), *map(len, numbers)], "<u4").tobytes()
+    planes = [n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for n in numbers]
+    return zstandard.compress(sizes + b"".join(planes) + rest, level)
+
+
+def unpacked(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    """What ``packed`` took."""
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    at, out = 4 + 4 * n, []
+    for size in np.frombuffer(raw, "<u4", n, 4).tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size).T).view("<u4").ravel())
+        at += 4 * size
+    return out, raw[at:]
+
+
+def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of the given lengths."""
+    ends = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return ends[cuts[1:]] - ends[cuts[:-1]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, line_dedup, packing, pii, quality, simhash, suffix_dedup, token_files, topk
+from . import alignment, bpe, fingerprints, langid, lexical, line_dedup, packing, pii, quality, simhash, suffix_dedup, token_files, topk
 from .common import session
 
 QUERIES, ORACLES = {}, {}
@@ -130,3 +130,80 @@ def op10_quality(table) -> DataFrame:
     """Measures, base rule and verdict of every document."""
     out = quality.judge(table("documents"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query()
+def op11_alignment(table) -> DataFrame:
+    """How the tokens of two tokenizers share the bytes of every document."""
+    out = alignment.align(table("documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+_PIECES = r"""flatten(list_transform(string_split(replace(replace(replace(replace({text},
+    '. ', '. ' || chr(10)), '! ', '! ' || chr(10)), '? ', '? ' || chr(10)), '。', '。' || chr(10)), chr(10)),
+    lambda p: case when length(p) > 256 then regexp_extract_all(p, '(?s).{{1,256}}') else [p] end))"""
+_LANES = """list_transform(range(128), lambda l: ((2 * list_sum(list_transform({words}, lambda h:
+    (h[(l // 32 + 1)::bigint] >> (l % 32)) & 1)) - len({words})) % 65536 + 65536)::bigint % 65536)"""
+_WORDS = """list_transform({pieces}, lambda p: list_transform(range(4), lambda k:
+    ('0x' || sha256(p)[(8 * k + 1)::bigint:(8 * k + 8)::bigint])::bigint))"""
+_LIKE = """case when {a} = {b} then 1.0::double else greatest(0.0::double, least(1.0::double,
+    (2 * list_sum(list_transform(range(1, 129), lambda i: {sa} * {sb})))::double
+    / list_sum(list_transform(range(1, 129), lambda i: {sa} * {sa} + {sb} * {sb}))::double)) end"""
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    signed = lambda x: f"(({x}[i] + 32768) % 65536 - 32768)::bigint"
+    return _LIKE.format(a=a, b=b, sa=signed(a), sb=signed(b))
+
+
+@query(f"""
+with docs as (select doc_id, coalesce(text, '') as text from documents),
+followed as (
+  select doc_id, text, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next_text from docs),
+edited as (
+  select *, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) as new_text from followed),
+hashed as (
+  select *, {_WORDS.format(pieces=_PIECES.format(text='text'))} as w, {_WORDS.format(pieces=_PIECES.format(text='new_text'))} as nw from edited),
+summed as (select *, {_LANES.format(words='w')} as a, {_LANES.format(words='nw')} as e from hashed),
+beside as (
+  select *, coalesce(lead(a) over (order by doc_id), first_value(a) over (order by doc_id)) as b from summed)
+select doc_id, length(text) as n_chars, sha256(new_text) as edited_sha256,
+  array_to_string(list_transform(a, lambda x: lower(lpad(to_hex(x), 4, '0'))), '') as fingerprint,
+  array_to_string(list_transform(e, lambda x: lower(lpad(to_hex(x), 4, '0'))), '') as edited_fingerprint,
+  {_likeness_sql('a', 'e')} as near_edited, {_likeness_sql('a', 'b')} as near_next
+from beside
+""")
+def op12_fingerprints(table) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near they are."""
+    out = fingerprints.with_edits(table("documents"))
+    like = lambda other: fingerprints.likeness(F.col("lanes"), F.col(other))
+    return out.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
+                      fingerprints.spelled(F.col("lanes")).alias("fingerprint"),
+                      fingerprints.spelled(F.col("edited_lanes")).alias("edited_fingerprint"),
+                      like("edited_lanes").alias("near_edited"), like("next_lanes").alias("near_next"))
+
+
+@query(r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+asked as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+sums as (select count(*)::bigint as n_docs, sum(len(t))::bigint as total from words where len(t) > 0),
+counted as (
+  select doc_id, term, count(*)::bigint as tf, any_value(n)::bigint as n
+  from (select doc_id, len(t) as n, unnest(t) as term from words) group by doc_id, term),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from counted, sums group by term),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total))))::bigint as score
+  from asked join counted using (term) join weights using (term), sums group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+""")
+def op13_lexical_search(table) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table("benchmark"), lexical.index(table("documents")), k=10)
