@@ -47,10 +47,11 @@ def test_given_tables(spark):
     assert rows(lexical.search(items, lexical.index(docs))) == want
 
 
-@pytest.mark.parametrize("batch, width, block", [(1 << 14, 4096, 512), (8, 16, 3), (1, 1, 1)])
-def test_hard_cases(spark, odd, batch, width, block, monkeypatch):
+@pytest.mark.parametrize("batch, width, block, sent", [(1 << 14, 4096, 512, 1 << 20), (8, 16, 3, 0), (1, 1, 1, 1 << 20)])
+def test_hard_cases(spark, odd, batch, width, block, sent, monkeypatch):
     monkeypatch.setattr(lexical, "BATCH", batch)
     monkeypatch.setattr(lexical, "DOCUMENTS", block)
+    monkeypatch.setattr(lexical, "BROADCAST", sent)
     odd = odd.unionByName(odd.limit(3).selectExpr("cast(null as long) doc_id", *[f"`{c}`" for c in odd.columns if c != "doc_id"]))
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     asked = [(0, "the Word word 123 ß É"), (1, None), (2, ""), (3, "nowhere-to-be-found"), (4, docs[0][1]), (4, "zzz"), (5, "1 2 3 don't"),

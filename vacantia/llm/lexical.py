@@ -23,6 +23,8 @@ from .common import stored
 WIDTH, DOCUMENTS, TERMS, BATCH = 4096, 512, 1 << 18, 1 << 14
 # lists one step of the merge takes together, blocks that one copy of a batch meets, documents scored between two looks at the bound
 FAN_IN, BLOCKS_A_COPY, STEP = 64, 4, 32
+# bytes of all queries together up to which they are sent to every task whole
+BROADCAST = 8 << 20
 # 0-9, A-Z (as a-z), a-z and all bytes of characters beyond ASCII form terms; other bytes become blanks
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 BLOCKS = "ids array<long>, lengths array<long>, sizes array<int>, terms array<string>, counts array<int>"
@@ -66,8 +68,8 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return stored(rows.mapInArrow(_blocks, BLOCKS))
 
 
-def _queries(queries: DataFrame, blocks: DataFrame, n_docs: int, id_col: str, text_col: str) -> DataFrame:
-    """Batches of queries: batch, items array of (id, terms, weights); a weight counts the term's repeats."""
+def _queries(queries: DataFrame, blocks: DataFrame, n_docs: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Batches of queries: batch, items array of (id, terms, weights); a weight counts the term's repeats.  And their size in bytes."""
     def counted(rows):
         for batch in rows:
             found = [(key, t.decode(), n) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -81,10 +83,11 @@ def _queries(queries: DataFrame, blocks: DataFrame, n_docs: int, id_col: str, te
     held = blocks.select(F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     weight = F.floor(1000 * F.ln(F.lit(2.0 * n_docs + 2) / (2.0 * F.col("df") + 1)))
     weights = held.groupBy("term").agg(F.count("*").alias("df")).select("term", weight.alias("weight"))
-    batches = max(1, -(-terms.count() // BATCH))
+    count, size = (int(x or 0) for x in terms.select(F.count("*"), F.sum(F.octet_length("term") + 32)).first())
+    batches = max(1, -(-count // BATCH))
     items = terms.join(weights, "term").groupBy("id").agg(F.collect_list(F.struct("term", (F.col("n") * F.col("weight")).alias("weight"))).alias("t"))
     item = F.struct("id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
-    return stored(items.groupBy(F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch")).agg(F.collect_list(item).alias("items")))
+    return stored(items.groupBy(F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch")).agg(F.collect_list(item).alias("items"))), size
 
 
 class Batch:
@@ -199,17 +202,21 @@ def search(queries: DataFrame, blocks: DataFrame, k: int = 10, id_col: str = "it
     query or document without id or term has no result; a query id counts once (its least text), a repeated document
     row as often as it stands.  An empty side gives an empty table; other columns do not matter.
 
-    Block and batch meet by an equality join on the batch's number, carried by each block.  A task keeps k documents
+    Block and batch meet by an equality join on the batch's number, carried by each block: queries of at most
+    ``BROADCAST`` bytes go to every task, more are shuffled, in copies for a few blocks each.  A task keeps k documents
     a query over all its blocks, so later blocks are cut by what earlier ones hold, and lists are merged in a tree."""
     sums = blocks.select(F.sum(F.size("ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x)), F.count("*")).first()
     n_docs, total, n_blocks = (int(x or 0) for x in sums)
-    batches = _queries(queries, blocks, n_docs, id_col, text_col)
+    batches, size = _queries(queries, blocks, n_docs, id_col, text_col)
     numbers = [r[0] for r in batches.select("batch").collect()]
     copies = max(1, -(-n_blocks // BLOCKS_A_COPY))
     spread = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)).cast("array<bigint>"))
     carried = F.explode(F.array(*map(F.lit, numbers)).cast("array<bigint>"))
     pairs = blocks.withColumn("copy", F.pmod(F.xxhash64("ids"), F.lit(copies))).withColumn("batch", carried)
-    pairs = pairs.join(batches.withColumn("copy", spread), ["batch", "copy"])
+    if size <= BROADCAST:
+        pairs = pairs.join(F.broadcast(batches), "batch")
+    else:
+        pairs = pairs.join(batches.withColumn("copy", spread).hint("merge"), ["batch", "copy"])
     lists = pairs.mapInArrow(_searched(k, n_docs, total, width), "item_id long, doc_id long, score long, part long")
     groups = max(1, -(-n_blocks // FAN_IN))
     while groups > 1:
