@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from vacantia import vocab as V
 from vacantia.functions import company as C, export as E, jd as J, records as R, redact as X, text as T, urls as U
 
 
@@ -78,7 +79,8 @@ def test_secret_text_is_masked(spark):
 
 def test_cells_are_safe(spark):
     assert one(spark, "\x07=1+1\r\nx\ty", E.sanitize_cell("x")) == "'=1+1\nx\ty"
-    long = one(spark, "-" + "a" * 40000, E.sanitize_cell("x"))
+    assert one(spark, "-" + "a" * 40000, E.sanitize_cell("x")) == "'-" + "a" * 40000
+    long = one(spark, "-" + "a" * 40000, E.sanitize_cell("x", V.CELL_LIMIT))
     assert len(long) == 32768 and long.startswith("'-") and long.endswith("...[TRUNCATED]")
     assert one(spark, "+a\nb", E.csv_cell("x")) == "'+a ⏎ b" and one(spark, "plain\n=b", E.csv_cell("x")) == "plain ⏎ =b"
     assert one(spark, "a|b <i> \\ `c`\nd", E.md_inline("x")) == "a\\|b &lt;i&gt; \\\\ \\`c\\` d"

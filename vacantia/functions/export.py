@@ -18,18 +18,24 @@ def cell_body(text) -> Column:
     return F.regexp_replace(clean, "\r\n?", "\n")
 
 
-def sanitize_cell(text) -> Column:
-    """Sheet cell: clean body, capped with a marker, formula start quoted (after the cap)."""
-    return let(cell_body(text), lambda body: _quote_formula(F.when(F.length(body) > V.CELL_LIMIT, F.concat(
-        F.substring(body, 1, V.CELL_LIMIT - len(V.CELL_MARKER)), F.lit(V.CELL_MARKER))).otherwise(body)))
+def sanitize_cell(text, limit: int | None = None) -> Column:
+    """Sheet cell: clean body, formula start quoted.  Only with a ``limit`` it is cut (before the quote) and ends with a marker."""
+    cut = lambda body: F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit - len(V.CELL_MARKER)), F.lit(V.CELL_MARKER))).otherwise(body)
+    return let(cell_body(text), lambda body: _quote_formula(cut(body) if limit else body))
 
 
-def truncate_cell(text) -> Column:
-    """struct(text, truncated): a long value is cut and says where the whole text is."""
+def long_cell(text, limit: int | None = None) -> Column:
+    """Sheet cell of a long value; with a ``limit`` it is cut and says where the whole text is."""
     x = F.coalesce(c(text), F.lit(""))
-    long = F.length(x) > V.CELL_LIMIT
-    cut = F.concat(F.substring(x, 1, V.CELL_LIMIT - len(V.LONG_CELL_MARKER)), F.lit(V.LONG_CELL_MARKER))
-    return F.struct(sanitize_cell(F.when(long, cut).otherwise(x)).alias("text"), long.alias("truncated"))
+    if limit:
+        cut = F.concat(F.substring(x, 1, limit - len(V.LONG_CELL_MARKER)), F.lit(V.LONG_CELL_MARKER))
+        x = F.when(F.length(x) > limit, cut).otherwise(x)
+    return sanitize_cell(x, limit)
+
+
+def over_limit(*texts) -> Column:
+    """Does any of the values exceed what a cell of a workbook file holds?"""
+    return F.greatest(F.lit(0), *[F.coalesce(F.length(c(x)), F.lit(0)) for x in texts]) > V.CELL_LIMIT
 
 
 def csv_cell(text) -> Column:

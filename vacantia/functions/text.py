@@ -122,7 +122,7 @@ def unescape(x) -> Column:
     found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
     decoded = F.transform(found, lambda r: F.coalesce(_reference(F.substring(r, F.lit(2), F.length(r) - 2)), r))
     joined = F.array_join(F.zip_with(F.split(x, pattern, -1), decoded, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    return F.when(x.rlike(pattern), joined).otherwise(x)
+    return F.when(x.contains("&") & x.rlike(pattern), joined).otherwise(x)
 
 
 SKIPPED_TAGS = ["script", "style", "noscript", "svg", "header", "footer", "nav"]
@@ -131,13 +131,16 @@ _BREAK = "\x01"
 
 
 def html_lines(html) -> Column:
-    """Visible text lines of a page: skipped regions dropped, block tags break lines, entities decoded."""
-    x = F.regexp_replace(c(html), "(?s)<!--.*?-->", "")
-    x = F.regexp_replace(x, rf"(?is)<({'|'.join(SKIPPED_TAGS)})\b.*?</\1\s*>", _BREAK)
+    """Visible text lines of a page: skipped regions dropped, block tags break lines, entities decoded.
+
+    A skipped region ends with its closing tag, or with the page."""
+    from . import markup as M
+
+    x = F.regexp_replace(M.without_raw_text(html), M.region("|".join(SKIPPED_TAGS[2:]), 1), _BREAK)
     x = F.regexp_replace(x, V.WS + "+", " ")
-    x = F.regexp_replace(x, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>", _BREAK)
-    x = F.regexp_replace(x, "<[^>]+>", "")
-    return F.filter(F.transform(F.split(unescape(x), _BREAK), strip), lambda v: v != "")
+    breaks = rf"(?i:</?(?:{'|'.join(BLOCK_TAGS + SKIPPED_TAGS)})){M.NAME_END}{M.REST}{M.END}"
+    x = M.without_tags(F.regexp_replace(x, breaks, _BREAK))
+    return F.filter(F.transform(F.split(x, _BREAK), lambda v: strip(unescape(v))), lambda v: v != "")
 
 
 def plain(html) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as V
 from ..functions import records as R, redact as X, score as K, urls as U
-from ..functions.text import c, infer_field, let
+from ..functions.text import bounded_sample, c, infer_field, let
 from .grouping import fence, first_by, modal, names, top_k
 
 
@@ -46,7 +46,7 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7, items
                               F.size("reasons") > 0, empty),
         "evidence": K.list_evidence(url, "fields", "homogeneity", "density", "list_length", F.col("_total.path"), F.col("reasons"), empty),
         "id_field": F.coalesce(infer_field("_names", "id"), F.array_min(K.id_keys("fields"))),
-        "title_field": infer_field("_names", "title"), "sample_fields": F.slice("_names", 1, 100),
+        "title_field": infer_field("_names", "title"), "sample_fields": F.col("_names"),
     })
     df = df.withColumn("confidence", K.confidence("score"))
     if items:
@@ -59,16 +59,20 @@ def score_details(df: DataFrame, url: str, payload: str) -> DataFrame:
     return df.withColumn("detail_score", K.detail_score(url, R.keys_within(payload, 4)))
 
 
-def response_shape(df: DataFrame, payload: str) -> DataFrame:
-    """Adds top_level_keys, array_path, array_length, sample_fields, total_field of a response."""
+def response_shape(df: DataFrame, payload: str, items: int | None = None, most: int | None = None) -> DataFrame:
+    """Adds top_level_keys, array_path, array_length, sample_fields, total_field of a response.
+
+    Names come from all items and are all listed, unless a bounded sample is asked for: so many ``items`` of the array,
+    at ``most`` so many names."""
+    sample = lambda values, n: bounded_sample(values, n) if n else values
     df = df.withColumn("_arrays", R.arrays_in(payload, 7))
     df = df.withColumn("_a", F.array_max(F.transform("_arrays", lambda a, i: F.struct(a["n"].alias("n"), (-i).alias("o"), a["path"].alias("path")))))
     df = df.withColumn("_items", F.get(F.filter("_arrays", lambda a: a["path"] == F.col("_a.path")), F.lit(0))["items"])
-    keys = F.flatten(F.transform("_items", lambda v: F.coalesce(F.map_keys(R.as_record(v)), F.expr(R.NO_STRINGS))))
+    keys = F.flatten(F.transform(sample(F.col("_items"), items), lambda v: F.coalesce(F.map_keys(R.as_record(v)), F.expr(R.NO_STRINGS))))
     return df.withColumns({
-        "top_level_keys": F.slice(F.array_sort(F.map_keys(R.as_record(payload))), 1, 100),
+        "top_level_keys": sample(F.array_sort(F.map_keys(R.as_record(payload))), most),
         "array_path": F.col("_a.path"), "array_length": F.coalesce("_a.n", F.lit(0)),
-        "sample_fields": F.slice(F.array_sort(F.array_distinct(keys)), 1, 100),
+        "sample_fields": sample(F.array_sort(F.array_distinct(keys)), most),
         "total_field": R.find_total(payload, F.coalesce("_a.n", F.lit(0)))["path"],
     }).drop("_arrays", "_a", "_items")
 

@@ -72,9 +72,10 @@ def dedupe_first(df: DataFrame, keys, order) -> DataFrame:
 
 
 def page_ranked(df: DataFrame, run: str, page: str, index: str) -> DataFrame:
-    """Adds page_rank: when the page was first seen in the run."""
-    ranks = df.groupBy(run, page).agg(F.min(index).alias("page_rank"), F.count("*").alias("_size"))
-    return attach_group(df, ranks, [run, page], "_size", F.col(index)).drop("_size")
+    """Adds page_rank: when the page was first seen in the run; a row without a page has its own place."""
+    ranks = df.filter(F.col(page).isNotNull()).groupBy(run, page).agg(F.min(index).alias("page_rank"), F.count("*").alias("_size"))
+    out = attach_group(df, ranks, [run, page], "_size", F.col(index)).drop("_size")
+    return out.withColumn("page_rank", F.coalesce("page_rank", index))
 
 
 def duplicate_groups(df: DataFrame, keys, title: str, url: str, raw_id: str, fingerprint: str) -> DataFrame:

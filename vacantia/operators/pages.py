@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as V
-from ..functions import jd as J, records as R, score as K, urls as U
+from ..functions import jd as J, markup as M, records as R, score as K, urls as U
 from ..functions.text import c, contains_any, heading, let, squeeze, strip, unescape, without_space
 from .grouping import fence, first_by
 
@@ -41,23 +41,15 @@ def outcome_label(route_changed, dom_changed, job_source) -> Column:
             .when(c(route_changed) | c(dom_changed), "USEFUL_ROUTE_CHANGE").otherwise("NO_PROGRESS"))
 
 
-# an attribute value in double quotes, in single quotes or bare, one group each; a quoted value of another attribute
-VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-QUOTED = r"""=\s*"[^"]*"|=\s*'[^']*'"""
-
-
 def extract_links(df: DataFrame, html: str, base: str) -> DataFrame:
-    """One row per anchor: pos, href, label, resolved address, tag attributes."""
-    anchor = rf"(?is)<a\b((?:{QUOTED}|[^>\"'])*?\bhref\s*=\s*{VALUE}(?:{QUOTED}|[^>\"'])*)>(.*?)</a>"
-    glue = lambda a, b: F.concat(a, b)
-    part = lambda g: F.regexp_extract_all(c(html), F.lit(anchor), F.lit(g))
-    href = F.zip_with(F.zip_with(part(2), part(3), glue), part(4), glue)
-    zipped = F.arrays_zip(part(1).alias("attributes"), href.alias("href"), part(5).alias("body"))
+    """One row per anchor with an address: pos, href, label, resolved address, tag attributes."""
     rest = [n for n in df.columns if n != html]
-    out = df.select(*rest, F.posexplode(zipped).alias("pos", "_a"))
-    return out.select(*rest, "pos", unescape("_a.href").alias("href"),
-                      squeeze(unescape(F.regexp_replace("_a.body", "<[^>]+>", ""))).alias("label"),
-                      U.resolve(base, unescape("_a.href")).alias("resolved"), F.col("_a.attributes").alias("attributes"))
+    found = F.filter(F.transform(M.anchors(html), lambda a: F.struct(M.attribute(a, "href").alias("href"), a.alias("anchor"))),
+                     lambda a: a["href"].isNotNull())
+    out = df.select(*rest, F.posexplode(found).alias("pos", "_a"))
+    out = out.select(*rest, "pos", unescape("_a.href").alias("href"), F.col("_a.anchor").alias("_anchor"))
+    label = squeeze(unescape(M.without_tags(M.without_raw_text(M.anchor_body("_anchor")))))
+    return out.select(*rest, "pos", "href", label.alias("label"), U.resolve(base, "href").alias("resolved"), M.anchor_head("_anchor").alias("attributes"))
 
 
 def link_rejection(href, label, resolved, source_url, structural: Column | None = None) -> Column:
@@ -116,9 +108,7 @@ def recruitment_entries(links: DataFrame, page: str) -> DataFrame:
 
 def embedded_sources(df: DataFrame, html: str, base: str) -> DataFrame:
     """Public https frames and job widgets a page embeds."""
-    glue = lambda a, b: F.concat(a, b)
-    part = lambda tag, g: F.regexp_extract_all(c(html), F.lit(rf"(?is)<{tag}\b(?:{QUOTED}|[^>\"'])*?\bsrc\s*=\s*{VALUE}"), F.lit(g))
-    sources = lambda tag: F.transform(F.zip_with(F.zip_with(part(tag, 1), part(tag, 2), glue), part(tag, 3), glue), unescape)
+    sources = lambda tag: F.filter(F.transform(M.heads(html, tag), lambda x: unescape(M.attribute(x, "src"))), lambda x: x.isNotNull())
     frames = F.transform(sources("iframe"), lambda s: F.struct(F.lit("IFRAME").alias("kind"), s.alias("src")))
     widgets = F.transform(F.filter(sources("script"), lambda s: contains_any(s, ["job", "career", "recruit"])),
                           lambda s: F.struct(F.lit("EMBEDDED_WIDGET").alias("kind"), s.alias("src")))

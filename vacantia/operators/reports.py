@@ -42,17 +42,20 @@ def numbered_jobs(jobs: DataFrame, run: str, order: str) -> DataFrame:
     return running_total(jobs.withColumn("_one", F.lit(1).cast("bigint")), run, order, {"job_no": "_one"}).drop("_one")
 
 
-def workbook_jobs(jobs: DataFrame, run: str, order: str) -> DataFrame:
-    """Sheet of jobs: twenty columns, every text cell safe."""
-    long = lambda x: E.truncate_cell(x)["text"]
-    safe = lambda x: E.sanitize_cell(F.coalesce(F.col(x).cast("string"), F.lit("")))
+def workbook_jobs(jobs: DataFrame, run: str, order: str, limit: int | None = None) -> DataFrame:
+    """Sheet of jobs: twenty columns, every text cell safe and whole, and ``over_limit`` where a cell is too long for a workbook file.
+
+    Only with a ``limit`` cells are cut to it, with a marker."""
+    long = lambda x: E.long_cell(x, limit)
+    safe = lambda x: E.sanitize_cell(F.coalesce(F.col(x).cast("string"), F.lit("")), limit)
     link = lambda x, label: F.when(F.coalesce(F.col(x), F.lit("")) != "", label).otherwise("")
     rows = numbered_jobs(jobs, run, order)
     cells = [F.col("job_no"), safe("company"), safe("job_title"), safe("job_id"), safe("recruitment_type"), safe("job_category"), safe("department"),
-             E.sanitize_cell(E.locations_text("locations")), safe("education"), E.sanitize_cell(F.array_join("major", "、")), F.col("headcount"), safe("publish_date"),
+             E.sanitize_cell(E.locations_text("locations"), limit), safe("education"), E.sanitize_cell(F.array_join("major", "、"), limit), F.col("headcount"), safe("publish_date"),
              long(E.numbered("responsibilities")), long(E.numbered("requirements")), long(F.col("full_jd")), link("detail_url", "查看岗位"), link("apply_url", "前往投递"),
              link("source_url", "来源网页"), E.row_completeness("full_jd", "responsibilities", "requirements"), safe("jd_enrichment_status")]
-    return rows.select(run, *[x.alias(h) for x, h in zip(cells, V.SHEET_HEADERS)])
+    over = E.over_limit(E.numbered("responsibilities"), E.numbered("requirements"), "full_jd", "job_title", "company", "department")
+    return rows.select(run, *[x.alias(h) for x, h in zip(cells, V.SHEET_HEADERS)], over.alias("over_limit"))
 
 
 def workbook_summary(runs: DataFrame, run: str) -> DataFrame:

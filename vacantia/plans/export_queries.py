@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import vocab as V
+from .. import __version__, vocab as V
 from ..functions import company as C, export as E, jd as J, records as R, redact as X
 from ..operators import pages as P, planning as PL, providers as PR, reports as RP, summaries as M
 from ..sources import capture as CAP
@@ -50,7 +50,7 @@ def decoded_bodies(t):
 _LATIN = "regexp_replace(text, '[^\\x01-\\xff]', '?', 'g')"
 
 
-@query("S3 S6", f"select doc_id, sha256(case lang when 'es' then {_LATIN} else text end) as hash from documents")
+@query("S3", f"select doc_id, sha256(case lang when 'es' then {_LATIN} else text end) as hash from documents")
 def charset_texts(t):
     """Response bytes to text: UTF-8 with or without a mark, declared Latin-1, UTF-16."""
     latin = F.regexp_replace("text", r"[^\x01-\xff]", "?")
@@ -60,6 +60,18 @@ def charset_texts(t):
     return t.documents.select("doc_id", digest(CAP.decode_charset(bytes_, kind)).alias("hash"))
 
 
+_META = "case page_id % 3 when 0 then '<meta charset=\"utf-8\">' when 1 then '<meta http-equiv=\"Content-Type\" content=\"text/html; charset=ISO-8859-1\">' else '' end"
+
+
+@query("S6", f"select page_id, sha256(case page_id % 3 when 1 then regexp_replace({_META} || html, '[^\\x01-\\xff]', '?', 'g') else {_META} || html end) as hash from pages")
+def page_bodies(t):
+    """Pages as bytes in the charset that their own markup names, or none."""
+    html = F.concat(F.expr(_META), "html")
+    raw = F.when(F.col("page_id") % 3 == 1, F.encode(F.regexp_replace(html, r"[^\x01-\xff]", "?"), "ISO-8859-1")).otherwise(F.encode(html, "UTF-8"))
+    pages = CAP.read_pages(t.spark, f"{t.folder}/pages.parquet").select("page_id", raw.alias("content"))
+    return CAP.page_texts(pages, "content").select("page_id", digest("html").alias("hash"))
+
+
 @query("X11", "select doc_id, sha256(text) as hash from documents")
 def surrogate_free_texts(t):
     """Raw bytes with an encoded lone surrogate lose only the surrogate."""
@@ -188,9 +200,9 @@ _MD = "replace(regexp_replace(replace(replace(replace(replace(s, '&', '&amp;'),
 select doc_id, sha256({_QUOTE('capped')}) as cell, length({_QUOTE('capped')}) as cell_length, sha256({_QUOTE('one')}) as csv, sha256(md) as markdown, length(s) > 32767 as truncated from k""")
 def export_cells(t):
     """Sheet, CSV and Markdown forms of whole texts."""
-    df = I.spread(t.documents, "doc_id").select("doc_id", F.expr(_SPARK_CELL).alias("s")).withColumn("cell", E.sanitize_cell("s"))
+    df = I.spread(t.documents, "doc_id").select("doc_id", F.expr(_SPARK_CELL).alias("s")).withColumn("cell", E.sanitize_cell("s", V.CELL_LIMIT))
     return df.select("doc_id", digest("cell").alias("cell"), F.length("cell").cast("bigint").alias("cell_length"), digest(E.csv_cell("s")).alias("csv"),
-                     digest(E.md_inline("s")).alias("markdown"), E.truncate_cell("s")["truncated"].alias("truncated"))
+                     digest(E.md_inline("s")).alias("markdown"), E.over_limit("s").alias("truncated"))
 
 
 @query("X6 X9 X5", """select p_partkey, '1. ' || p_name || chr(10) || '2. ' || p_brand as numbered, case when p_size % 2 = 0 then p_brand || '；' || p_type else p_brand end as locations, case when p_size % 3 = 0 then 'Unknown' else 'brand=' || p_brand || '; type=' || p_type end as scope, p_name || ' ⏎ ' || p_type as csv from part""")
@@ -268,20 +280,28 @@ def human_summaries(t):
 
 @query("S15", f"""with {JOBS}, n as (select *, row_number() over (partition by run_id order by doc_id) as no, count(*) over (partition by run_id) <= 50 as whole from jobs),
  m as (select run_id, no as job_no, u.i, u.line from n, unnest(['### ' || no || '. ' || {_MD.replace('(s,', '(title,')}, '', '- Location: Paris；Lyon', '- Category: Unknown', '- Department: ' || run_id, '- Recruitment Type: 社招', '- Detail: https://h/' || doc_id] || case when whole then ['', '#### Full JD', '', '```text', replace(coalesce(nullif(full_jd, ''), 'No full JD available.'), '```', '` ` `'), '```'] else [] end || ['']) with ordinality as u(line, i))
-select run_id, job_no, (i - 1)::integer as line_no, sha256(line) as line from m""")
+select run_id, job_no, (i - 1)::integer as line_no, sha256(line) as line from m union all
+select run_id, 0, (i - 1)::integer, sha256(line) from (select distinct run_id from jobs), unnest(['# Job Collection Report', '', 'Generated by vacantia {__version__}', '', '## Overview', '', '- Company: Co', '- Platform: har', '- Source: u', '', '## Collection Result', '',
+ '- Expected: 1', '- Fetched: 1', '- Unique: 1', '- Status: COMPLETE', '', '## Jobs', '']) with ordinality as u(line, i)""")
 def report_lines(t):
     """Markdown report of every run, as ordered lines."""
     jobs = _export_jobs(t)
     runs = jobs.select("run_id").distinct().withColumns({"company": F.lit("Co"), "platform": F.lit("har"), "source_url": F.lit("u"), "total_expected": F.lit(1), "total_fetched": F.lit(1), "total_unique": F.lit(1), "status": F.lit("COMPLETE")})
-    return RP.report_lines(runs, jobs, "run_id", "doc_id").filter("job_no > 0").select("run_id", "job_no", "line_no", digest("line").alias("line"))
+    return RP.report_lines(runs, jobs, "run_id", "doc_id").select("run_id", "job_no", "line_no", digest("line").alias("line"))
+
+
+_BODY = lambda x: f"regexp_replace(regexp_replace({x}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\r\\n?', chr(10), 'g')"
+_SHEET = lambda x: _QUOTE(_BODY(x))
 
 
-@query("S16", f"""with {JOBS}, n as (select *, row_number() over (partition by run_id order by doc_id) as no from jobs) select run_id, no as "序号", {_QUOTE('title')} as "岗位名称", doc_id::varchar as "Job ID", 'Paris；Lyon' as "工作地点", case when resp then '1. ' || title else '' end as "岗位职责",
- case when coalesce(full_jd, '') = '' then 'MISSING_JD' when resp and req then 'COMPLETE' else 'STRUCTURE_PARTIAL' end as "数据完整性", '查看岗位' as "Detail URL", case when length(full_jd) > 32767 then true else false end as cut from n""")
+@query("S16", f"""with {JOBS}, n as (select *, row_number() over (partition by run_id order by doc_id) as no, case when resp then '1. ' || title else '' end as r1, case when req then '1. ' || title || chr(10) || '2. ' || lang else '' end as r2 from jobs)
+select run_id, no as "序号", case when doc_id % 2 = 0 then '''-Acme' else '' end as "公司", {_SHEET('title')} as "岗位名称", doc_id::varchar as "Job ID", '社招' as "招聘类型", '' as "岗位类别", {_SHEET('run_id')} as "部门", 'Paris；Lyon' as "工作地点", '' as "学历", 'CS' as "专业",
+ 2::integer as "招聘人数", '2024-01-01' as "发布时间", {_SHEET('r1')} as "岗位职责", {_SHEET('r2')} as "任职要求", {_SHEET("coalesce(full_jd, '')")} as "完整 JD", '查看岗位' as "Detail URL", '' as "Apply URL", '来源网页' as "Source URL",
+ case when coalesce(full_jd, '') = '' then 'MISSING_JD' when resp and req then 'COMPLETE' else 'STRUCTURE_PARTIAL' end as "数据完整性", 'COMPLETE' as "JD 获取状态",
+ greatest(length(r1), length(r2), length(coalesce(full_jd, '')), length(title)) > 32767 as over_limit from n""")
 def workbook_jobs(t):
-    """Jobs sheet of every run."""
-    out = RP.workbook_jobs(_export_jobs(t), "run_id", "doc_id")
-    return out.select("run_id", "序号", "岗位名称", "Job ID", "工作地点", "岗位职责", "数据完整性", "Detail URL", F.col("完整 JD").contains("EXCEL_CELL_TRUNCATED").alias("cut"))
+    """Jobs sheet of every run, all columns, whole texts."""
+    return RP.workbook_jobs(_export_jobs(t), "run_id", "doc_id")
 
 
 @query("S16", f"""with {_RUNS} select run_id, metric, value from (select run_id, 'Fetched' as metric, total_fetched::varchar as value from runs union all select run_id, 'Unique', total_unique::varchar from runs union all select run_id, 'Company', '''=Co' from runs union all select run_id, 'Errors count', failed::varchar from runs)""")

@@ -56,7 +56,7 @@ def job_arrays(t):
     return I.exchanges(t).select("entry_index", K.is_job_array(items).alias("job_array"))
 
 
-@query("G17 G38 K2", f"""with {I.EXCHANGES} select entry_index, case lang when 'en' then 'result,success' when 'fr' then 'menu,navigation' when 'de' then 'data' end as top_level_keys,
+@query("G17 G38", f"""with {I.EXCHANGES} select entry_index, case lang when 'en' then 'result,success' when 'fr' then 'menu,navigation' when 'de' then 'data' end as top_level_keys,
  case lang when 'en' then 'result.list' when 'fr' then 'menu' when 'de' then 'data.rows' else '$' end as array_path, n::integer as array_length,
  case lang when 'en' then 'city,code,jobName,updateTime' when 'fr' then 'label,url' when 'de' then 'id,name,value' else 'city,description,positionId,positionName' end as sample_fields,
  case lang when 'en' then 'result.total' when 'de' then case when n <= 1 then 'data.count' end end as total_field, least(n, 20)::integer as sampled from exchanges""")
@@ -67,6 +67,14 @@ def response_shapes(t):
                      "total_field", F.least("array_length", F.lit(20)).alias("sampled"))
 
 
+@query("K2", f"""with {I.EXCHANGES} select entry_index, case lang when 'en' then 'result' when 'fr' then 'menu' when 'de' then 'data' end as top_level_key, n::integer as array_length,
+ case lang when 'en' then 'city,code' when 'fr' then 'label,url' when 'de' then 'id,name' else 'city,description' end as sample_fields from exchanges""")
+def sampled_shapes(t):
+    """Shape of each response from a bounded sample: the first twenty items, two names of them, one key."""
+    df = D.response_shape(I.exchanges(t), "payload", items=20, most=2)
+    return df.select("entry_index", F.get("top_level_keys", F.lit(0)).alias("top_level_key"), "array_length", join("sample_fields", ",").alias("sample_fields"))
+
+
 @query("W9 K4", f"""with {I.EXCHANGES}, {_SCORED}, g as (select run_id, lang, min(entry_index) filter (score = m) as entry_index, any_value(m) as score, any_value(cnt) as sample_count, any_value(reasons) as reasons
  from (select *, max(score) over (partition by run_id, lang) as m, count(*) over (partition by run_id, lang) as cnt from judged) group by run_id, lang)
 select run_id, case lang when 'en' then 'api/job/list' else 'api/search' end as endpoint, score, entry_index, sample_count from g where reasons = '' and score > 0""")

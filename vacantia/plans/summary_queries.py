@@ -45,14 +45,18 @@ def import_metrics(t):
     return out.select("run_id", "har_entries", "matched", "usable_responses", "failed_responses", "malformed_json_responses", "pages_observed", "raw_rows", "unique_jobs", "duplicate_jobs")
 
 
-@query("W1 W2", f"""with {_BEST}, f as (select run_id, page, min(event_id) as page_rank from a group by 1, 2), o as (select recs.*, f.page_rank from recs join best using (event_id) join f on f.run_id = best.run_id and f.page = best.page),
+@query("W1 W2", f"""with {_BEST.split(' best as')[0]} p as (select * replace (case when event_id % 7 <> 0 then page end as page) from a), k as (select *, coalesce(page::varchar, 'index' || event_id) as page_key from p),
+ f as (select *, min(event_id) over (partition by run_id, page_key) as page_rank, row_number() over (partition by run_id, page_key order by usable desc, status_ok desc, list_count desc, event_id desc) as best from k),
+ o as (select run_id, event_id, page_rank, i - 1 as pos, (coalesce(page, event_id) * 7 + i) % 500 as job_id from f, unnest(range(1, list_count + 1)) as u(i) where best = 1 and usable),
  d as (select *, row_number() over (partition by run_id, job_id order by page_rank, pos) as r from o) select run_id, job_id, event_id, pos::integer as pos from d where r = 1""")
 def first_records(t):
     """First record of every stable id, pages in order of first appearance."""
     a = _attempts(t)
-    ranks = a.groupBy("run_id", "page").agg(F.min("event_id").alias("page_rank"))
-    best = W.best_per_page(a, "run_id", "page", "event_id", "usable", "status_ok", "list_count")
-    records = _records(best).join(best.select("event_id", "page"), "event_id").join(ranks, ["run_id", "page"])
+    # every seventh attempt names no page: it stands alone, at its own place
+    a = ID.page_ranked(a.withColumn("page", F.when(F.col("event_id") % 7 != 0, F.col("page"))), "run_id", "page", "event_id")
+    best = W.best_per_page(a, "run_id", "page", "event_id", "usable", "status_ok", "list_count").filter("usable")
+    records = best.select("run_id", "event_id", "page_rank", F.posexplode(F.sequence(F.lit(1).cast("bigint"), "list_count")).alias("pos", "_i"), "page")
+    records = records.withColumn("job_id", (F.coalesce("page", "event_id") * 7 + F.col("_i")) % 500)
     return ID.dedupe_first(records.select("run_id", "job_id", "event_id", "pos", "page_rank"), ["run_id", "job_id"], ["page_rank", "pos"]).select("run_id", "job_id", "event_id", "pos")
 
 

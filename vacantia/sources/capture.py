@@ -103,12 +103,24 @@ def _without_surrogates(content) -> Column:
     return F.replace(F.regexp_replace(spaced, "ED [AB][0-9A-F] [89AB][0-9A-F] ", ""), F.lit(" "), F.lit(""))
 
 
+def page_texts(df: DataFrame, content: str, content_type: str | None = None) -> DataFrame:
+    """Adds html, the text of a page's bytes: charset of the header, else the one that a ``meta`` tag of the first kilobyte names,
+    else UTF-8, else GB18030; null when none fits."""
+    header = c(content_type) if content_type else F.lit(None).cast("string")
+    start = F.decode(F.substring(c(content), 1, 1024), "ISO-8859-1")
+    meta = F.regexp_extract(start, r"""(?i)<meta[\s/][^>]{0,512}?charset\s*=\s*["']?\s*([\w.:-]+)""", 1)
+    stated = F.when(F.coalesce(header, F.lit("")).rlike(r"(?i)charset\s*="), header).when(meta != "", F.concat(F.lit("text/html; charset="), meta)).otherwise("text/html")
+    return df.withColumn("html", decode_charset(content, stated))
+
+
 def read_pages(spark: SparkSession, path: str, format_: str = "parquet") -> DataFrame:
-    """Captured pages: a table, or files of which each is one page."""
+    """Captured pages: a table (bytes in a column ``content`` become ``html``), or files of which each is one page."""
+    pages = spark.read.format(format_).load(path)
     if format_ == "binaryFile":
-        files = spark.read.format("binaryFile").load(path)
-        return files.select(F.col("path").alias("url"), decode_charset("content", F.lit("text/html")).alias("html"))
-    return spark.read.format(format_).load(path)
+        pages = pages.select(F.col("path").alias("url"), "content")
+    if "content" not in pages.columns:
+        return pages
+    return page_texts(pages, "content", "content_type" if "content_type" in pages.columns else None).drop("content")
 
 
 def _state_scanner(names):
