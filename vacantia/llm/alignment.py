@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import packed, stored, summed, unpacked
 from .tokens import BYTE_LETTERS, SPACE, tokenizer
 
-# characters of the texts of a block, and chunks a task remembers beyond it
-BLOCK, MEMO = 8 << 20, 300_000
+# characters of the texts of a block, and chunks a task remembers before it starts anew
+BLOCK, MEMO = 4 << 20, 600_000
 BLOCKS = "block long, keys array<{kind}>, blob binary, pairs array<long>, docs array<int>"
+# counts of pairs in one row on their way back, chunks of the documents that leave in one batch
+RUN, SLICE = 8192, 200_000
 # a pair of ids as one number
 SECOND = 1 << 32
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -41,18 +44,17 @@ class ByteLevel:
         """(ids, ends) of each chunk, ends None where the tokens do not give its bytes."""
         for chunk, found in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
             ids, spans = found.ids, found.offsets
-            if chunk.isascii():
-                raw, places = chunk.encode(), None
-            else:
-                raw = chunk.encode()
-                places = np.concatenate([[0], np.cumsum([len(c.encode()) for c in chunk])]).tolist()
+            if chunk.isascii():  # a character is a byte: the spans are the cuts
+                yield ids, [end for _, end in spans] if spans[-1][1] == len(chunk) else None
+                continue
+            places = np.concatenate([[0], np.cumsum([len(c.encode()) for c in chunk])]).tolist()
             ends, at = [], 0
-            for n, (i, (start, end)) in enumerate(zip(ids, spans)):
+            for n, (i, (_, end)) in enumerate(zip(ids, spans)):
                 # a character that the next token shares is cut by the bytes of the tokens
                 shared = n + 1 < len(ids) and spans[n + 1][0] < end
-                at = at + len(self.decoded[i]) if shared else places[end] if places else end
+                at = at + len(self.decoded[i]) if shared else places[end]
                 ends.append(at)
-            yield ids, ends if b"".join([self.decoded[i] for i in ids]) == raw else None
+            yield ids, ends if b"".join([self.decoded[i] for i in ids]) == chunk.encode() else None
 
 
 class Pieces:
@@ -66,28 +68,31 @@ class Pieces:
         self.decoded = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
 
     def encode(self, chunks: list[str]):
+        decoded = self.decoded
         found = self.model.encode([c[1:] for c in chunks], return_type="proto", num_threads=1)
         for chunk, proto in zip(chunks, found):
-            ids, ends, at = [], [], 0
+            ids, ends, at, before = [], [], 0, 0
             for p in proto.pieces:
-                ids.append(p.id)
+                i, end = p.id, p.end
                 # tokens without a span of their own: bytes of a character, the blank in front
-                at = p.end + 1 if p.end > p.begin else at + len(self.decoded[p.id])
+                at = end + 1 if end > before else at + len(decoded[i])
+                before = end
+                ids.append(i)
                 ends.append(at)
-            yield ids, ends if b"".join([self.decoded[i] for i in ids]) == chunk.encode() else None
+            yield ids, ends if b"".join([decoded[i] for i in ids]) == chunk.encode() else None
 
 
-def groups(ends_a: list[int], ends_b: list[int]):
-    """Runs of tokens between the cuts that both share: (tokens of a, tokens of b, index pairs of overlapping tokens) of each."""
-    out, a, b, i, j, links = [], 0, 0, 0, 0, []
+def groups(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]):
+    """The groups spelled 'a1,a2|b1;a3|b2', and the linked pairs: tokens between the cuts that both share are a group, overlapping ones a pair."""
+    out, links, a, b, i, j = [], [], 0, 0, 0, 0
     while i < len(ends_a) and j < len(ends_b):
-        links.append((i, j))
         x, y = ends_a[i], ends_b[j]
+        links.append(ids_a[i] * SECOND + ids_b[j])
         i, j = i + (x <= y), j + (y <= x)
         if x == y:
-            out.append((range(a, i), range(b, j), links))
-            a, b, links = i, j, []
-    return out
+            out.append(f"{ids_a[a]}|{ids_b[b]}" if i == a + 1 and j == b + 1 else ",".join(map(str, ids_a[a:i])) + "|" + ",".join(map(str, ids_b[b:j])))
+            a, b = i, j
+    return out, links
 
 
 class Aligner:
@@ -105,20 +110,17 @@ class Aligner:
             out[-2:] = [out[-2] + " "]
         return out
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks) -> None:
         new = [c for c in chunks if c not in self.memo]
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
+        for i in range(0, len(new), 5_000):
+            part = new[i:i + 5_000]
             for chunk, (ids_a, ends_a), (ids_b, ends_b) in zip(part, self.a.encode(part), self.b.encode(part)):
-                self.memo[chunk] = self._aligned(ids_a, ends_a, ids_b, ends_b) if ends_a and ends_b else None
+                self.memo[chunk] = self._entry(ids_a, ends_a, ids_b, ends_b) if ends_a and ends_b else b""
 
-    def _aligned(self, ids_a, ends_a, ids_b, ends_b):
-        if len(ids_a) == len(ids_b) == 1:
-            return (1, 1, 1, 1), f"{ids_a[0]}|{ids_b[0]}", [ids_a[0] * SECOND + ids_b[0]]
-        found = groups(ends_a, ends_b)
-        spelled = ";".join([",".join([str(ids_a[i]) for i in a]) + "|" + ",".join([str(ids_b[j]) for j in b]) for a, b, _ in found])
-        links = [ids_a[i] * SECOND + ids_b[j] for _, _, both in found for i, j in both]
-        return (len(ids_a), len(ids_b), len(found), len(links)), spelled, links
+    def _entry(self, ids_a, ends_a, ids_b, ends_b) -> bytes:
+        """Counts (four bytes each), links (eight bytes each) and spelled groups; no bytes where a side does not give the text."""
+        found, links = groups(ids_a, ends_a, ids_b, ends_b)
+        return array("I", (len(ids_a), len(ids_b), len(found), len(links))).tobytes() + array("q", links).tobytes() + ";".join(found).encode()
 
 
 def _aligned(path_a: str, path_b: str):
@@ -126,30 +128,28 @@ def _aligned(path_a: str, path_b: str):
         """Blocks of texts: each text as the numbers of its chunks, the block's chunks, its id pairs and their documents."""
         aligner = Aligner(path_a, path_b)
         block, kind = TaskContext.get().partitionId() << 33, None
-        keys, texts, held = [], [], 0
+        keys, numbers, known, held = [], [], {}, 0
 
         def flush():
-            parts = [aligner.chunks(t) if t else [] for t in texts]
-            distinct = dict.fromkeys(c for p in parts for c in p)
             if len(aligner.memo) > MEMO:
                 aligner.memo.clear()
-            aligner.learn(distinct)
-            good = [all(aligner.memo[c] for c in p) for p in parts]
-            known = {}
-            numbers = [np.fromiter((known.setdefault(c, len(known)) for c in p), np.int64, len(p)) if ok else np.empty(0, np.int64)
-                       for p, ok in zip(parts, good)]
+            aligner.learn(known)
             entries = [aligner.memo[c] for c in known]
-            pairs, at = np.unique(np.fromiter((x for e in entries for x in e[2]), np.int64), return_inverse=True)
-            sizes = np.array([len(e[2]) for e in entries], np.int64)
+            whole = np.array([len(e) > 0 for e in entries], bool)
+            texts = [n if whole[n].all() else np.empty(0, np.int32) for n in numbers]
+            blank = bytes(16)
+            stats = np.frombuffer(b"".join([e[:16] or blank for e in entries]), np.uint32).reshape(-1, 4).astype(np.int64)
+            sizes = stats[:, 3]
+            ends = (16 + 8 * sizes).tolist()
+            pairs, at = np.unique(np.frombuffer(b"".join([e[16:n] for e, n in zip(entries, ends)]), np.int64), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             docs = np.zeros(len(pairs), np.int32)
-            for n in numbers:  # a pair counts once a document
+            for n in texts:  # a pair counts once a document
                 n = np.unique(n)
                 places = np.repeat(starts[n] - np.concatenate([[0], np.cumsum(sizes[n])[:-1]]), sizes[n]) + np.arange(sizes[n].sum())
                 docs[np.unique(at[places])] += 1
-            stats = [np.array([e[0][i] for e in entries], np.int64) for i in range(4)]
-            flat = np.concatenate([*numbers, np.empty(0, np.int64)])
-            blob = packed([np.array([*map(len, numbers)], np.int64), flat, *stats, at], "\n".join([e[1] for e in entries]).encode())
+            flat = np.concatenate([*texts, np.empty(0, np.int32)])
+            blob = packed([np.array([*map(len, texts)], np.int64), flat, *stats.T, at], b"\n".join([e[n:] for e, n in zip(entries, ends)]))
             return pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([keys], pa.list_(kind)), pa.array([blob], pa.binary()), pa.array([pairs], pa.list_(pa.int64())),
                  pa.array([docs], pa.list_(pa.int32()))], ["block", "keys", "blob", "pairs", "docs"])
@@ -157,12 +157,14 @@ def _aligned(path_a: str, path_b: str):
         for batch in batches:
             kind = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                parts = aligner.chunks(text) if text else []
                 keys.append(key)
-                texts.append(text.as_py())
-                held += len(texts[-1] or "")
+                numbers.append(np.fromiter((known.setdefault(c, len(known)) for c in parts), np.int32, len(parts)))
+                held += len(text)
                 if held >= BLOCK:
                     yield flush()
-                    keys, texts, held, block = [], [], 0, block + 1
+                    keys, numbers, known, held, block = [], [], {}, 0, block + 1
         if keys:
             yield flush()
 
@@ -170,19 +172,40 @@ def _aligned(path_a: str, path_b: str):
 
 
 def _scored(batches):
-    """Blocks with the counts of their pairs to documents."""
+    """For each block first its text row, then the counts of its pairs in order, run by run, to documents."""
+    def finished(keys, blob, runs):
+        (sizes, numbers, *stats, at), raw = unpacked(blob)
+        counts, best = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (zip(*runs) if runs else ([], [])))
+        links = stats[3]
+        stats += [summed(best[at], links), summed(counts[at], links)]
+        names, cuts = raw.decode().split("\n"), np.cumsum(sizes).tolist()
+        for first, last in slices_of(cuts, SLICE):
+            lists = [numbers[s:e] for s, e in zip([0, *cuts][first:last], cuts[first:last])]
+            flat = np.concatenate([*lists, np.empty(0, np.uint32)])
+            spelled = [";".join([names[n] for n in x.tolist()]) for x in lists]
+            sums = [pa.array(summed(s[flat], sizes[first:last])) for s in stats]
+            yield pa.RecordBatch.from_arrays([keys[first:last], *sums, pa.array(spelled, pa.string())], ["key", *COUNTS, "n_best", "count_sum", "groups"])
+
+    now, held, runs = None, None, []
     for batch in batches:
-        for row in range(batch.num_rows):
-            keys = batch.column("keys")[row].values
-            (sizes, numbers, *stats, at), raw = unpacked(batch.column("blob")[row].as_py())
-            flat = [batch.column(c)[row].values for c in ("counts", "best")]
-            counts, best = [x.to_numpy(zero_copy_only=False).astype(np.int64) if x is not None else np.empty(0, np.int64) for x in flat]
-            links = stats[3]
-            stats += [summed(best[at], links), summed(counts[at], links)]
-            names, cuts = raw.decode().split("\n"), np.cumsum(sizes).tolist()
-            spelled = [";".join([names[i] for i in numbers[s:e].tolist()]) for s, e in zip([0, *cuts], cuts)]
-            sums = [pa.array(summed(s[numbers], sizes)) for s in stats]
-            yield pa.RecordBatch.from_arrays([keys, *sums, pa.array(spelled, pa.string())], ["key", *COUNTS, "n_best", "count_sum", "groups"])
+        for row, (block, run) in enumerate(zip(batch.column("block").to_pylist(), batch.column("run").to_pylist())):
+            if block != now and held:
+                yield from finished(*held, runs)
+            if run < 0:
+                now, held, runs = block, (batch.column("keys")[row].values, batch.column("blob")[row].as_py()), []
+            else:
+                runs.append([batch.column(c)[row].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("counts", "best")])
+    if held:
+        yield from finished(*held, runs)
+
+
+def slices_of(cuts: list[int], most: int):
+    """Runs of documents of about ``most`` chunks each, given where each document ends."""
+    first, base = 0, 0
+    for i, end in enumerate(cuts):
+        if end - base >= most or i + 1 == len(cuts):
+            yield first, i + 1
+            first, base = i + 1, end
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,9 +230,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     # one row for each id of the first vocabulary
     highest = counts.groupBy(first.alias("first")).agg(F.max("count").alias("highest"))
     counts = counts.withColumn("first", first).join(highest, "first").select("pairs", "count", (F.col("count") == F.col("highest")).alias("best"))
-    back = pairs.select("block", "at", "pairs").join(counts, "pairs").groupBy("block")
-    back = back.agg(F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("c"))
-    both = blocks.select("block", "keys", "blob").join(back, "block", "left")
-    both = both.select("keys", "blob", F.col("c.count").alias("counts"), F.transform("c.best", lambda b: b.cast("int")).alias("best"))
+    # counts return to their block in runs of bounded length
+    back = pairs.select("block", "at", "pairs").join(counts, "pairs").groupBy("block", F.floor(F.col("at") / RUN).cast("int").alias("run"))
+    back = back.agg(F.array_sort(F.collect_list(F.struct("at", "count", F.col("best").cast("int").alias("best")))).alias("c"))
+    back = back.select("block", "run", F.lit(None).cast(f"array<{kind}>").alias("keys"), F.lit(None).cast("binary").alias("blob"),
+                       F.col("c.count").alias("counts"), F.col("c.best").alias("best"))
+    texts = blocks.select("block", F.lit(-1).alias("run"), "keys", "blob", F.lit(None).cast("array<long>").alias("counts"), F.lit(None).cast("array<int>").alias("best"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = texts.unionByName(back).repartition(parts, "block").sortWithinPartitions("block", "run")
     out = both.mapInArrow(_scored, f"key {kind}, {', '.join(c + ' long' for c in COUNTS)}, n_best long, count_sum long, groups string")
     return out.withColumnRenamed("key", id_col)
