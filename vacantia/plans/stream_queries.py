@@ -25,12 +25,14 @@ def stream_distinct_ids(t):
 _OPEN = "(select max(ts) - interval 10 minutes from events)"
 
 
-@query("Z2", f"""with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 2 hours then 0 else 1 end as b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as sid from o),
- g as (select user_id, min(ts) as first_at, max(ts) as last_at, count(*) as activities from s group by user_id, sid), d as (select *, (epoch_us(last_at) - epoch_us(first_at)) / 1e6 as span from g where last_at + interval 2 hours <= {_OPEN})
-select user_id, first_at::varchar as first_at, activities, round(least(span, 28800.0), 3) as observed_seconds, case when span >= 28800 then 'MAX_OBSERVATION' when span < 600 then 'BELOW_MINIMUM' else 'QUIET' end as ended_by from d""".replace("first_at::varchar as first_at", "epoch_us(first_at) as first_at"))
+@query("Z2", f"""with recursive d as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) >= interval 2 hours as g from (select distinct user_id, ts from events)),
+ w as (select user_id, min(ts) as s from events group by 1 union all select w.user_id, min(d.ts) as s from w join d on d.user_id = w.user_id and d.ts > w.s and (d.g or d.ts >= w.s + interval 8 hours) group by w.user_id, w.s),
+ n as (select user_id, s, lead(s) over (partition by user_id order by s) as e from w), g as (select n.user_id, n.s as first_at, max(ts) as last_at, count(*) as activities from n join events v on v.user_id = n.user_id and v.ts >= n.s and (n.e is null or v.ts < n.e) group by 1, 2),
+ c as (select *, last_at + interval 2 hours > first_at + interval 8 hours as cut, (epoch_us(last_at) - epoch_us(first_at)) / 1e6 as span from g where {_OPEN} >= least(last_at + interval 2 hours, first_at + interval 8 hours))
+select user_id, epoch_us(first_at) as first_at, activities, case when cut then 28800.0 else round(span, 3) end::double as observed_seconds, case when cut then 'MAX_OBSERVATION' when span < 600 then 'BELOW_MINIMUM' else 'QUIET' end as ended_by from c""")
 def stream_quiet_periods(t):
-    """Closed observation windows of each run and how they ended."""
-    out = Z.drain(Z.quiet_periods(_stream(t).select("user_id", "ts"), "user_id", "ts", "10 minutes", "2 hours", 600, 28800))
+    """Closed observation windows of each run, cut at the maximum, and how they ended."""
+    out = Z.drain(Z.quiet_periods(_stream(t).select("user_id", "ts"), "user_id", "ts", "10 minutes", 7200, 600, 28800))
     return out.select("user_id", F.unix_micros("first_at").alias("first_at"), "activities", "observed_seconds", "ended_by")
 
 

@@ -5,6 +5,9 @@ split over many tasks."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab as V
@@ -44,15 +47,61 @@ def write_layout(rows: DataFrame, path: str, format_: str = "parquet") -> None:
     rows.hint("rebalance", "outcome", "company_dir", "stamp").write.mode("append").partitionBy("outcome", "company_dir", "stamp").format(format_).save(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, bool, str]]:
+    """(version, not whole, folder) of the commits since the last whole one, in order: one empty file each, which says it by its name."""
+    files, make = _files(spark, path)
+    folder = make(f"{path}/commits")
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName().split(".") for f in files.listStatus(folder)]
+    found = sorted((int(n[0]), n[2] != "whole", n[1]) for n in names if n[0].isdigit())
+    start = max([c for c in found if not c[1]], default=(0,))
+    return [c for c in found if c >= start]
+
+
+def _commit(rows: DataFrame, path: str, whole: bool = False) -> None:
+    """Write rows as a new version and commit it.
+
+    The rows go to a folder of their own; when they are complete, the creation of one empty file, whose name holds the
+    version and the folder, lets readers see them all.  Versions of writers at the same time count in order of folders."""
+    spark = rows.sparkSession
+    files, make = _files(spark, path)
+    folder = uuid.uuid4().hex
+    rows.hint("rebalance", "run_id").write.partitionBy("run_id").json(f"{path}/data/{folder}")
+    version = 1 + max((c[0] for c in _commits(spark, path)), default=0)
+    files.createNewFile(make(f"{path}/commits/{version:012d}.{folder}.{'whole' if whole else 'part'}"))
+
+
 def write_checkpoint(states: DataFrame, path: str) -> None:
-    """Replace the checkpoint of exactly the runs present; a failed write leaves the old files."""
-    stamped = states.withColumn("format", F.lit(CHECKPOINT_FORMAT)).hint("rebalance", "run_id")
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
+    """Replace the checkpoint of exactly the runs present.
+
+    The rows become a version of the checkpoint that counts from its commit on; until then, and if the write fails,
+    readers see the old state."""
+    _commit(states.withColumn("format", F.lit(CHECKPOINT_FORMAT)), path)
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Checkpoint rows; a row of another format fails the read with CHECKPOINT_UNSUPPORTED."""
-    rows = spark.read.schema(f"{schema}, format string, run_id string").json(path)
+    """Checkpoint rows, each run from the last version that holds it; a row of another format fails the read with CHECKPOINT_UNSUPPORTED."""
+    kind = f"{schema}, format string, run_id string"
+    parts = [spark.read.schema(kind).json(f"{path}/data/{c[2]}").withColumn("_version", F.lit(n)) for n, c in enumerate(_commits(spark, path))]
+    if not parts:
+        return spark.createDataFrame([], f"{schema}, run_id string")
+    rows = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        # a row per run, from the names of folders
+        last = rows.groupBy("run_id").agg(F.max("_version").alias("_last"))
+        rows = rows.join(last.withColumnRenamed("run_id", "_run"), (F.col("run_id").eqNullSafe(F.col("_run"))) & (F.col("_version") == F.col("_last"))).drop("_run", "_last")
     ok = F.col("format").eqNullSafe(CHECKPOINT_FORMAT)
     checked = F.when(ok, F.col("format")).otherwise(F.raise_error(F.lit("CHECKPOINT_UNSUPPORTED")).cast("string"))
-    return rows.withColumn("format", checked).filter(F.col("format").isNotNull()).drop("format")
+    return rows.withColumn("format", checked).filter(F.col("format").isNotNull()).drop("format", "_version")
+
+
+def merge_checkpoint(spark: SparkSession, path: str, schema: str) -> None:
+    """Write the present state as one whole version, from which readers start; older folders are no longer read."""
+    _commit(read_checkpoint(spark, path, schema).withColumn("format", F.lit(CHECKPOINT_FORMAT)), path, whole=True)

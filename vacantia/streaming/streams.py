@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab as V
 from ..session import checkpoint_root
+from .keyed import QuietPeriods, SeenIds, window_scan
 
 
 def dedupe(df: DataFrame, keys, event_time: str, delay: str) -> DataFrame:
@@ -19,17 +20,23 @@ def dedupe(df: DataFrame, keys, event_time: str, delay: str) -> DataFrame:
     return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def quiet_periods(df: DataFrame, run: str, event_time: str, delay: str, gap: str, min_seconds: float, max_seconds: float) -> DataFrame:
-    """Observation windows of a run, closed by a quiet gap, with how they ended.
+def quiet_periods(df: DataFrame, run: str, event_time: str, delay: str, gap: float, min_seconds: float, max_seconds: float) -> DataFrame:
+    """Observation windows of a run and how they ended; ``gap``, minimum and maximum in seconds.
 
-    A window shorter than the minimum has not been watched long enough; one at the maximum is cut there."""
-    marked = df.withWatermark(event_time, delay) if df.isStreaming else df
-    seen = marked.groupBy(F.session_window(event_time, gap).alias("w"), run).agg(
-        F.min(event_time).alias("first_at"), F.max(event_time).alias("last_at"), F.count("*").alias("activities"))
-    micros = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
-    span = (micros("last_at") - micros("first_at")) / 1e6
-    ended = F.when(span >= max_seconds, "MAX_OBSERVATION").when(span < min_seconds, "BELOW_MINIMUM").otherwise("QUIET")
-    return seen.select(run, "first_at", "last_at", "activities", F.round(F.least(span, F.lit(float(max_seconds))), 3).alias("observed_seconds"), ended.alias("ended_by"))
+    A window ends when nothing happens for the gap (QUIET, or BELOW_MINIMUM when it was watched too short), or at the
+    maximum, even if activity goes on (MAX_OBSERVATION); what comes then opens the next window.  A stream keeps the open
+    window of each run and closes it by an event-time timer; a table is scanned once per run, in order of time.  Rows
+    without a time take no part, a null run is a run."""
+    shortest, quiet, longest = (round(x * 1_000_000) for x in (min_seconds, gap, max_seconds))
+    kind = df.schema[run].dataType.simpleString()
+    schema = f"{run} {kind}, first_at timestamp, last_at timestamp, activities long, observed_seconds double, ended_by string"
+    time = F.unix_micros(F.col(event_time).cast("timestamp"))
+    rows = df.filter(F.col(event_time).isNotNull())
+    if not df.isStreaming:
+        ordered = rows.select(run, time.alias("time")).repartition(run).sortWithinPartitions(run, "time")
+        return ordered.mapInArrow(window_scan(shortest, quiet, longest), schema)
+    marked = rows.withWatermark(event_time, delay).select(run, event_time, time.alias("time"))
+    return marked.groupBy(run).transformWithState(QuietPeriods(run, shortest, quiet, longest), schema, "append", "EventTime")
 
 
 def sliding_throughput(df: DataFrame, run: str, event_time: str, delay: str, width: str, slide: str, stalled_below: int) -> DataFrame:
@@ -59,61 +66,66 @@ def drain(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def stream_progress(df: DataFrame, run: str, page: str, key: str, folder: str) -> None:
+def stream_progress(df: DataFrame, run: str, page: str, key: str, folder: str, shards: int = 64) -> None:
     """Pages of a stream with their new ids: a page without new ids ends its run.
 
-    Seen ids live in a table partitioned by batch.  A batch reads only earlier batches and replaces its own
-    partition, so a repeated batch after a failure gives the same rows.  State grows with distinct ids and is
-    spread by id, never held per run."""
-    spark = df.sparkSession
+    Seen ids are keyed state, in ``shards`` map states by a hash of run and id (a number that a stream keeps for life),
+    so a batch looks up the ids it holds and nothing else, and one long run is spread over the shards.  A batch writes
+    its own partition of ``folder``/pages, so a repeated batch after a failure gives the same rows.  A row without a page
+    counts for page -1."""
+    kinds = {n: df.schema[n].dataType.simpleString() for n in (run, key)}
+    rows = df.select(F.pmod(F.xxhash64(run, key), F.lit(shards)).alias("shard"), F.col(run).alias("run"), F.coalesce(F.col(page).cast("bigint"), F.lit(-1)).alias("page"), F.col(key).alias("id"))
+    counted = rows.groupBy("shard").transformWithState(
+        SeenIds(f"run {kinds[run]}, id {kinds[key]}"), f"run {kinds[run]}, page long, records long, new_ids long", "append", "None")
 
     def advance(rows: DataFrame, batch: int) -> None:
-        session = rows.sparkSession
-        fresh = rows.groupBy(run, key).agg(F.min(page).alias(page))
-        if _exists(session, f"{folder}/seen"):
-            seen = session.read.parquet(f"{folder}/seen").filter(F.col("batch") < batch).select(run, key)
-            fresh = fresh.join(seen, [run, key], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/seen/batch={batch}")
-        new = session.read.parquet(f"{folder}/seen/batch={batch}").groupBy(run, page).agg(F.count("*").alias("new_ids"))
-        pages = rows.groupBy(run, page).agg(F.count("*").alias("records")).join(new, [run, page], "left").na.fill(0, ["new_ids"])
+        pages = rows.groupBy(F.col("run").alias(run), F.col("page").alias(page)).agg(F.sum("records").alias("records"), F.sum("new_ids").alias("new_ids"))
         pages.withColumn("no_progress", F.col("new_ids") == 0).write.mode("overwrite").parquet(f"{folder}/pages/batch={batch}")
 
-    query = df.writeStream.foreachBatch(advance).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = counted.writeStream.foreachBatch(advance).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def snapshot_states(df: DataFrame, run: str, key: str, state: str, order: str, folder: str, every: int = 10) -> None:
-    """Latest state per task after every batch, and how many snapshots each run has earned.
+def snapshot_states(df: DataFrame, run: str, key: str, state: str, order: str, folder: str, merge_every: int = 50) -> None:
+    """Latest state per task, kept as keyed state; every batch writes the tasks that it changed.
 
-    A snapshot reads the previous one and writes the next as a new folder, so readers always see a whole one
-    and a repeated batch writes the same folder again."""
+    A batch replaces its own folder, so a repeated batch writes the same rows again.  After every ``merge_every`` batches
+    the changes so far are merged into one table, which counts from its commit marker on; readers start there."""
+    latest = df.groupBy(run, key).agg(F.max_by(state, order).alias(state), F.max(order).alias(order), F.count("*").alias("updates"))
 
     def advance(rows: DataFrame, batch: int) -> None:
-        session = rows.sparkSession
-        columns = [run, key, state, order, "updates"]
-        latest = rows.groupBy(run, key).agg(F.max_by(state, order).alias(state), F.max(order).alias(order), F.count("*").alias("updates")).select(*columns)
-        before = f"{folder}/states/batch={batch - 1}"
-        if batch and _exists(session, before):
-            both = session.read.parquet(before).select(*columns).unionByName(latest)
-            latest = both.groupBy(run, key).agg(F.max_by(state, order).alias(state), F.max(order).alias(order), F.sum("updates").alias("updates")).select(*columns)
-        latest.write.mode("overwrite").parquet(f"{folder}/states/batch={batch}")
-        session.read.parquet(f"{folder}/states/batch={batch}").groupBy(run).agg(
-            F.floor(F.sum("updates") / every).alias("snapshots")).write.mode("overwrite").parquet(f"{folder}/counts/batch={batch}")
-
-    query = df.writeStream.foreachBatch(advance).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-
+        rows.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+        if (batch + 1) % merge_every == 0:
+            latest_snapshot(rows.sparkSession, folder, batch).write.mode("overwrite").parquet(f"{folder}/merged/batch={batch}")
 
-def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """States of the last completed batch."""
-    return _latest(spark, f"{folder}/states")
+    query = latest.writeStream.foreachBatch(advance).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
-def _latest(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.parquet(path)
-    return table.filter(F.col("batch") == table.agg(F.max("batch")).scalar()).drop("batch")
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the committed batches below a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    found = [f.getPath() for f in files.listStatus(target)]
+    whole = [f for f in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().removeprefix("batch=")) for f in whole)
+
+
+def latest_snapshot(spark: SparkSession, folder: str, batch: int | None = None) -> DataFrame:
+    """State of every task after the last committed batch, or after the given one: the last merged table and the changes since.
+
+    A task's updates only grow, so its last change is the one with the most."""
+    merged = [b for b in _batches(spark, f"{folder}/merged") if batch is None or b < batch]
+    changes = [b for b in _batches(spark, f"{folder}/changes") if b > max(merged, default=-1) and (batch is None or b <= batch)]
+    parts = [f"{folder}/merged/batch={b}" for b in merged[-1:]] + [f"{folder}/changes/batch={b}" for b in changes]
+    rows = spark.read.parquet(*parts)
+    keys = rows.columns[:2]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns[2:]), "updates").alias("_s"))
+    return last.select(*keys, "_s.*")
+
+
+def earned_snapshots(states: DataFrame, run: str, every: int = 10) -> DataFrame:
+    """How many snapshots each run has earned: one for every so many updates."""
+    return states.groupBy(run).agg(F.floor(F.sum("updates") / every).alias("snapshots"))
