@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +23,36 @@ BLOCK, MEMO = 4 << 20, 600_000
 BLOCKS = "block long, keys array<{kind}>, blob binary, pairs array<long>, docs array<int>"
 # counts of pairs in one row on their way back, chunks of the documents that leave in one batch
 RUN, SLICE = 8192, 200_000
+# chunks that are encoded as one text
+JOINED = 256
 # a pair of ids as one number
 SECOND = 1 << 32
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-class ByteLevel:
-    """A byte-level vocabulary of the ``tokenizers`` library: ids and the byte ends of tokens."""
+def refined(coarse: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ends of tokens in bytes: coarse cuts where a token has its own span, else the end before it and the bytes it decodes to."""
+    total = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(own, np.arange(len(own)), -1))
+    return np.where(last >= 0, coarse[last] + total - total[last], total)
+
+
+class Spans:
+    """Ids and byte ends of tokens of a text, of which ``names`` and ``sizes`` are the bytes each id decodes to and how many."""
+
+    def __init__(self, names: list[bytes]):
+        self.names, self.sizes = names, np.array([*map(len, names)], np.int64)
+
+    def checked(self, ids, coarse, own, raw: bytes):
+        """(ids, ends), or None where the tokens do not give the text."""
+        ids = np.array(ids, np.int64)
+        if b"".join(map(self.names.__getitem__, ids.tolist())) != raw:
+            return None
+        return ids, refined(coarse, own, self.sizes[ids])
+
+
+class ByteLevel(Spans):
+    """A byte-level vocabulary of the ``tokenizers`` library."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
@@ -38,61 +60,38 @@ class ByteLevel:
         byte = {letter: b for b, letter in BYTE_LETTERS.items()}
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
-        self.decoded = {i: bytes(byte.get(c, 63) for c in piece) for piece, i in vocabulary.items()}
-
-    def encode(self, chunks: list[str]):
-        """(ids, ends) of each chunk, ends None where the tokens do not give its bytes."""
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            ids, spans = found.ids, found.offsets
-            if chunk.isascii():  # a character is a byte: the spans are the cuts
-                yield ids, [end for _, end in spans] if spans[-1][1] == len(chunk) else None
-                continue
-            places = np.concatenate([[0], np.cumsum([len(c.encode()) for c in chunk])]).tolist()
-            ends, at = [], 0
-            for n, (i, (_, end)) in enumerate(zip(ids, spans)):
-                # a character that the next token shares is cut by the bytes of the tokens
-                shared = n + 1 < len(ids) and spans[n + 1][0] < end
-                at = at + len(self.decoded[i]) if shared else places[end]
-                ends.append(at)
-            yield ids, ends if b"".join([self.decoded[i] for i in ids]) == chunk.encode() else None
-
-
-class Pieces:
-    """A ``sentencepiece`` model that puts a blank in front: ids and the byte ends of tokens, the blank counted."""
+        names = [b""] * (max(vocabulary.values()) + 1)
+        for piece, i in vocabulary.items():
+            names[i] = bytes(byte.get(c, 63) for c in piece)
+        super().__init__(names)
+
+    def encode(self, texts: list[str]):
+        for text, found in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            places = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+            # a character that the next token shares is cut by the bytes of the tokens
+            own = np.append(spans[1:, 0] >= spans[:-1, 1], True)[:len(spans)]
+            yield self.checked(found.ids, places[spans[:, 1]], own, text.encode())
+
+
+class Pieces(Spans):
+    """A ``sentencepiece`` model that puts a blank in front, which the texts begin with."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.decoded = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-
-    def encode(self, chunks: list[str]):
-        decoded = self.decoded
-        found = self.model.encode([c[1:] for c in chunks], return_type="proto", num_threads=1)
-        for chunk, proto in zip(chunks, found):
-            ids, ends, at, before = [], [], 0, 0
-            for p in proto.pieces:
-                i, end = p.id, p.end
-                # tokens without a span of their own: bytes of a character, the blank in front
-                at = end + 1 if end > before else at + len(decoded[i])
-                before = end
-                ids.append(i)
-                ends.append(at)
-            yield ids, ends if b"".join([decoded[i] for i in ids]) == chunk.encode() else None
-
-
-def groups(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]):
-    """The groups spelled 'a1,a2|b1;a3|b2', and the linked pairs: tokens between the cuts that both share are a group, overlapping ones a pair."""
-    out, links, a, b, i, j = [], [], 0, 0, 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        x, y = ends_a[i], ends_b[j]
-        links.append(ids_a[i] * SECOND + ids_b[j])
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            out.append(f"{ids_a[a]}|{ids_b[b]}" if i == a + 1 and j == b + 1 else ",".join(map(str, ids_a[a:i])) + "|" + ",".join(map(str, ids_b[b:j])))
-            a, b = i, j
-    return out, links
+        super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
+
+    def encode(self, texts: list[str]):
+        for text, proto in zip(texts, self.model.encode([t[1:] for t in texts], return_type="proto", num_threads=1)):
+            found = [(p.id, p.end) for p in proto.pieces]
+            ids, ends = np.array(found, np.int64).reshape(-1, 2).T
+            # bytes of a character, and the blank in front, have no span of their own
+            own = np.diff(ends, prepend=0) > 0
+            yield self.checked(ids, ends + 1, own, text.encode())
 
 
 class Aligner:
@@ -100,6 +99,7 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b, self.memo = ByteLevel(path_a), Pieces(path_b), {}
+        self.digits = [str(i) for i in range(max(len(self.a.names), len(self.b.names)))]
         self.odd, self.cut = re.compile(f"[{SPACE}] "), re.compile(f"(?<=[^{SPACE}])(?= )")
 
     def chunks(self, text: str) -> list[str]:
@@ -111,16 +111,41 @@ class Aligner:
         return out
 
     def learn(self, chunks) -> None:
+        """Encode what the memo lacks, many chunks as one text; one by one where a text does not come out whole, or where a last blank might join the next chunk's."""
         new = [c for c in chunks if c not in self.memo]
-        for i in range(0, len(new), 5_000):
-            part = new[i:i + 5_000]
-            for chunk, (ids_a, ends_a), (ids_b, ends_b) in zip(part, self.a.encode(part), self.b.encode(part)):
-                self.memo[chunk] = self._entry(ids_a, ends_a, ids_b, ends_b) if ends_a and ends_b else b""
-
-    def _entry(self, ids_a, ends_a, ids_b, ends_b) -> bytes:
-        """Counts (four bytes each), links (eight bytes each) and spelled groups; no bytes where a side does not give the text."""
-        found, links = groups(ids_a, ends_a, ids_b, ends_b)
-        return array("I", (len(ids_a), len(ids_b), len(found), len(links))).tobytes() + array("q", links).tobytes() + ";".join(found).encode()
+        good = [c for c in new if not c[-1].isspace()]
+        self._learn(good, JOINED)
+        self._learn([c for c in new if c not in self.memo], 1)
+
+    def _learn(self, chunks: list[str], joined: int) -> None:
+        for i in range(0, len(chunks), 32 * joined):
+            parts = [chunks[k:k + joined] for k in range(i, min(i + 32 * joined, len(chunks)), joined)]
+            texts = ["".join(p) for p in parts]
+            for part, a, b in zip(parts, self.a.encode(texts), self.b.encode(texts)):
+                if a is not None and b is not None:
+                    self.memo.update(zip(part, entries(self.digits, np.cumsum([len(c.encode()) for c in part]), *a, *b)))
+                elif joined == 1:
+                    self.memo[part[0]] = b""
+
+
+def entries(digits, chunk_ends, ids_a, ends_a, ids_b, ends_b) -> list[bytes]:
+    """For each chunk of a text (``digits``: the ids spelled): counts (four bytes each), links (eight bytes each) and spelled groups.
+
+    Between two neighbouring ends of either side lies what one token of each covers: one link.  Ends that both sides have close a group."""
+    ends = np.union1d(ends_a, ends_b)
+    i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    links = (ids_a[i] * SECOND + ids_b[j]).tobytes()
+    cuts = ends[(ends_a[i] == ends) & (ends_b[j] == ends)]
+    place = [np.searchsorted(x, chunk_ends, "right") for x in (ends_a, ends_b, cuts, ends)]
+    counts = np.stack([np.diff(p, prepend=0) for p in place], 1).astype(np.uint32).tobytes()
+    # tokens by group, those of the first side first, each with what stands after it
+    group = [np.searchsorted(cuts, x) for x in (ends_a, ends_b)]
+    last_a, last_b = np.append(np.diff(group[0]) > 0, True), np.append(np.diff(group[1]) > 0, True)
+    after = np.concatenate([np.where(last_a, 1, 0), np.where(last_b, np.where(np.isin(ends_b, chunk_ends), 3, 2), 0)])
+    order = np.argsort(np.concatenate([group[0] * 2, group[1] * 2 + 1]), kind="stable")
+    spelled = "".join([digits[t] + ",|;\n"[s] for t, s in zip(np.concatenate([ids_a, ids_b])[order].tolist(), after[order].tolist())]).encode().split(b"\n")
+    at = [0, *(8 * place[3]).tolist()]
+    return [counts[16 * n:16 * n + 16] + links[at[n]:at[n + 1]] + spelled[n] for n in range(len(chunk_ends))]
 
 
 def _aligned(path_a: str, path_b: str):
