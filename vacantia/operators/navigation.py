@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import score as K, urls as U
-from ..functions.text import c
-from .grouping import first_by
+from ..session import stored
+from .grouping import attach_group, first_by
 
 
 def scored_edges(links: DataFrame, company: Column | None = None) -> DataFrame:
@@ -18,17 +18,30 @@ def scored_edges(links: DataFrame, company: Column | None = None) -> DataFrame:
     return scored.filter("score > 0 and trusted")
 
 
-def bounded_reach(edges: DataFrame, seeds: DataFrame, source: str, target: str, max_depth: int = 3) -> DataFrame:
-    """Breadth-first reach from seed nodes, each node at its smallest depth.
+def page_edges(links: DataFrame) -> DataFrame:
+    """Trusted edges between pages: source, target (addresses without query and fragment) and the best score of the links between them."""
+    ends = scored_edges(links).select(U.page_of("source_url").alias("source"), U.page_of("resolved").alias("target"), F.col("score").cast("bigint").alias("score"))
+    return ends.groupBy("source", "target").agg(F.max("score").alias("score"))
+
 
-    A fixed number of rounds.  Every round joins the frontier with the edge table on the node, keeps one
-    row per new node by aggregation, and drops nodes already seen, so cycles end and fan-in stays flat."""
-    frontier = seeds.select(F.col("node"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("score"))
+def bounded_reach(edges: DataFrame, seeds: DataFrame, source: str, target: str, max_depth: int = 3) -> DataFrame:
+    """Breadth-first reach from seed nodes: node, its smallest depth, and the best score of an edge into it from the hop before.
+
+    Edges are stored once and every frontier once, so a hop reads what the last one wrote.  A frontier meets the edges
+    by ``attach_group``: a page that holds a large share of all edges keeps them where they are.  New nodes come from an
+    aggregation, so a page that everything links to is one row per task, and nodes seen before are dropped, so cycles
+    end.  Null nodes take no part."""
+    edges = stored(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to"), F.col("score").cast("bigint").alias("_score"))
+                   .filter("_from is not null and _to is not null"))
+    degrees = stored(edges.groupBy("_from").agg(F.count("*").alias("_degree")))
+    first = seeds.select("node").filter("node is not null").distinct()
+    frontier = stored(first.select("node", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("score")))
     seen = frontier
     for depth in range(1, max_depth + 1):
-        step = (edges.select(F.col(source).alias("node"), F.col(target).alias("next"), F.col("score").alias("edge_score"))
-                .join(frontier.select("node"), "node").groupBy(F.col("next").alias("node")).agg(F.max("edge_score").cast("bigint").alias("score")))
-        frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "score")
+        open_ = degrees.join(frontier.select(F.col("node").alias("_from")), "_from").withColumn("_open", F.lit(True))
+        step = attach_group(edges, open_, "_from", "_degree", F.col("_to")).filter("_open")
+        found = step.groupBy(F.col("_to").alias("node")).agg(F.max("_score").alias("score"))
+        frontier = stored(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "score"))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -170,3 +170,15 @@ def pages(t) -> DataFrame:
 
 
 PAGES = f"captured as (select page_id, url, {PAGE_HTML} as html from pages)"
+
+
+# captured sites: each page also links to the next pages of its host
+_NEXT = [("lead(url) over (partition by split_part(url, '/', 3) order by page_id)", "campus positions"),
+         ("lead(url, 3) over (partition by split_part(url, '/', 3) order by page_id)", "open jobs"),
+         ("first_value(url) over (partition by split_part(url, '/', 3) order by page_id)", "all campus jobs")]
+_NEXT_LINKS = ", ".join(f"coalesce(concat('<a href=\"', {address}, '\">{label}</a>'), '')" for address, label in _NEXT)
+SITES = f"captured as (select page_id, url, concat({PAGE_HTML}, {_NEXT_LINKS}) as html from pages)"
+
+
+def sites(t) -> DataFrame:
+    return spread(t.pages, "page_id").selectExpr("page_id", "url", f"concat({_spark_sql(PAGE_HTML)}, {_NEXT_LINKS}) as html")

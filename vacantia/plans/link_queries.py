@@ -124,23 +124,21 @@ def source_intents(t):
                      K.company_continuity("base", "url", F.lit(None).cast("string")).alias("continuous"))
 
 
-# a captured site graph: each page links to three later pages of the ring of pages
-_EDGES = "select page_id as src, (page_id * 3 + 1) % n as dst, 3 + page_id % 4 as score from pages, (select count(*) as n from pages) union all select page_id, (page_id + 7) % n, 1 from pages, (select count(*) as n from pages)"
+_SCORED = f"""c as (select source_url, page_id, pos, resolved, {S.hits("lower(label || ' ' || resolved)", V.ENTRY_SCORE_POSITIVE)} * 3 - {S.hits("lower(label || ' ' || resolved)", V.ENTRY_SCORE_NEGATIVE)} * 4 as score,
+  contains(replace({S.host('resolved')} || {S.path('resolved')}, '-', ''), split_part({S.host('source_url')}, '.', -2)) as ok, coalesce({_KIND("lower(label || ' ' || resolved)")}, 'UNKNOWN') as kind from links)"""
 
 
-@query("N1", f"""with recursive e as ({_EDGES}), walk as (select page_id as node, 0 as depth from pages where contains(url, '#') union select e.dst, w.depth + 1 from walk w join e on e.src = w.node where w.depth < 3),
+@query("N1", f"""with recursive {LINKS.replace(I.PAGES, I.SITES)}, {_SCORED}, e as (select {_PAGE('source_url')} as src, {_PAGE('resolved')} as dst, max(score) as score from c where score > 0 and ok group by 1, 2),
+ walk as (select distinct {_PAGE('url')} as node, 0 as depth from pages where contains(url, '#') union select e.dst, w.depth + 1 from walk w join e on e.src = w.node where w.depth < 3),
  m as (select node, min(depth) as depth from walk group by node) select m.node, m.depth::integer as depth, coalesce((select max(e.score) from e join m p on p.node = e.src and p.depth = m.depth - 1 where e.dst = m.node), 0)::bigint as score from m""")
 def bounded_reach(t):
-    """Pages within three hops of the pages linked by fragment, with the best score of the last hop."""
-    n = t.pages.agg(F.count("*")).scalar()
-    hop = lambda dst, score: t.pages.select(F.col("page_id").alias("src"), dst.alias("dst"), score.alias("score"))
-    edges = hop((F.col("page_id") * 3 + 1) % n, 3 + F.col("page_id") % 4).unionAll(hop((F.col("page_id") + 7) % n, F.lit(1).cast("bigint")))
-    seeds = t.pages.filter(F.col("url").contains("#")).select(F.col("page_id").alias("node"))
-    return N.bounded_reach(edges, seeds, "src", "dst").select("node", "depth", "score")
+    """Pages within three hops, over scored links of their own site, of the pages captured by fragment, with the best score of the last hop."""
+    edges = N.page_edges(P.extract_links(I.sites(t).withColumnRenamed("url", "source_url"), "html", "source_url"))
+    seeds = t.pages.filter(F.col("url").contains("#")).select(U.page_of("url").alias("node"))
+    return N.bounded_reach(edges, seeds, "source", "target").select("node", "depth", "score")
 
 
-@query("N1", f"""with {LINKS}, c as (select page_id, pos, resolved, {S.hits("lower(label || ' ' || resolved)", V.ENTRY_SCORE_POSITIVE)} * 3 - {S.hits("lower(label || ' ' || resolved)", V.ENTRY_SCORE_NEGATIVE)} * 4 as score,
-  contains(replace({S.host('resolved')} || {S.path('resolved')}, '-', ''), split_part({S.host('source_url')}, '.', -2)) as ok, coalesce({_KIND("lower(label || ' ' || resolved)")}, 'UNKNOWN') as kind from links),
+@query("N1", f"""with {LINKS}, {_SCORED},
  b as (select *, row_number() over (partition by page_id order by score desc, kind <> 'CAMPUS', resolved) as r from c where score > 0 and ok)
 select page_id, resolved as node, score::integer as score, kind from b where r = 1""")
 def best_terminals(t):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import streams as Z
 from .registry import query
 
@@ -49,7 +50,7 @@ select user_id, page, count(*) as records, coalesce(any_value(new_ids), 0) as ne
 def stream_page_progress(t):
     """New ids per page of every run, pages without any marked."""
     df = _stream(t).select("user_id", F.expr("event_id div 100").alias("page"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    folder = Z._folder(t.spark)
+    folder = shared_folder(t.spark)
     Z.stream_progress(df, "user_id", "page", "k", folder)
     return t.spark.read.parquet(f"{folder}/pages").select("user_id", "page", "records", "new_ids", "no_progress")
 
@@ -58,7 +59,7 @@ def stream_page_progress(t):
 def stream_task_states(t):
     """Latest state of every task after the stream has drained."""
     df = _stream(t).select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.col("event_type").alias("state"), "event_id")
-    folder = Z._folder(t.spark)
+    folder = shared_folder(t.spark)
     Z.snapshot_states(df, "user_id", "k", "state", "event_id", folder)
     return Z.latest_snapshot(t.spark, folder).select("user_id", "k", "state", "updates")
 
@@ -70,7 +71,7 @@ def checkpointed_states(t):
 
     state = F.expr("case event_type when 'error' then 'FAILED' when 'view' then 'SUCCESS' else 'PENDING' end")
     states = t.events.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("job_id"), state.alias("state"))
-    folder = Z._folder(t.spark)
+    folder = shared_folder(t.spark)
     sinks.write_checkpoint(states.withColumn("state", F.lit("PENDING")), folder)
     sinks.write_checkpoint(states, folder)
     return sinks.read_checkpoint(t.spark, folder, "job_id bigint, state string").select("run_id", "job_id", "state")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # query strings keep one value per key; the readers put the winning pair last
@@ -45,6 +47,23 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return configure(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder under the shared checkpoint folder; a temporary one only on a single machine where none is named."""
+    root = checkpoint_root(spark)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/vacantia/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again: its lineage ends there and outlives lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_root(spark: SparkSession) -> str | None:
     """Shared folder for cut lineage and stream checkpoints, as the cluster names it."""
     return spark.conf.get("spark.checkpoint.dir", None)

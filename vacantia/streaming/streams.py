@@ -5,13 +5,10 @@ stream and a backfill share one definition."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab as V
-from ..session import checkpoint_root
+from ..session import shared_folder
 from .keyed import QuietPeriods, SeenIds, window_scan
 
 
@@ -46,20 +43,10 @@ def sliding_throughput(df: DataFrame, run: str, event_time: str, delay: str, wid
     return counts.select(run, F.col("w.start").alias("window_start"), "done", (F.col("done") <= stalled_below).alias("stalled"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder; a temporary one only on a single machine where none is named."""
-    root = checkpoint_root(spark)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/vacantia/{uuid.uuid4().hex}"
-
-
 def drain(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Run a stream over everything available into a table and read the table back."""
     spark = df.sparkSession
-    folder = folder or _folder(spark)
+    folder = folder or shared_folder(spark)
     query = df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option(
         "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
