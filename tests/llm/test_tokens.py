@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
 import public_tokenizers
 import pytest
@@ -42,16 +43,23 @@ def test_encode_and_decode(documents, odd, buckets, monkeypatch):
         want[r.doc_id, np.array(ids, np.uint32).tobytes(), library.decode(ids, skip_special_tokens=False)] += 1
     if buckets:
         monkeypatch.setattr(bpe, "BLOCK", 5000)
-        monkeypatch.setattr(bpe, "ROW", 700)
+        monkeypatch.setattr(bpe, "ROW", 100)
     got = Counter((r.doc_id, bytes(r.ids), r.decoded) for r in bpe.encode_decode(odd, WORD, buckets=buckets).collect())
     assert got == want
     assert bpe.encode_decode(documents.limit(0), WORD).count() == 0
 
 
-def test_decode_join(spark):
-    pieces = spark.createDataFrame([(1, "a</w>"), (2, "b")], "id int, piece string")
-    rows = spark.createDataFrame([(0, [2, 1, 1]), (1, []), (2, None), (3, [9, 2])], "key int, ids array<int>")
-    assert {r.key: r.decoded for r in bpe.decode(rows, pieces, "key").collect()} == {0: "b a</w> a</w>", 1: "", 2: "", 3: "b"}
+def test_decode_join():
+    pieces = pa.table({"id": [1, 2], "piece": [b"a</w>", b"b"]})
+    lists = [np.array(x, np.uint32).tobytes() for x in ([2, 1, 1], [], [9, 2], [9])]
+    assert bpe.spelled(lists, pieces) == [b"b a</w> a</w>", b"", b"b", b""] and bpe.spelled([], pieces) == []
+
+
+def test_words_are_split_as_the_tokenizer_does(spark):
+    encoder, rng = Encoder(WORD, False), random.Random(5)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", bpe.words("t").alias("w")).collect()
+    assert all(r.w == encoder.chunks(r.t.lower() if r.t.isascii() and "<|" not in r.t else r.t) for r in rows)
 
 
 def test_files(spark, documents, odd):

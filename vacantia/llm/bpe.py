@@ -1,48 +1,33 @@
-"""Byte-pair encoding through a table of distinct words, and decoding through the table of pieces."""
+"""Byte-pair encoding through a table of distinct words, and decoding through a join of ids with pieces."""
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
-from .tokens import Encoder, tokenizer
+from .common import packed, shared_folder, unpacked
+from .tokens import SPACE, Encoder, tokenizer
 
-# characters of the texts of a block, which share one word list, and of the texts packed in one row
-BLOCK, ROW = 32 << 20, 1 << 20
+# characters of the texts of a block, which share one word list, and words of the texts packed in one row
+BLOCK, ROW = 16 << 20, 200_000
 # compression of what is stored and shuffled: time for disk
 LEVEL = 15
 ROWS = "block long, bucket int, keys array<{kind}>, blob binary"
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers as four planes of bytes, of which the high ones compress to nothing."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def words(text: str) -> Column:
+    """Words of a whole text (null: none), in order.
 
-
-def _numbers(raw: bytes, start: int, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, start).reshape(4, n).T).view("<u4").ravel()
-
-
-def _packed(numbers: list[np.ndarray], rest: bytes = b"") -> bytes:
-    """Lists of numbers and some bytes, compressed."""
-    sizes = np.array([len(numbers), *map(len, numbers)], "<u4").tobytes()
-    return zstandard.compress(sizes + b"".join(map(_planes, numbers)) + rest, LEVEL)
-
-
-def _unpacked(blob: bytes) -> tuple[list[np.ndarray], bytes]:
-    raw = zstandard.decompress(blob)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    at, out = 4 + 4 * n, []
-    for size in np.frombuffer(raw, "<u4", n, 4).tolist():
-        out.append(_numbers(raw, at, size))
-        at += 4 * size
-    return out, raw[at:]
+    The file's tokenizer lower-cases, so where that is sure to be A-Z alone it is done here: fewer distinct words."""
+    text = F.coalesce(F.col(text), F.lit(""))
+    plain = (F.octet_length(text) == F.length(text)) & ~text.contains("<|")
+    return F.filter(F.split(F.when(plain, F.lower(text)).otherwise(text), f"[{SPACE}]+", -1), lambda w: w != "")
 
 
 def _parts(raw: bytes, lengths: np.ndarray) -> list[bytes]:
@@ -50,110 +35,120 @@ def _parts(raw: bytes, lengths: np.ndarray) -> list[bytes]:
     return [raw[s:e] for s, e in zip([0, *ends], ends)]
 
 
-def _split(path: str, buckets: int):
+def _numbered(buckets: int):
     def run(batches):
-        """Blocks of texts: rows of texts as the numbers of their words, and a row per bucket of the block's words."""
-        encoder = Encoder(path, keep_space=False)
-        block, schema = TaskContext.get().partitionId() << 33, None
-        ids, keys, codes, sizes, held = {}, [], [], [], 0
+        """Blocks of texts: rows of texts as the numbers of their words, and a row per bucket of the block's distinct words."""
+        block, kind = TaskContext.get().partitionId() << 33, None
+        keys, sizes, flat, held = [], [], [], 0
 
         def flush():
-            flat = np.concatenate(codes)
-            order = np.argsort(-np.bincount(flat, minlength=len(ids)), kind="stable")  # small numbers for frequent words
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.arange(len(ids))
-            words = [w.encode() for w in ids]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))[order]
+            found = pa.chunked_array(flat, pa.string()).combine_chunks().dictionary_encode()
+            if isinstance(found, pa.ChunkedArray):
+                found = found.combine_chunks()
+            codes, distinct = found.indices.to_numpy(zero_copy_only=False), [w.encode() for w in found.dictionary.to_pylist()]
+            order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(distinct), np.int64)
+            rank[order] = np.arange(len(distinct))
+            numbers = rank[codes]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in distinct), np.int64, len(distinct))[order]
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
             rows = []
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     ranks = by[cuts[b]:cuts[b + 1]]
-                    own = [words[i] for i in order[ranks].tolist()]
-                    rows.append((b, None, _packed([np.diff(ranks, prepend=0), np.array([*map(len, own)])], b"".join(own))))
-            first = size = 0
+                    own = [distinct[i] for i in order[ranks].tolist()]
+                    rows.append((b, None, packed([np.diff(ranks, prepend=0), np.array([*map(len, own)])], b"".join(own), LEVEL)))
+            first = start = end = 0
             for i, n in enumerate(sizes):
-                size += n
-                if size >= ROW or i + 1 == len(sizes):
-                    numbers = [rank[c] for c in codes[first:i + 1]]
-                    rows.append((buckets, keys[first:i + 1], _packed([np.array([*map(len, numbers)]), np.concatenate(numbers)])))
-                    first, size = i + 1, 0
+                end += n
+                if end - start >= ROW or i + 1 == len(sizes):
+                    rows.append((buckets, keys[first:i + 1], packed([np.array(sizes[first:i + 1]), numbers[start:end]], level=LEVEL)))
+                    first, start = i + 1, end
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(rows), block)), pa.array([r[0] for r in rows], pa.int32()),
-                 pa.array([r[1] for r in rows], pa.list_(schema.field(0).type)), pa.array([r[2] for r in rows], pa.binary())],
+                 pa.array([r[1] for r in rows], pa.list_(kind)), pa.array([r[2] for r in rows], pa.binary())],
                 ["block", "bucket", "keys", "blob"])
 
         for batch in batches:
-            schema = batch.schema
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                if text.isascii() and "<|" not in text:  # the tokenizer lower-cases: fewer distinct words
-                    text = text.lower()
-                words = encoder.chunks(text)
-                codes.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
-                keys.append(key)
-                sizes.append(len(text))
-                held += len(text)
-                if held >= BLOCK:
-                    yield flush()
-                    ids, keys, codes, sizes, held, block = {}, [], [], [], 0, block + 1
+            kind = batch.schema.field(0).type
+            lists = batch.column(1)
+            keys += batch.column(0).to_pylist()
+            sizes += pc.list_value_length(lists).to_pylist()
+            flat.append(lists.flatten())
+            held += flat[-1].nbytes
+            if held >= BLOCK:
+                yield flush()
+                keys, sizes, flat, held, block = [], [], [], 0, block + 1
         if keys:
             yield flush()
 
     return run
 
 
+def spelled(ids: list[bytes], pieces: pa.Table) -> list[bytes]:
+    """Each list of ids (little-endian, 32 bits) as its pieces, parted by blanks: a join of ids with the table (id, piece).
+
+    An id without a piece gives nothing."""
+    flat = np.frombuffer(b"".join(ids), np.uint32).astype(np.int64)
+    rows = pa.table({"id": flat, "at": np.arange(len(flat)), "list": np.repeat(np.arange(len(ids)), [len(i) // 4 for i in ids])})
+    found = rows.join(pieces, "id", join_type="inner", use_threads=False).sort_by("at")
+    out, names, owner = [b""] * len(ids), found["piece"].to_pylist(), found["list"].to_numpy()
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1, append=len(ids))).tolist()
+    for s, e in zip(cuts, cuts[1:]):
+        out[int(owner[s])] = b" ".join(names[s:e])
+    return out
+
+
 def _encoded(path: str):
     def run(batches):
-        """Word lists of the blocks to lists of ids; a word stands in one bucket, so it is encoded once."""
-        encoder, now = Encoder(path, keep_space=False), None
+        """Word lists of the blocks to lists of ids and of decoded words; a word stands in one bucket, so it is encoded and decoded once."""
+        encoder, now, decoded = Encoder(path, keep_space=False), None, {}
+        vocabulary = encoder.tokenizer.get_vocab(with_added_tokens=True)
+        pieces = pa.table({"id": pa.array(vocabulary.values(), pa.int64()), "piece": pa.array([p.encode() for p in vocabulary], pa.binary())})
         for batch in batches:
             out = []
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
                 if bucket != now:
                     now = bucket
                     encoder.memo.clear()
-                (ranks, lengths), raw = _unpacked(blob.as_py())
-                words = [w.decode() for w in _parts(raw, lengths)]
-                encoder.learn(words, keep=True)
-                ids = [encoder.memo[w] for w in words]
-                out.append(_packed([ranks, np.array([*map(len, ids)]), np.frombuffer(b"".join(ids), np.uint32)]))
-            yield batch.set_column(batch.schema.get_field_index("blob"), "blob", pa.array(out, pa.binary()))
+                    decoded.clear()
+                    if encoder.words:
+                        encoder.words.clear()
+                (ranks, lengths), raw = unpacked(blob.as_py())
+                own = [w.decode() for w in _parts(raw, lengths)]
+                encoder.learn(own, keep=True)
+                ids = [encoder.memo[w] for w in own]
+                new = [w for w in own if w not in decoded]
+                decoded.update(zip(new, spelled([encoder.memo[w] for w in new], pieces)))
+                texts = [decoded[w] for w in own]
+                numbers = [ranks, np.array([*map(len, ids)]), np.frombuffer(b"".join(ids), np.uint32), np.array([*map(len, texts)])]
+                out.append(packed(numbers, b"".join(texts), LEVEL))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "blob"])
 
     return run
 
 
-def _joined(path: str):
-    def run(batches):
-        """Ids and decoded texts: for each block first its word lists, then its texts."""
-        known = tokenizer(path)
-        pieces = {i: p.encode() for p, i in known.get_vocab(with_added_tokens=True).items()}
-        now, lists, ids, decoded = None, [], [], None
-        for batch in batches:
-            kind = batch.schema.field("keys").type.value_type
-            for row, (block, is_text) in enumerate(zip(batch.column("block").to_pylist(), batch.column("last").to_pylist())):
-                if block != now:
-                    now, lists, decoded = block, [], None
-                numbers, _ = _unpacked(batch.column("blob")[row].as_py())
-                if not is_text:
-                    lists.append(numbers)
-                    continue
-                if decoded is None:  # the id-to-piece join, once per distinct word of the block
-                    size = sum(len(x[0]) for x in lists)
-                    ids, decoded = [b""] * size, [b""] * size
-                    for ranks, lengths, flat in lists:
-                        for at, word in zip(np.cumsum(ranks, dtype=np.int64).tolist(), _parts(flat.tobytes(), lengths)):
-                            ids[at] = word
-                            decoded[at] = b" ".join([pieces.get(i, b"") for i in np.frombuffer(word, np.uint32).tolist()])
-                lengths, flat = numbers
-                ends = np.cumsum(lengths, dtype=np.int64).tolist()
-                codes = flat.tolist()
-                texts = [codes[s:e] for s, e in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(batch.column("keys")[row].as_py(), kind), pa.array([b"".join([ids[c] for c in t]) for t in texts], pa.binary()),
-                     pa.array([b" ".join([decoded[c] for c in t if decoded[c]]) for t in texts], pa.binary()).cast(pa.string())],
-                    ["key", "ids", "decoded"])
+def _joined(name: str):
+    def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
+        """Texts of a block with ids and decoded text, joined by the position of their words in the block's lists."""
+        ids, decoded = {}, {}
+        for blob in lists["blob"]:
+            (ranks, lengths, flat, sizes), raw = unpacked(blob.as_py())
+            at = np.cumsum(ranks, dtype=np.int64).tolist()
+            ids.update(zip(at, _parts(flat.tobytes(), lengths)))
+            decoded.update(zip(at, _parts(raw, sizes)))
+        ids, decoded = ([d[i] for i in range(len(d))] for d in (ids, decoded))
+        keys, encoded, plain = [], [], []
+        for row in range(len(texts)):
+            (sizes, numbers), _ = unpacked(texts["blob"][row].as_py())
+            keys += texts["keys"][row].as_py()
+            ends, codes = np.cumsum(sizes, dtype=np.int64).tolist(), numbers.tolist()
+            for s, e in zip([0, *ends], ends):
+                own = codes[s:e]
+                encoded.append(b"".join([ids[c] for c in own]))
+                plain.append(b" ".join([decoded[c] for c in own if decoded[c]]))
+        return pa.table([pa.array(keys, texts["keys"].type.value_type), pa.array(encoded, pa.binary()), pa.array(plain, pa.binary()).cast(pa.string())], [name, "ids", "decoded"])
 
     return run
 
@@ -161,31 +156,24 @@ def _joined(path: str):
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """``id_col``, ``ids`` (little-endian unsigned 32-bit) and ``decoded`` of each whole text (null: empty).
 
-    For vocabularies that only take white space as the end of a word.  Texts are split into words in blocks of
-    bounded size, which are stored as the numbers of their words and the distinct words, by bucket of a hash.  A
-    bucket comes together in one task, which encodes each distinct word once for the whole table.  The lists of ids
-    return to their block by an equality of block numbers and in the order of the words, so that a text's word numbers
-    are the positions to join them by; decoding looks pieces up by id, once per distinct word of a block, and joins
-    them by blanks as the library does without a decoder.  A frequent word costs one entry per block, whatever its
-    count.  Repeated rows and null ids stay as they are; other columns are not returned."""
+    For vocabularies that only take white space as the end of a word and decode by joining pieces with blanks.  Texts
+    are split into words by Spark and numbered in blocks of bounded size.  A block is stored, by its number in the
+    buckets of a table, as the numbers of its texts and its distinct words; the words come together by a hash, so a task
+    encodes each distinct word of the whole table once, and decodes it by a join of its ids with the pieces.  The lists
+    return to their block, whose texts stay where they are stored, and in the order of the words, so that a text's
+    numbers are the positions to join them by.  A frequent word costs one entry a block, whatever its count.  Repeated
+    rows and null ids stay as they are; other columns are not returned; an empty table gives an empty one."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or parts
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    schema = ROWS.format(kind=rows.schema["key"].dataType.simpleString())
-    blocks = stored(rows.mapInArrow(_split(path, buckets), schema))
-    words = blocks.filter(F.col("bucket") < buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    both = words.mapInArrow(_encoded(path), schema).union(blocks.filter(F.col("bucket") == buckets))
-    both = both.repartition(parts, "block").sortWithinPartitions("block", "bucket").withColumn("last", F.col("bucket") == buckets)
-    out = both.mapInArrow(_joined(path), f"key {rows.schema['key'].dataType.simpleString()}, ids binary, decoded string")
-    return out.withColumnRenamed("key", id_col)
-
-
-def decode(rows: DataFrame, pieces: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """``key`` and ``decoded``: the pieces of an array of ids, joined by blanks, by a join with a table (id, piece).
-
-    The table of pieces is as long as the vocabulary, a fixed size, and is broadcast.  Keys must be unique; an
-    empty or null array gives an empty text, an id without a piece nothing."""
-    flat = rows.select(key, F.posexplode_outer(ids).alias("at", "id")).join(F.broadcast(pieces), "id", "left")
-    held = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))).alias("p"))
-    return held.select(key, F.array_join(F.col("p.piece"), " ").alias("decoded"))
+    rows = docs.select(F.col(id_col).alias("key"), words(text_col).alias("words"))
+    kind = rows.schema["key"].dataType.simpleString()
+    table = f"word_blocks_{uuid.uuid4().hex}"
+    blocks = rows.mapInArrow(_numbered(buckets), ROWS.format(kind=kind))
+    blocks.write.bucketBy(parts, "block").option("path", shared_folder(spark)).saveAsTable(table)
+    blocks = spark.table(table)
+    own = blocks.filter(F.col("bucket") < buckets).select("block", "bucket", "blob")
+    lists = own.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(path), "block long, blob binary")
+    texts = blocks.filter(F.col("bucket") == buckets).select("block", "keys", "blob")
+    both = texts.groupBy("block").cogroup(lists.groupBy("block"))
+    return both.applyInArrow(_joined(id_col), f"`{id_col}` {kind}, ids binary, decoded string")
