@@ -8,6 +8,8 @@ by increasing value on a Burrows-Wheeler transform of a bounded group of segment
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -174,16 +176,31 @@ def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def partners(rows: list[tuple], length: int) -> list[tuple]:
+    """The segments of one anchor that may share a window with another of them.
+
+    A window holds its anchor, so it reaches at least half of the rest to one side of it: segments that share a window
+    agree in all bytes of that half."""
+    half = (length - GRAM + 1) // 2
+    sides = []
+    for _, content, *_, back in rows:
+        after = back + GRAM
+        sides.append((content[back - half:back] if back >= half else None, content[after:after + half] if len(content) >= after + half else None))
+    left, right = (Counter(s for s in side if s is not None) for side in zip(*sides))
+    near = [row for row, (a, b) in zip(rows, sides) if left[a] > 1 or right[b] > 1]
+    return near if any(row[7] == 1 for row in near) else []
+
+
 def _compared(length: int, chunk: int):
     def run(batches):
         """Repeated spans of the segments (only those that stand once) from groups that arrive together."""
-        group, rows, size = None, [], 0
+        group, held, rows, size = None, [], [], 0
 
         def spans():
             text = np.frombuffer(b"\xff".join(r[1] for r in rows) + b"\xff", np.uint8) + np.uint8(1)  # the mark between segments becomes 0
             hit = repeated_starts(text, length)
             out, at = [], 0
-            for _, content, id1, id2, first, low, high, times in rows:
+            for _, content, id1, id2, first, low, high, times, _ in rows:
                 if times == 1:
                     run_ = np.diff(np.concatenate([[0], hit[at + low:at + high + 1].astype(np.int8), [0]]))
                     for s, e in zip(np.flatnonzero(run_ == 1).tolist(), np.flatnonzero(run_ == -1).tolist()):
@@ -193,12 +210,16 @@ def _compared(length: int, chunk: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != group and size > chunk:
-                    yield spans()
-                    rows, size = [], 0
-                group = row[0]
-                rows.append(row)
-                size += len(row[1])
+                if row[0] != group:
+                    near = partners(held, length) if held else []
+                    rows += near
+                    size += sum(len(r[1]) for r in near)
+                    group, held = row[0], []
+                    if size > chunk:
+                        yield spans()
+                        rows, size = [], 0
+                held.append(row)
+        rows += partners(held, length) if held else []
         if rows:
             yield spans()
 
@@ -241,7 +262,7 @@ def repeats(docs: DataFrame, length: int = 400, text_col: str = "text", group: i
         (F.col("last") - F.col("first")).cast("int").alias("high"), "times", (F.col("at") - F.col("first")).cast("int").alias("back"),
         F.lit(GRAM - length).alias("x1"), F.lit(0).alias("x2"), "kinds")
     nodes = stored(nodes)
-    order = ["node", "content", "id1", "id2", "first", "low", "high", "times"]
+    order = ["node", "content", "id1", "id2", "first", "low", "high", "times", "back"]
     ready = nodes.filter(F.col("kinds") <= group).select(*order)
     crowded = nodes.filter(F.col("kinds") > group).drop("kinds")
     while not crowded.isEmpty():
