@@ -79,7 +79,7 @@ def test_running_totals_keep_null_keys(spark):
 def test_rows_with_null_keys_are_scattered(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, (F.col("id") % 7).cast("string")).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"))
-    out = G.attach_group(rows, groups, "k", "n", F.col("id"))
+    out = G.attach_group(rows, groups, "k")
     assert out.count() == 3000 and out.filter("k is null and n is not null").count() == 0 and out.filter("k is not null and n is null").count() == 0
 
 

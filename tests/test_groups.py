@@ -30,14 +30,14 @@ def test_attach_group_serves_hot_and_cold_groups(skewed):
     for k, _, _ in rows:
         sizes[k] = sizes.get(k, 0) + 1
     groups = df.groupBy("k").agg(F.count("*").alias("n"))
-    got = G.attach_group(df, groups, "k", "n", F.col("pos")).collect()
+    got = G.attach_group(df, groups, "k").collect()
     assert len(got) == len(rows) and all(r.n == sizes[r.k] for r in got)
 
 
 def test_attach_group_keeps_rows_without_a_group(spark, skewed):
     _, df = skewed
     groups = df.filter("k <> 'hot'").groupBy("k").agg(F.count("*").alias("n"))
-    got = G.attach_group(df, groups, "k", "n", F.col("pos"))
+    got = G.attach_group(df, groups, "k")
     assert got.count() == df.count() and got.filter("k = 'hot' and n is not null").count() == 0
 
 

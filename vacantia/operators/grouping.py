@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# a group is hot when it holds more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE groups can be hot
-HOT_SHARE = 1000
-
-
 def names(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
@@ -36,28 +32,14 @@ def first_by(df: DataFrame, keys, order, last: bool = False) -> DataFrame:
     return grouped.select(*[F.col(k) if k in keys else F.col(f"_row.{k}") for k in df.columns])
 
 
-def attach_group(rows: DataFrame, groups: DataFrame, keys, size: str, spread: Column) -> DataFrame:
-    """Left join facts of a group onto its rows.
+def attach_group(rows: DataFrame, groups: DataFrame, keys) -> DataFrame:
+    """Left join facts of a group, one row each, onto its rows; rows without a group, or with a null key, keep nulls.
 
-    Groups holding more than one row in a thousand are fewer than a thousand, so they are broadcast;
-    their rows keep their place.  All other rows shuffle by key.  ``spread`` is any well-distributed row
-    value: it scatters the already served hot rows over the second join."""
+    One join.  Small facts are broadcast by their measured size; otherwise a group that holds a large share of all rows
+    is split at run time (adaptive skew join, which the session settings force), as the side of the facts has one row
+    for it."""
     keys = names(keys)
-    facts = [n for n in groups.columns if n not in keys]
-    line = groups.agg((F.sum(size) / HOT_SHARE).alias("line")).scalar()
-    held = groups.withColumn("_hot", F.col(size) > F.greatest(line, F.lit(1.0)))
-    packed = held.select(*keys, "_hot", F.struct(*facts).alias("_g"))
-    hot = F.broadcast(packed.filter("_hot").select(*keys, F.col("_g").alias("_h")))
-    cold = packed.filter("not _hot").select(*keys, F.col("_g").alias("_c"), F.lit(0).alias("_salt"))
-    # rows that no group can meet, for a null key, are scattered as well
-    whole_key = F.lit(True)
-    for key in keys:
-        whole_key = whole_key & F.col(key).isNotNull()
-    marked = rows.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_h").isNull() & whole_key, 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
-    joined = marked.join(cold, keys + ["_salt"], "left")
-    whole = joined.withColumn("_g", F.coalesce("_h", "_c"))
-    return whole.select(*[F.col(n) for n in rows.columns], *[F.col(f"_g.{n}").alias(n) for n in facts])
+    return rows.join(groups, keys, "left").select(*rows.columns, *[n for n in groups.columns if n not in keys])
 
 
 def running_total(df: DataFrame, keys, order: str, values: dict[str, str], block: int = 4096, tie=()) -> DataFrame:

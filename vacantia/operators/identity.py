@@ -74,7 +74,7 @@ def dedupe_first(df: DataFrame, keys, order) -> DataFrame:
 def page_ranked(df: DataFrame, run: str, page: str, index: str) -> DataFrame:
     """Adds page_rank: when the page was first seen in the run; a row without a page has its own place."""
     ranks = df.filter(F.col(page).isNotNull()).groupBy(run, page).agg(F.min(index).alias("page_rank"), F.count("*").alias("_size"))
-    out = attach_group(df, ranks, [run, page], "_size", F.col(index)).drop("_size")
+    out = attach_group(df, ranks, [run, page]).drop("_size")
     return out.withColumn("page_rank", F.coalesce("page_rank", index))
 
 
@@ -112,7 +112,7 @@ def dedup_trace(df: DataFrame, keys, order: str, groups: DataFrame, fingerprint:
     ambiguous = groups.filter(F.col("reason").isin("AMBIGUOUS_ID_COLLISION", "UNEXPLAINED_DUPLICATE"))
     firsts = df.filter(valid).groupBy(*keys).agg(F.min(order).alias("_first"), F.count("*").alias("_size"))
     facts = firsts.join(ambiguous.select(*keys, F.lit(True).alias("_amb")), keys, "left")
-    rows = attach_group(df, facts, keys, "_size", F.col(order))
+    rows = attach_group(df, facts, keys)
     suffixed = F.concat(F.col(keys[-1]), F.lit(":"), F.substring(F.sha2(F.col(fingerprint), 256), 1, 12))
     fate = (F.when(~valid, "DROPPED_INVALID").when(F.col("_amb"), "PRESERVED_COLLISION_SUFFIX")
             .when(F.col(order) > F.col("_first"), "DROPPED_DUPLICATE").otherwise("PRESERVED"))
@@ -130,7 +130,7 @@ def dom_collisions(df: DataFrame, keys, order: str, url: str, title: str) -> Dat
     facts = df.groupBy(*keys).agg(
         F.min_by(F.struct(F.col(url).alias("u"), F.col(title).alias("t")), order).alias("_f"),
         F.min(order).alias("_first"), F.count("*").alias("_size"))
-    rows = attach_group(df, facts, keys, "_size", F.col(order))
+    rows = attach_group(df, facts, keys)
     same = F.col(url).eqNullSafe(F.col("_f.u")) & F.col(title).eqNullSafe(F.col("_f.t"))
     fate = (F.when(F.col(order) == F.col("_first"), "PRESERVED")
             .when(same, "SAME_REQUISITION_DUPLICATE_PRESENTATION").otherwise("AMBIGUOUS_ID_COLLISION"))
@@ -142,7 +142,7 @@ def dom_collisions(df: DataFrame, keys, order: str, url: str, title: str) -> Dat
 def title_identity(df: DataFrame, page: str, title: str, explicit: str, order: str, has_sections: str) -> DataFrame:
     """Card identity: explicit attribute or route id, else the title when it is unique on its page."""
     facts = df.filter(F.col(title) != "").groupBy(page, title).agg(F.count("*").alias("title_count"))
-    rows = attach_group(df, facts, [page, title], "title_count", F.col(order))
+    rows = attach_group(df, facts, [page, title])
     by_title = F.concat(F.lit("title:"), F.substring(F.sha2(F.col(title), 256), 1, 24))
     unique = (F.col(title) != "") & (F.col("title_count") == 1) & F.col(has_sections)
     return rows.withColumns({

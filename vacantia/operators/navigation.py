@@ -39,7 +39,7 @@ def bounded_reach(edges: DataFrame, seeds: DataFrame, source: str, target: str,
     seen = frontier
     for depth in range(1, max_depth + 1):
         open_ = degrees.join(frontier.select(F.col("node").alias("_from")), "_from").withColumn("_open", F.lit(True))
-        step = attach_group(edges, open_, "_from", "_degree", F.col("_to")).filter("_open")
+        step = attach_group(edges, open_, "_from").filter("_open")
         found = step.groupBy(F.col("_to").alias("node")).agg(F.max("_score").alias("score"))
         frontier = stored(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "score"))
         seen = seen.unionByName(frontier)

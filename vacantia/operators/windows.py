@@ -57,7 +57,7 @@ def stop_pages(progress: DataFrame, run: str, page: str) -> DataFrame:
 def total_drift(pages: DataFrame, run: str, page: str, total: str) -> DataFrame:
     """Pages that state another total than the run's first page."""
     base = pages.groupBy(run).agg(F.min_by(total, page).alias("baseline"), F.count("*").alias("_size"))
-    rows = attach_group(pages.select(run, page, total), base, run, "_size", F.col(page))
+    rows = attach_group(pages.select(run, page, total), base, run)
     return rows.filter(F.col(total) != F.col("baseline")).select(run, page, total, "baseline")
 
 

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.analyzer.maxIterations": "400",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a hot group is split even if what follows then needs another exchange
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # state of streams on disk, with only its changes written to the checkpoint
