@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from .common import packed, stored, summed, unpacked
 from .tokens import BYTE_LETTERS, SPACE, tokenizer
 
 # characters of the texts of a block, and chunks a task remembers before it starts anew
-BLOCK, MEMO = 4 << 20, 600_000
+BLOCK, MEMO = 4 << 20, 800_000
 BLOCKS = "block long, keys array<{kind}>, blob binary, pairs array<long>, docs array<int>"
 # counts of pairs in one row on their way back, chunks of the documents that leave in one batch
 RUN, SLICE = 8192, 200_000
@@ -67,7 +68,7 @@ class ByteLevel(Spans):
 
     def encode(self, texts: list[str]):
         for text, found in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+            spans = np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             places = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
             # a character that the next token shares is cut by the bytes of the tokens
@@ -87,8 +88,8 @@ class Pieces(Spans):
 
     def encode(self, texts: list[str]):
         for text, proto in zip(texts, self.model.encode([t[1:] for t in texts], return_type="proto", num_threads=1)):
-            found = [(p.id, p.end) for p in proto.pieces]
-            ids, ends = np.array(found, np.int64).reshape(-1, 2).T
+            pieces = proto.pieces
+            ids, ends = np.array([p.id for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
             # bytes of a character, and the blank in front, have no span of their own
             own = np.diff(ends, prepend=0) > 0
             yield self.checked(ids, ends + 1, own, text.encode())
@@ -153,14 +154,17 @@ def _aligned(path_a: str, path_b: str):
         """Blocks of texts: each text as the numbers of its chunks, the block's chunks, its id pairs and their documents."""
         aligner = Aligner(path_a, path_b)
         block, kind = TaskContext.get().partitionId() << 33, None
-        keys, numbers, known, held = [], [], {}, 0
+        keys, flat, lengths, held = [], [], [], 0
 
         def flush():
+            found = pa.array(flat, pa.string()).dictionary_encode()
+            known = found.dictionary.to_pylist()
             if len(aligner.memo) > MEMO:
                 aligner.memo.clear()
             aligner.learn(known)
             entries = [aligner.memo[c] for c in known]
             whole = np.array([len(e) > 0 for e in entries], bool)
+            numbers = np.split(found.indices.to_numpy(zero_copy_only=False), np.cumsum(lengths)[:-1])
             texts = [n if whole[n].all() else np.empty(0, np.int32) for n in numbers]
             blank = bytes(16)
             stats = np.frombuffer(b"".join([e[:16] or blank for e in entries]), np.uint32).reshape(-1, 4).astype(np.int64)
@@ -169,12 +173,11 @@ def _aligned(path_a: str, path_b: str):
             pairs, at = np.unique(np.frombuffer(b"".join([e[16:n] for e, n in zip(entries, ends)]), np.int64), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             docs = np.zeros(len(pairs), np.int32)
-            for n in texts:  # a pair counts once a document
-                n = np.unique(n)
-                places = np.repeat(starts[n] - np.concatenate([[0], np.cumsum(sizes[n])[:-1]]), sizes[n]) + np.arange(sizes[n].sum())
-                docs[np.unique(at[places])] += 1
-            flat = np.concatenate([*texts, np.empty(0, np.int32)])
-            blob = packed([np.array([*map(len, texts)], np.int64), flat, *stats.T, at], b"\n".join([e[n:] for e, n in zip(entries, ends)]))
+            for n in texts:
+                each = sizes[n]
+                places = np.repeat(starts[n] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                docs[at[places]] += 1  # once a document, however often a pair stands in it
+            blob = packed([np.array([*map(len, texts)], np.int64), np.concatenate([*texts, np.empty(0, np.int32)]), *stats.T, at], b"\n".join([e[n:] for e, n in zip(entries, ends)]))
             return pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([keys], pa.list_(kind)), pa.array([blob], pa.binary()), pa.array([pairs], pa.list_(pa.int64())),
                  pa.array([docs], pa.list_(pa.int32()))], ["block", "keys", "blob", "pairs", "docs"])
@@ -185,11 +188,12 @@ def _aligned(path_a: str, path_b: str):
                 text = text.as_py() or ""
                 parts = aligner.chunks(text) if text else []
                 keys.append(key)
-                numbers.append(np.fromiter((known.setdefault(c, len(known)) for c in parts), np.int32, len(parts)))
+                flat += parts
+                lengths.append(len(parts))
                 held += len(text)
                 if held >= BLOCK:
                     yield flush()
-                    keys, numbers, known, held, block = [], [], {}, 0, block + 1
+                    keys, flat, lengths, held, block = [], [], [], 0, block + 1
         if keys:
             yield flush()
 
