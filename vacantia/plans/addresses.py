@@ -47,11 +47,11 @@ _KEPT = ("array_to_string(list_filter(list_transform(list_filter(string_split({q
 
 
 @query("T11", f"""with {I.URLS}, p as (select page_id, v, {S.scheme('url')} as s, lower({S.netloc('url')}) as n,
-  regexp_replace({S.path('url')}, '/+$', '') as pa, {_KEPT.format(q=S.query('url'))} as k from urls where v <> 11)
-select page_id, v, s || '://' || n || pa || case when k <> '' then '?' || k else '' end as canonical from p""")
+  regexp_replace({S.path('url')}, '/+$', '') as pa, {_KEPT.format(q=S.query('url'))} as k, url from urls)
+select page_id, v, case when s = '' then url else s || '://' || n || pa || case when k <> '' then '?' || k else '' end end as canonical from p""")
 def canonical_url(t):
     """Addresses without case, tracking and fragment noise."""
-    return I.urls(t).filter("v <> 11").select("page_id", "v", U.canonical_url("url").alias("canonical"))
+    return I.urls(t).select("page_id", "v", U.canonical_url("url").alias("canonical"))
 
 
 @query("T12", f"""with {I.URLS}, p as (select page_id, v, {S.scheme('url')} as s, lower({S.netloc('url')}) as n,
@@ -71,19 +71,19 @@ def normalized_url(t):
  case v when 1 then page_id || 'a-1' when 2 then page_id::varchar
   when 3 then page_id || '00001' end as value,
  case v when 1 then 'detail_url_path_id' when 2 then 'query:jobId' when 3 then 'detail_url_fragment_id' end as source
- from urls where v between 1 and 9""")
+ from urls""")
 def url_identifier(t):
     """The record id a detail address carries."""
-    df = I.urls(t).filter("v between 1 and 9").withColumn("f", U.url_identifier("url"))
+    df = I.urls(t).withColumn("f", U.url_identifier("url"))
     return df.select("page_id", "v", F.col("f.value").alias("value"), F.col("f.source").alias("source"))
 
 
 @query("T5", f"""with {I.URLS} select page_id, v,
  case v when 2 then 'jobid=' || page_id || ';position=detail' when 3 then 'job=' || page_id || '00001' else '' end as ids
- from urls where v between 1 and 9""")
+ from urls""")
 def path_bound_ids(t):
     """Ids an address is bound to, with the key that names them."""
-    df = I.urls(t).filter("v between 1 and 9").withColumn("ids", U.path_bound_ids("url"))
+    df = I.urls(t).withColumn("ids", U.path_bound_ids("url"))
     shown = F.array_join(F.transform("ids", lambda s: F.concat(s["name"], F.lit("="), s["value"])), ";")
     return df.select("page_id", "v", shown.alias("ids"))
 
@@ -122,37 +122,35 @@ def route_scope(t):
  case when contains(lower(url), 'campus') then 'campus' when contains(lower(url), 'social') then 'social'
   when contains(lower(url), 'intern') then 'intern' when contains(lower(url), 'graduate') then 'graduate'
   when contains(lower(url), 'experienced') then 'experienced' end as recruitment_type,
- case v when 8 then 'new york city' when 11 then null end as location from urls where v <> 11""")
+ case v when 8 then 'new york city' end as location from urls""")
 def url_scopes(t):
     """The slice of jobs an address already narrows to."""
-    df = I.urls(t).filter("v <> 11").withColumn("s", U.url_scope("url"))
+    df = I.urls(t).withColumn("s", U.url_scope("url"))
     return df.select("page_id", "v", "s.filters", "s.recruitment_type", "s.location")
 
 
-@query("X2", f"""with {I.URLS} select page_id, v, split_part(split_part(url, '#', 1), '?', 1) as url, case v
- when 1 then 'utm_source=x&resource_id=7&b=2&a=1' when 2 then 'jobId=' || page_id || '&page=2&pageSize=20'
+@query("X2", f"""with {I.URLS} select page_id, v, case v when 1 then 'https:' || split_part(split_part(url, '?', 1), ':', 2) else split_part(split_part(url, '#', 1), '?', 1) end as url, case v
+ when 0 then {S.query('url')} when 1 then 'utm_source=x&resource_id=7&b=2&a=1' when 2 then 'jobId=' || page_id || '&page=2&pageSize=20'
  when 4 then 'token=[REDACTED]' when 5 then 'offset=20&limit=10' when 6 then 'category=' || page_id
  when 7 then 'keyword=java&current=3' when 9 then 'location=Paris' when 10 then 'page=1&page=7&size=x&per_page=50'
- else '' end as query from urls where v between 2 and 10""")
+ else '' end as query from urls""")
 def safe_urls(t):
     """Addresses without their query, and the query with secrets redacted."""
-    df = I.urls(t).filter("v between 2 and 10").withColumn("s", X.safe_url("url"))
+    df = I.urls(t).withColumn("s", X.safe_url("url"))
     return df.select("page_id", "v", "s.url", "s.query")
 
 
-@query("T9", f"""with {I.URLS}, p as (select page_id, v, {S.host('url')} as h from urls where v in (0, 5, 6, 7, 8, 10)),
+@query("T9", f"""with {I.URLS}, p as (select page_id, v, {S.host('url')} as h from urls),
  q as (select page_id, v, h, split_part(h, '.', -2) as root, split_part(h, '.', 1) as first from p)
 select page_id, v, case v when 5 then 'Xg' || page_id when 7 then 'Brand' || page_id when 8 then 'Byd' || page_id
  when 6 then case when length(first) < 2 or first in ({S.names(V.INFRA_LABELS)}) then null
    else upper(first[1]) || first[2:] end
  when 0 then null when 10 then case when split_part(h, '.', 2) in ({S.names(V.INFRA_LABELS)}) or length(split_part(h, '.', 2)) < 2
    then null else upper(split_part(h, '.', 2)[1]) || split_part(h, '.', 2)[2:] end end as company
- from q where v <> 0 or root = 'example'""")
+ from q""")
 def site_company(t):
     """Company label a site address gives away; reserved example hosts give none."""
-    df = I.urls(t).filter("v in (0, 5, 6, 7, 8, 10)")
-    return df.filter((F.col("v") != 0) | (F.element_at(F.split(U.host("url"), r"\."), -2) == "example")).select(
-        "page_id", "v", C.infer_site_company("url").alias("company"))
+    return I.urls(t).select("page_id", "v", C.infer_site_company("url").alias("company"))
 
 
 @query("T10", f"""with {I.URLS}, p as (select page_id, v, {S.host('url')} as h from urls)
@@ -164,30 +162,30 @@ def brand_tokens(t):
 
 
 @query("T14 T11 T13", f"""with {I.URLS}, k as (select page_id, v, url, {S.scheme('url')} || '://' || lower({S.netloc('url')}) ||
-  regexp_replace({S.path('url')}, '/+$', '') as bare, {_KEPT.format(q=S.query('url'))} as k from urls where v in (0, 1, 2, 3, 4))
+  regexp_replace({S.path('url')}, '/+$', '') as bare, {_KEPT.format(q=S.query('url'))} as k from urls)
 select page_id, v, case v when 1 then 'CANONICAL_URL_ID' when 2 then 'STRUCTURED_DETAIL_ID' when 3 then 'CANONICAL_URL_ID'
  else 'COMPOSITE_FINGERPRINT' end as identity_source,
  case v when 1 then page_id || 'a-1' when 2 then page_id::varchar when 3 then page_id || '00001'
+ when 11 then sha256(concat_ws(chr(31), url, 't' || page_id, '', '', ''))[1:24]
  else sha256(concat_ws(chr(31), bare || case when k <> '' then '?' || k else '' end, 't' || page_id, '', '', ''))[1:24] end
- as identity_value from k where v <> 0 or not regexp_matches(url, '#[^#]*[0-9]')""")
+ as identity_value from k""")
 def url_identity(t):
     """Stable identity of records known only by address and title."""
     from ..operators.identity import job_identity
 
-    df = I.urls(t).filter("v in (0, 1, 2, 3, 4)").filter("v <> 0 or not url rlike '#[^#]*[0-9]'").withColumn(
-        "title", F.concat(F.lit("t"), F.col("page_id")))
+    df = I.urls(t).withColumn("title", F.concat(F.lit("t"), F.col("page_id")))
     return job_identity(df, url="url", title="title").select("page_id", "v", "identity_source", "identity_value")
 
 
 @query("P20", f"""with {I.URLS} select page_id, v,
  case v when 5 then 'org' || page_id end as org_id, case v when 5 then page_id::bigint end as site_id,
  case v when 5 then 'campus' end as mode, case v when 10 then 'social' end as business_type,
- case v when 10 then '1' end as category from urls where v in (5, 6, 10)""")
+ case v when 10 then '1' end as category from urls""")
 def page_scopes(t):
     """Tenant scope a platform address states: organisation, site, mode or business type."""
     from ..operators.providers import address_scope
 
-    return address_scope(I.urls(t).filter("v in (5, 6, 10)"), "url").select(
+    return address_scope(I.urls(t), "url").select(
         "page_id", "v", "org_id", "site_id", "mode", "business_type", "category")
 
 
@@ -220,14 +218,14 @@ def scope_labels(t):
 
 @query("F21 F15", f"""with {I.URLS}, b as (select page_id, {S.host('url')} as source from urls where v = 0),
  p as (select u.page_id, u.v, b.source, {S.scheme('u.url')} as s, {S.host('u.url')} as h, u.v % 5 as hops
-  from urls u join b using (page_id) where u.v <> 11)
+  from urls u join b using (page_id))
 select page_id, v, (s in ('http', 'https') and (h = source or ends_with(h, '.mokahr.com'))) as trusted_url,
  (source <> '' and h <> '' and hops <= 3 and h = source) as trusted_navigation from p""")
 def url_trust(t):
     """Addresses allowed as detail sources, and navigations that stayed where they were sent."""
     from ..operators.filters import navigation_trust, trusted_detail_url
 
-    df = I.urls(t).filter("v <> 11").join(t.pages.select("page_id", U.host("url").alias("source")), "page_id")
+    df = I.urls(t).join(t.pages.select("page_id", U.host("url").alias("source")), "page_id")
     df = df.withColumn("h", U.host("url"))
     return df.select(
         "page_id", "v", trusted_detail_url("url", "source", hosts=[], observed=F.col("h").endswith(".mokahr.com")).alias("trusted_url"),

@@ -115,10 +115,10 @@ def embedded_sources(t):
 @query("T21", f"""with {I.URLS}, i as (select page_id, v, case when {S.any_of('lower(url)', V.SOURCE_INTENT[0][1])} then 'CAMPUS' when {S.any_of('lower(url)', V.SOURCE_INTENT[1][1])} then 'SOCIAL' when {S.any_of('lower(url)', V.SOURCE_INTENT[2][1])} then 'INTERN' else 'UNKNOWN' end as intent,
  case v % 3 when 0 then 'ALL_JOBS' when 1 then 'CAMPUS' else 'SOCIAL' end as scope, url from urls), b as (select page_id, url as base from pages)
 select i.page_id, v, intent, (case when intent = 'UNKNOWN' then case when scope = 'ALL_JOBS' then 3 else 0 end when scope = intent then 12 when scope = 'ALL_JOBS' then 6 else -20 end)::integer as compatibility,
- contains(replace({S.host('url')} || {S.path('url')}, '-', ''), split_part({S.host('base')}, '.', -2)) as continuous from i join b on i.page_id = b.page_id where v <> 11""")
+ contains(replace({S.host('url')} || {S.path('url')}, '-', ''), split_part({S.host('base')}, '.', -2)) as continuous from i join b on i.page_id = b.page_id""")
 def source_intents(t):
     """Intent of a source, how a scope fits it, and whether the company carries over."""
-    df = I.urls(t).filter("v <> 11").join(t.pages.select("page_id", F.col("url").alias("base")), "page_id").withColumn("intent", K.source_intent("url"))
+    df = I.urls(t).join(t.pages.select("page_id", F.col("url").alias("base")), "page_id").withColumn("intent", K.source_intent("url"))
     scope = F.expr("case v % 3 when 0 then 'ALL_JOBS' when 1 then 'CAMPUS' else 'SOCIAL' end")
     return df.select("page_id", "v", "intent", K.scope_compatibility("intent", scope).alias("compatibility"),
                      K.company_continuity("base", "url", F.lit(None).cast("string")).alias("continuous"))

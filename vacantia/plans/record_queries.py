@@ -45,20 +45,20 @@ def inferred_fields(t):
 @query("P4", f"""with {I.POSTINGS} select doc_id, case lang when 'en' then 'jobName' when 'fr' then 'postName' when 'de' then 'title' else 'name' end as title_path,
  case when lang = 'es' and title = '' then title else title end as title,
  case lang when 'en' then null when 'fr' then 'workPlace' when 'de' then null when 'es' then 'city' end as location_path
- from postings where title <> ''""")
+ from postings""")
 def deep_picks(t):
     """Role fields wherever they are nested, nearest level first."""
-    df = I.records(t).filter("title <> ''").withColumn("p", R.deep_pick("v", "title")).withColumn("l", R.deep_pick("v", "location"))
+    df = I.records(t).withColumn("p", R.deep_pick("v", "title")).withColumn("l", R.deep_pick("v", "location"))
     return df.select("doc_id", F.col("p.path").alias("title_path"), F.col("p.value").alias("title"),
                      F.col("l.path").alias("location_path"))
 
 
-@query("P4", f"""with {I.POSTINGS} select doc_id, 'data.inner.positionName' as path, title as value from postings where title <> ''""")
+@query("P4", f"""with {I.POSTINGS} select doc_id, 'data.inner.positionName' as path, title as value from postings""")
 def deep_pick_nested(t):
     """A title two levels down is found when no nearer level has one."""
     body = F.to_json(F.struct(F.struct(F.struct(F.col("title").alias("positionName"), F.col("lang").alias("tag")).alias("inner"),
                                        F.col("doc_id").alias("n")).alias("data"), F.col("source").alias("kind")))
-    df = I.postings(t).filter("title <> ''").withColumn("p", R.deep_pick(R.parse(body), "title"))
+    df = I.postings(t).withColumn("p", R.deep_pick(R.parse(body), "title"))
     return df.select("doc_id", "p.path", "p.value")
 
 
@@ -98,12 +98,12 @@ def path_rows(t):
     return flatten_rows(I.records(t).select("doc_id", "v"), "v", depth=6).filter(F.col("path").contains(".")).select("doc_id", "path")
 
 
-@query("P7", """select doc_id, case lang when 'en' then doc_id::varchar when 'fr' then 'P' || doc_id when 'de' then doc_id::varchar end as id,
- case lang when 'en' then null when 'fr' then lang when 'de' then 'n' when 'es' then null end as nested_name,
- case lang when 'fr' then source end as place from documents where lang <> 'es'""")
+@query("P7", f"""with {I.POSTINGS} select doc_id, case lang when 'en' then doc_id::varchar when 'fr' then 'P' || doc_id when 'de' then doc_id::varchar end as id,
+ case lang when 'en' then null when 'fr' then lang when 'de' then 'n' when 'es' then title end as nested_name,
+ case lang when 'fr' then source when 'es' then '{{"label":"' || lang || '"}}' end as place from postings""")
 def resolved_fields(t):
-    """Dotted path, then flat key, then one nested level."""
-    df = I.records(t).filter("lang <> 'es'")
+    """Dotted path, then flat key, then one nested level; an object that a path ends at stays as its text."""
+    df = I.records(t)
     return df.select("doc_id", R.resolve("v", ["jobId", "postId", "id"]).alias("id"), R.resolve("v", ["name"]).alias("nested_name"),
                      R.resolve("v", ["location.city", "city"]).alias("place"))
 
@@ -271,34 +271,33 @@ def safe_records(t):
  case lang when 'en' then case when {S.credible_body('body')} then 'FULL_TEXT' else 'SUMMARY' end
   when 'fr' then case when length({S.strip('text')}) + length({S.strip('title')}) < 40 then 'SUMMARY' else 'SPLIT' end
   when 'de' then 'SPLIT' else case when {S.credible_body('title')} then 'FULL_TEXT' else 'SUMMARY' end end as state
- from postings where {S.strip('title')} <> ''""")
+ from postings""")
 def recognised_jd(t):
     """Job-description fields of a record and what they amount to."""
-    df = I.records(t).filter(T.strip("title") != "").withColumn("jd", J.pick_jd("rec"))
+    df = I.records(t).withColumn("jd", J.pick_jd("rec"))
     return df.select("doc_id", *[f"jd.{n}" for n in ("description_field", "responsibilities_field", "requirements_field", "state")])
 
 
 _FLAT = lambda x: f"lower({S.no_space(x)})"
 
 
-@query("J2", f"""with {I.POSTINGS} select doc_id, sha256(case lang when 'en' then {S.strip('body')}
- when 'es' then {S.strip('title')}
+@query("J2", f"""with {I.POSTINGS} select doc_id, sha256(case when lang = 'fr' and length({S.strip('text')}) + length({S.strip('title')}) < 40 then null when lang = 'en' then {S.strip('body')}
+ when lang = 'es' then {S.strip('title')}
  else '岗位职责' || chr(10) || {S.strip('text')} || chr(10) || chr(10) || '任职要求' || chr(10) || {S.strip('title')} end) as jd_hash
- from postings where {S.strip('title')} <> '' and not (lang = 'fr' and length({S.strip('text')}) + length({S.strip('title')}) < 40)""")
+ from postings""")
 def canonical_jds(t):
     """The whole posting text of a record, no source text lost or doubled."""
-    df = I.records(t).filter(T.strip("title") != "").withColumn("jd", J.pick_jd("rec"))
-    df = df.filter(~((F.col("lang") == "fr") & (F.length(T.strip("text")) + F.length(T.strip("title")) < 40)))
+    df = I.records(t).withColumn("jd", J.pick_jd("rec"))
     return df.select("doc_id", F.sha2(J.canonical_jd("jd"), 256).alias("jd_hash"))
 
 
 @query("F4", f"""with {I.POSTINGS} select doc_id, case when coalesce(l.quality, 0) = 1 and l.toxic = 1 then true
  when l.doc_id is null then case lang when 'en' then not {S.credible_body('body')} when 'es' then not {S.credible_body('title')}
   when 'fr' then length({S.strip('text')}) + length({S.strip('title')}) < 40 else false end
- else false end as needs_detail from postings p left join labels l using (doc_id) where {S.strip('title')} <> ''""")
+ else false end as needs_detail from postings p left join labels l using (doc_id)""")
 def detail_needs(t):
     """Which records still need their detail, by plan mode and by what the list gave."""
-    df = I.records(t).filter(T.strip("title") != "").join(t.labels, "doc_id", "left").withColumn("jd", J.pick_jd("rec"))
+    df = I.records(t).join(t.labels, "doc_id", "left").withColumn("jd", J.pick_jd("rec"))
     mode = F.when(F.col("toxic").isNull(), "DETAIL_FALLBACK").when((F.col("quality") == 1) & (F.col("toxic") == 1), "DETAIL_REQUIRED").otherwise("LIST_SUFFICIENT")
     return df.select("doc_id", J.needs_detail("jd", mode).alias("needs_detail"))
 

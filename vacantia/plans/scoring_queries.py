@@ -34,10 +34,10 @@ def list_scores(t):
 
 
 @query("G15", f"""with {I.EXCHANGES}, {_SCORED} select entry_index, (case lang when 'en' then 9 when 'fr' then 2 + 2 when 'de' then 3 + 3 + case when n <= 1 then 1 else 0 end else 8 end
- + case when n >= 5 then 1 else 0 end)::integer as facts, lang = 'en' as has_total_text from judged where lang <> 'de' or n > 1""")
+ + case when n >= 5 then 1 else 0 end)::integer as facts, lang = 'en' as has_total_text from judged""")
 def list_evidence(t):
     """The evidence behind each score, in fixed order."""
-    df = D.score_exchanges(I.exchanges(t), "url", "payload").filter("lang <> 'de' or list_length > 1")
+    df = D.score_exchanges(I.exchanges(t), "url", "payload")
     return df.select("entry_index", F.size("evidence").alias("facts"), F.array_contains("evidence", "response has total field: result.total").alias("has_total_text"))
 
 
@@ -153,10 +153,10 @@ def provider_fingerprints(t):
 @query("G27", f"""with {I.URLS} select page_id, v, case v when 2 then 'PAGE' when 5 then 'OFFSET' when 10 then 'PAGE' end as kind,
  case v when 2 then 'page' when 5 then 'offset' when 10 then 'page' end as page_param, case v when 2 then 'pageSize' when 5 then 'limit' when 10 then 'per_page' end as size_param,
  case v when 10 then 1 end::bigint as first_page, case v when 2 then 20 when 5 then 10 when 10 then 50 end::bigint as page_size,
- case when v in (2, 5, 10) then case when v = 5 then 0.94 else 0.8 end else 0.0 end::double as confidence from urls where v <> 0""")
+ case when v in (2, 5, 10) then case when v = 5 then 0.94 else 0.8 end else 0.0 end::double as confidence from urls""")
 def inferred_pagination(t):
     """Pagination model of a request from its own field names."""
-    df = I.urls(t).filter("v <> 0").withColumn("p", D.infer_pagination(U.pairs(U.query("url")), F.when(F.col("v") == 5, F.lit(100))))
+    df = I.urls(t).withColumn("p", D.infer_pagination(U.pairs(U.query("url")), F.when(F.col("v") == 5, F.lit(100))))
     return df.select("page_id", "v", "p.*")
 
 
