@@ -17,7 +17,7 @@ from .tokens import SPACE, Encoder, tokenizer
 # characters of the texts of a block, which share one word list, and words of the texts packed in one row
 BLOCK, ROW = 16 << 20, 200_000
 # compression of what is stored and shuffled: time for disk
-LEVEL = 15
+LEVEL = 9
 ROWS = "block long, bucket int, keys array<{kind}>, blob binary"
 
 
@@ -102,43 +102,45 @@ def spelled(ids: list[bytes], pieces: pa.Table) -> list[bytes]:
 
 def _encoded(path: str):
     def run(batches):
-        """Word lists of the blocks to lists of ids and of decoded words; a word stands in one bucket, so it is encoded and decoded once."""
-        encoder, now, decoded = Encoder(path, keep_space=False), None, {}
-        vocabulary = encoder.tokenizer.get_vocab(with_added_tokens=True)
-        pieces = pa.table({"id": pa.array(vocabulary.values(), pa.int64()), "piece": pa.array([p.encode() for p in vocabulary], pa.binary())})
+        """Word lists of the blocks to lists of ids; a word stands in one bucket, so it is encoded once."""
+        encoder, now = Encoder(path, keep_space=False), None
         for batch in batches:
             out = []
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
                 if bucket != now:
                     now = bucket
                     encoder.memo.clear()
-                    decoded.clear()
                     if encoder.words:
                         encoder.words.clear()
                 (ranks, lengths), raw = unpacked(blob.as_py())
                 own = [w.decode() for w in _parts(raw, lengths)]
                 encoder.learn(own, keep=True)
                 ids = [encoder.memo[w] for w in own]
-                new = [w for w in own if w not in decoded]
-                decoded.update(zip(new, spelled([encoder.memo[w] for w in new], pieces)))
-                texts = [decoded[w] for w in own]
-                numbers = [ranks, np.array([*map(len, ids)]), np.frombuffer(b"".join(ids), np.uint32), np.array([*map(len, texts)])]
-                out.append(packed(numbers, b"".join(texts), LEVEL))
+                out.append(packed([ranks, np.array([*map(len, ids)]), np.frombuffer(b"".join(ids), np.uint32)], level=LEVEL))
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "blob"])
 
     return run
 
 
-def _joined(name: str):
+def vocabulary(path: str) -> pa.Table:
+    """The pieces of a tokenizer file: id, piece."""
+    known = tokenizer(path).get_vocab(with_added_tokens=True)
+    return pa.table({"id": pa.array(known.values(), pa.int64()), "piece": pa.array([p.encode() for p in known], pa.binary())})
+
+
+def _joined(path: str, name: str):
+    held = []
+
     def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        """Texts of a block with ids and decoded text, joined by the position of their words in the block's lists."""
-        ids, decoded = {}, {}
+        """Texts of a block with ids and decoded text: the block's distinct words meet their pieces, texts their words by position."""
+        if not held:
+            held.append(vocabulary(path))
+        found = {}
         for blob in lists["blob"]:
-            (ranks, lengths, flat, sizes), raw = unpacked(blob.as_py())
-            at = np.cumsum(ranks, dtype=np.int64).tolist()
-            ids.update(zip(at, _parts(flat.tobytes(), lengths)))
-            decoded.update(zip(at, _parts(raw, sizes)))
-        ids, decoded = ([d[i] for i in range(len(d))] for d in (ids, decoded))
+            (ranks, lengths, flat), _ = unpacked(blob.as_py())
+            found.update(zip(np.cumsum(ranks, dtype=np.int64).tolist(), _parts(flat.tobytes(), lengths)))
+        ids = [found[i] for i in range(len(found))]
+        decoded = spelled(ids, held[0])
         keys, encoded, plain = [], [], []
         for row in range(len(texts)):
             (sizes, numbers), _ = unpacked(texts["blob"][row].as_py())
@@ -148,7 +150,8 @@ def _joined(name: str):
                 own = codes[s:e]
                 encoded.append(b"".join([ids[c] for c in own]))
                 plain.append(b" ".join([decoded[c] for c in own if decoded[c]]))
-        return pa.table([pa.array(keys, texts["keys"].type.value_type), pa.array(encoded, pa.binary()), pa.array(plain, pa.binary()).cast(pa.string())], [name, "ids", "decoded"])
+        return pa.table([pa.array(keys, texts["keys"].type.value_type), pa.array(encoded, pa.binary()), pa.array(plain, pa.binary()).cast(pa.string())],
+                        [name, "ids", "decoded"])
 
     return run
 
@@ -159,9 +162,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     For vocabularies that only take white space as the end of a word and decode by joining pieces with blanks.  Texts
     are split into words by Spark and numbered in blocks of bounded size.  A block is stored, by its number in the
     buckets of a table, as the numbers of its texts and its distinct words; the words come together by a hash, so a task
-    encodes each distinct word of the whole table once, and decodes it by a join of its ids with the pieces.  The lists
-    return to their block, whose texts stay where they are stored, and in the order of the words, so that a text's
-    numbers are the positions to join them by.  A frequent word costs one entry a block, whatever its count.  Repeated
+    encodes each distinct word of the whole table once.  The lists of ids return to their block, whose texts stay where
+    they are stored, and in the order of the words, so that a text's numbers are the positions to join them by; a block
+    decodes its distinct words by a join of their ids with the pieces.  A frequent word costs one entry a block, whatever its count.  Repeated
     rows and null ids stay as they are; other columns are not returned; an empty table gives an empty one."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -176,4 +179,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     lists = own.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(path), "block long, blob binary")
     texts = blocks.filter(F.col("bucket") == buckets).select("block", "keys", "blob")
     both = texts.groupBy("block").cogroup(lists.groupBy("block"))
-    return both.applyInArrow(_joined(id_col), f"`{id_col}` {kind}, ids binary, decoded string")
+    return both.applyInArrow(_joined(path, id_col), f"`{id_col}` {kind}, ids binary, decoded string")
