@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as V
-from ..functions import records as R, urls as U
-from ..functions.text import c, lines, plain, strip
+from ..functions import markup as M, records as R, urls as U
+from ..functions.text import c, lines, plain, strip, unescape
 from .grouping import fence
 
 
@@ -144,32 +144,45 @@ def _first(html, pattern) -> Column:
 
 
 def cms_list(df: DataFrame, html: str) -> DataFrame:
-    """Server-rendered list: one row per posting link, with the page's stated total."""
-    total = F.regexp_extract(plain(html), r"共\s*(\d+)\s*条记录", 1).try_cast("bigint")
-    anchors = F.regexp_extract_all(c(html), F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))
-    wanted = F.filter(anchors, lambda a: a.rlike(r"""(?is)\bhref\s*=\s*["']/zpdetail/\d+(\?[^#"']*)?["']"""))
-    rows = F.transform(wanted, lambda a: F.struct(
-        F.regexp_extract(a, r"/zpdetail/(\d+)", 1).alias("position_id"),
-        plain(F.coalesce(F.nullif(F.regexp_extract(a, r"""(?is)^<a\b[^>]*\btitle\s*=\s*["']([^"']*)["']""", 1), F.lit("")),
-                         F.regexp_extract(a, r"(?is)^<a\b[^>]*>(.*)</a>$", 1))).alias("title")))
-    out = df.withColumn("total", total).select("*", F.posexplode_outer(rows).alias("pos", "_r"))
-    return out.withColumns({"position_id": F.col("_r.position_id"), "title": F.col("_r.title")}).drop("_r")
+    """Server-rendered list of either template: one row per posting link (pos, position_id, title), with the page's stated
+    ``total`` (first template) or count of ``pages`` (second), and ``error`` where the page is no usable list.
+
+    A page without a link keeps one row; a link without a title is none."""
+    page = c(html)
+    second = F.lit(True)
+    for mark in V.CMS_SECOND_MARKS:
+        second = second & page.contains(mark)
+    total = F.regexp_extract(plain(page), V.CMS_TOTAL, 1).try_cast("bigint")
+    pages = F.array_max(F.transform(F.regexp_extract_all(page, F.lit(V.CMS_SECOND_PAGE), F.lit(1)), lambda x: x.try_cast("bigint")))
+
+    def posting(a):
+        href = unescape(M.attribute(a, "href"))
+        found = F.when(second, F.regexp_extract(href, V.CMS_SECOND_LINK, 1)).otherwise(F.regexp_extract(href, V.CMS_LINK, 1))
+        heading = F.regexp_extract(M.anchor_body(a), r"(?is)^\s*<h3>(.*?)</h3>", 1)
+        shown = F.when(second, heading).otherwise(F.coalesce(F.nullif(M.attribute(a, "title"), F.lit("")), M.anchor_body(a)))
+        return F.struct(F.nullif(found, F.lit("")).alias("position_id"), plain(shown).alias("title"))
+
+    rows = F.filter(F.transform(M.anchors(page), posting), lambda r: r["position_id"].isNotNull() & (r["title"] != ""))
+    out = df.withColumns({"_second": F.coalesce(second, F.lit(False)), "_rows": rows})
+    out = out.withColumns({"total": F.when(~F.col("_second"), total), "pages": F.when(F.col("_second"), pages)})
+    none = F.coalesce(F.size("_rows"), F.lit(0)) <= 0
+    error = (F.when(F.col("_second") & F.col("pages").isNull(), V.CMS_ERRORS["second_pages"]).when(F.col("_second") & none, V.CMS_ERRORS["second_links"])
+             .when(~F.col("_second") & F.col("total").isNull(), V.CMS_ERRORS["total"]).when(none & (F.col("total") > 0), V.CMS_ERRORS["links"]))
+    out = out.withColumn("error", error)
+    out = out.select("*", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("_rows"))).alias("pos", "_r"))
+    return out.withColumns({"position_id": F.col("_r.position_id"), "title": F.col("_r.title")}).drop("_r", "_rows", "_second")
 
 
 def cms_detail(df: DataFrame, html: str) -> DataFrame:
-    """Server-rendered detail in either template."""
-    own = lambda a, b: F.coalesce(_first(html, a), _first(html, b))
-    tagged = _first(html, r"""<div\s+class=["']sx["'][^>]*>(.*?)</div>""")
+    """Server-rendered detail in either template, with the path of its application form."""
+    own = lambda name: F.coalesce(*[_first(html, p) for p in V.CMS_DETAIL[name]])
+    tagged = _first(html, V.CMS_TAGS)
     last = F.element_at(F.filter(F.transform(F.split(tagged, r"\|"), strip), lambda x: x != ""), -1)
+    apply_ = F.filter(F.transform(M.heads(html, "a"), lambda a: M.attribute(a, V.CMS_APPLY_ATTRIBUTE)), lambda x: x != "")
     return df.withColumns({
-        "job_title": own(r"""<h1[^>]*id=["']detial_title["'][^>]*>(.*?)</h1>""", r"""<div\s+class=["']title["'][^>]*>.*?<h3>(.*?)</h3>"""),
-        "location": F.coalesce(_first(html, r"工作地点：?</label>\s*<div[^>]*>(.*?)</div>"), last),
-        "department": _first(html, r"需求部门：?</label>\s*<div[^>]*>(.*?)</div>"),
-        "responsibilities": own(r"工作职责：?</h3>\s*<pre[^>]*>(.*?)</pre>", r"<h4>\s*工作职责[:：]\s*</h4>\s*<p[^>]*>(.*?)</p>"),
-        "requirements": own(r"任职资格：?</h3>\s*<pre[^>]*>(.*?)</pre>", r"<h4>\s*任职要求[:：]\s*</h4>\s*<p[^>]*>(.*?)</p>"),
-        "headcount": _first(html, r"招聘人数：\s*(.*?)</div>").try_cast("int"),
-        "publish_date": own(r"发布时间：\s*(.*?)</div>", r"""<div\s+class=["']time["'][^>]*>\s*发布时间[:：]\s*(.*?)</div>"""),
-        "deadline": _first(html, r"截止时间：\s*(.*?)</div>"),
+        **{n: own(n) for n in ("job_title", "department", "responsibilities", "requirements", "publish_date", "deadline")},
+        "location": F.coalesce(own("location"), last), "headcount": own("headcount").try_cast("int"),
+        "apply_path": plain(F.get(apply_, F.lit(0))),
     })
 
 
@@ -184,7 +197,3 @@ def cms_detail_json(df: DataFrame, payload: str) -> DataFrame:
     return df.withColumn("error", F.when(F.coalesce(code != 200, F.lit(True)), "DETAIL_API_INVALID_RESPONSE")
                          .when(R.as_record(F.try_variant_get(c(payload), "$.Data", "variant")).isNull(), "DETAIL_API_DATA_MISSING")
                          .when(bad, "DETAIL_API_JD_INCOMPLETE"))
-
-
-# provider -> record mapper; callers may add their own
-MAPPERS = {"moka": map_moka, "feishu": map_feishu, "zhiye": map_zhiye}

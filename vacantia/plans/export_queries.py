@@ -159,23 +159,46 @@ def alias_jobs(t):
     return out.select("o_orderkey", "job_id", "job_title", "recruitment_type", "full_jd", "detail_url", "publish_date", "company", F.array_join("locations", "|").alias("locations"))
 
 
-@query("P18", """select page_id, i::integer as pos, 42::bigint as total, page_id || '0' || i as position_id, case i when 0 then 'A & B ' || page_id else 'Body' end as title from pages, unnest([0, 1]) as u(i)""")
+@query("P18", """select page_id, i::integer as pos, case when page_id % 4 = 0 then 42 end::bigint as total, case when page_id % 4 = 1 then 7 end::bigint as pages, page_id || '0' || i as position_id, case when page_id % 4 = 1 then 'Lead ' || page_id || i when i = 0 then 'A & B ' || page_id else 'Body' end as title, null::varchar as error
+from pages, unnest([0, 1]) as u(i) where page_id % 4 in (0, 1) union all
+select page_id, null, case when page_id % 8 = 2 then 5 end, case when page_id % 8 = 7 then 2 end, null, null, case when page_id % 8 = 2 then 'LIST_JOB_LINKS_MISSING' when page_id % 8 = 6 then 'LIST_TOTAL_MISSING' when page_id % 8 = 3 then 'KUNLUNXIN_PAGE_COUNT_MISSING' else 'KUNLUNXIN_JOB_LINKS_MISSING' end from pages where page_id % 4 in (2, 3)""")
 def cms_lists(t):
-    """Server-rendered lists: posting links and the stated total."""
-    html = F.concat(F.lit("<p>共 42 条记录</p><a title=\"A &amp; B "), "page_id", F.lit('" href="/zpdetail/'), "page_id", F.lit('00">x</a><a href="/other/1">n</a><a href=\'/zpdetail/'), "page_id", F.lit("01?k=1'><b>Body</b></a>"), "html")
-    return PR.cms_list(t.pages.select("page_id", html.alias("html")), "html").select("page_id", "pos", "total", "position_id", "title")
+    """Server-rendered lists of both templates: posting links, stated total or pages, and why a page is no list."""
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    k = F.col("page_id").cast("string")
+    first = text("<p>共 42 条记录</p><a title=\"A &amp; B ", k, "\" href=\"/zpdetail/", k, "00\">x</a><a href=\"/other/1\">n</a><a href='/zpdetail/", k, "01?k=1'><b>Body</b></a>")
+    second = text("<script>var jobList=1</script><a href='/Campuslist?PageIndex=3'>3</a><a href='/Campuslist?a=1&PageIndex=7'>7</a><a href=\"/xiangqing?jobId=", k, "00\" class=x> <h3>Lead ", k,
+                  "0</h3></a><a href='/xiangqing?jobId=", k, "01'><h3>Lead ", k, "1</h3></a><a href='/xiangqing?jobId=9'>no heading</a>")
+    html = (F.when(F.col("page_id") % 4 == 0, first).when(F.col("page_id") % 4 == 1, second).when(F.col("page_id") % 8 == 2, F.lit("共5条记录<a href=/zpdetail/x>x</a>"))
+            .when(F.col("page_id") % 8 == 6, F.lit("<a href=/zpdetail/1>x</a>")).when(F.col("page_id") % 8 == 3, F.lit("jobList <a href='/Campuslist'>x</a>"))
+            .otherwise(F.lit("jobList <a href='/Campuslist?PageIndex=2'>x</a>")))
+    return PR.cms_list(t.pages.select("page_id", F.concat(html, "html").alias("html")), "html").select("page_id", "pos", "total", "pages", "position_id", "title", "error")
 
 
 @query("P18", """select page_id, case when page_id % 2 = 0 then 'Role ' || page_id else 'Other ' || page_id end as job_title, case when page_id % 2 = 0 then 'Paris' else 'Lyon' end as location, case when page_id % 2 = 0 then 'do it' else 'act' end as responsibilities, case when page_id % 2 = 0 then 'know it' else 'learn' end as requirements,
- case when page_id % 2 = 0 then 3 end::integer as headcount, case when page_id % 2 = 0 then '2024-01-01' else '2024-02-02' end as publish_date, case when page_id % 2 = 0 then null else 'DETAIL_API_JD_INCOMPLETE' end as api_error from pages""")
+ case when page_id % 2 = 0 then 3 end::integer as headcount, case when page_id % 2 = 0 then '2024-01-01' else '2024-02-02' end as publish_date, case when page_id % 2 = 0 then null else 'DETAIL_API_JD_INCOMPLETE' end as api_error, case when page_id % 2 = 0 then '/apply/' || page_id || '?a=1&b=2' end as apply_path from pages""")
 def cms_details(t):
     """Server-rendered details in both templates, and the JSON variant's failures."""
-    one = F.concat(F.lit('<h1 class="a" id="detial_title">Role '), "page_id", F.lit("</h1><label>工作地点：</label> <div>Paris</div><h3>工作职责：</h3><pre>do it</pre><h3>任职资格</h3><pre>know it</pre><div>招聘人数： 3</div><div>发布时间： 2024-01-01</div>"))
+    one = F.concat(F.lit('<h1 class="a" id="detial_title">Role '), "page_id", F.lit("</h1><label>工作地点：</label> <div>Paris</div><h3>工作职责：</h3><pre>do it</pre><h3>任职资格</h3><pre>know it</pre><div>招聘人数： 3</div><div>发布时间： 2024-01-01</div><a class=b nexturl='/apply/"), "page_id", F.lit("?a=1&amp;b=2'>go</a>"))
     two = F.concat(F.lit('<div class="title"><i></i><h3>Other '), "page_id", F.lit("</h3></div><div class='sx'>a | Lyon |</div><h4>工作职责：</h4><p>act</p><h4>任职要求:</h4><p>learn</p><div class=\"time\">发布时间： 2024-02-02</div>"))
     df = t.pages.select("page_id", F.when(F.col("page_id") % 2 == 0, one).otherwise(two).alias("h"))
     out = PR.cms_detail(df, "h").withColumn("p", R.parse(F.when(F.col("page_id") % 2 == 0, F.lit('{"Code":200,"Data":{"JobAdName":"x","DutyStr":"d"}}')).otherwise(F.lit('{"Code":200,"Data":{"JobAdName":"x"}}'))))
     api = PR.cms_detail_json(out.select("page_id", "p"), "p").select("page_id", F.col("error").alias("api_error"))
-    return out.select("page_id", "job_title", "location", "responsibilities", "requirements", "headcount", "publish_date").join(api, "page_id")
+    return out.select("page_id", "job_title", "location", "responsibilities", "requirements", "headcount", "publish_date", "apply_path").join(api, "page_id")
+
+
+@query("P19 G22", f"""with {I.URLS}, s as (select page_id, v, case page_id % 5 when 0 then 'MOKA' when 1 then 'feishu' when 2 then 'elsewhere' end as provider, case when page_id % 2 = 0 then 'HIGH' else 'MEDIUM' end as confidence from urls),
+ k as (select *, case v when 5 then 'moka' when 6 then 'feishu' when 10 then case when page_id % 3 = 0 then 'beisen_cms' else 'zhiye' end end as known from s)
+select page_id, v, known, case when confidence = 'HIGH' and provider in ('MOKA', 'feishu') then lower(provider) else coalesce(known, 'generic') end as route from k""")
+def routed_sources(t):
+    """The adapter of every source: by recognised provider, by its page, by its host, or the fallback."""
+    from ..operators.adapters import standard
+
+    html = F.when(F.col("page_id") % 3 == 0, F.lit("<script src='//stc-cms.beisen.com/CmsPortal/a.js'>")).when(F.col("page_id") % 3 == 1, F.lit("<p>"))
+    provider = F.expr("case page_id % 5 when 0 then 'MOKA' when 1 then 'feishu' when 2 then 'elsewhere' end")
+    df = I.urls(t).withColumns({"html": html, "provider": provider, "confidence": F.expr("case when page_id % 2 = 0 then 'HIGH' else 'MEDIUM' end")})
+    known = standard()
+    return df.select("page_id", "v", known.known("url", "html").alias("known"), known.route("url", "html", "provider", "confidence").alias("route"))
 
 
 @query("P20", """select page_id, 'iv' || page_id as aes_iv, 'T' || page_id as tenant_name, (1 + page_id % 3)::integer as process_type, case page_id % 3 when 0 then 'social' when 1 then 'campus' end as recruitment_type from pages""")

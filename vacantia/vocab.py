@@ -425,3 +425,32 @@ ENTITIES = {name: chr(160 + i) for i, name in enumerate(LATIN_ENTITIES)} | {
     "rdquo": "\u201d", "bdquo": "\u201e", "bull": "\u2022", "hellip": "\u2026", "permil": "\u2030", "lsaquo": "\u2039", "rsaquo": "\u203a",
     "euro": "\u20ac", "trade": "\u2122", "larr": "\u2190", "rarr": "\u2192", "minus": "\u2212", "oelig": "\u0153", "OElig": "\u0152",
 }
+
+# The two server-rendered templates of the CMS provider (paths, labels, error codes)
+CMS_TOTAL = r"共\s*(\d+)\s*条记录"
+CMS_LINK = r"^/zpdetail/(\d+)(?:\?[^#]*)?$"
+CMS_SECOND_MARKS = ["/Campuslist", "jobList"]
+CMS_SECOND_LINK = r"^/xiangqing\?jobId=(\d+)"
+CMS_SECOND_PAGE = r"(?i)[?&]PageIndex=(\d+)"
+CMS_ERRORS = {"total": "LIST_TOTAL_MISSING", "links": "LIST_JOB_LINKS_MISSING",
+              "second_pages": "KUNLUNXIN_PAGE_COUNT_MISSING", "second_links": "KUNLUNXIN_JOB_LINKS_MISSING"}
+CMS_DETAIL = {
+    "job_title": [r"""<h1[^>]*id=["']detial_title["'][^>]*>(.*?)</h1>""", r"""<div\s+class=["']title["'][^>]*>.*?<h3>(.*?)</h3>"""],
+    "location": [r"工作地点：?</label>\s*<div[^>]*>(.*?)</div>"],
+    "department": [r"需求部门：?</label>\s*<div[^>]*>(.*?)</div>"],
+    "responsibilities": [r"工作职责：?</h3>\s*<pre[^>]*>(.*?)</pre>", r"<h4>\s*工作职责[:：]\s*</h4>\s*<p[^>]*>(.*?)</p>"],
+    "requirements": [r"任职资格：?</h3>\s*<pre[^>]*>(.*?)</pre>", r"<h4>\s*任职要求[:：]\s*</h4>\s*<p[^>]*>(.*?)</p>"],
+    "headcount": [r"招聘人数：\s*(.*?)</div>"],
+    "publish_date": [r"发布时间：\s*(.*?)</div>", r"""<div\s+class=["']time["'][^>]*>\s*发布时间[:：]\s*(.*?)</div>"""],
+    "deadline": [r"截止时间：\s*(.*?)</div>"],
+}
+CMS_TAGS = r"""<div\s+class=["']sx["'][^>]*>(.*?)</div>"""
+CMS_APPLY_ATTRIBUTE = "nexturl"
+
+# Provider -> (priority, hosts, marks its entrance page must show)
+ADAPTERS = {
+    "beisen_cms": (9, ("zhiye.com",), ("stc-cms.beisen.com/CmsPortal/",)),
+    "zhiye": (10, ("zhiye.com",), ()),
+    "moka": (20, ("mokahr.com",), ()),
+    "feishu": (30, ("jobs.feishu.cn",), ()),
+}
