@@ -14,8 +14,7 @@ def score_exchanges(df: DataFrame, url: str, payload: str, depth: int = 7, items
     """Adds list_path, list_length, homogeneity, density, fields, reasons, score, evidence, confidence,
     id_field, title_field, total_path, total of each exchange; and, named ``items``, the whole array at list_path.
 
-    All of it is row-wise over whole arrays, so no exchange meets another one; only ``sample_fields``, which is for
-    display, is cut to 100 names, after the fields were chosen."""
+    All of it is row-wise over whole arrays, so no exchange meets another one; ``sample_fields`` lists every name."""
     df = df.withColumn("_arrays", R.arrays_in(payload, depth))
     df = df.withColumn("_sets", F.transform("_arrays", lambda a: K.key_sets(a["items"])))
     df = df.withColumn("_counts", F.transform("_sets", K.set_counts))
