@@ -246,8 +246,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     E-mail addresses, account numbers (mod-97 check), hexadecimal secrets, dates that exist, social numbers, phone numbers,
     card numbers (issuer's first digit, digit check) and network addresses are looked for; a value that fails its check stays.  A value
     has the same pseudonym wherever it stands and under one key no two values of a format share one.  A null text
-    stays null, repeated rows stay alike, a column named ``n_replaced`` gives way, other columns stay.  Row by row,
-    without a shuffle."""
+    stays null, a text without any digit and without @ stays as it is, repeated rows stay alike, an empty table stays
+    empty, a column named ``n_replaced`` gives way, other columns stay.  Row by row, without a shuffle."""
     docs = without(docs, "n_replaced")
     found, new, pieces = fresh(docs, "_found", "_new", "_pieces")
     text = F.col(text_col)
