@@ -2,8 +2,9 @@
 
 import duckdb
 from oracle_check import compare
+from pyspark.sql import functions as F
 
-from vacantia.operators import joins as JO
+from vacantia.operators import joins as JO, reports as RP
 from vacantia.plans import load
 
 
@@ -21,3 +22,12 @@ def test_page_companies_equal_their_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert compare(spark, con, load()["page_companies"], str(tmp_path)) is None
+
+
+def test_reports_choose_by_the_size_of_the_run(spark):
+    texts = ("job_title", "job_category", "department", "recruitment_type", "detail_url", "full_jd")
+    jobs = spark.range(101).select(F.when(F.col("id") < 51, "big").when(F.col("id") < 100, "small").alias("run"), "id", *[F.lit("x").alias(c) for c in texts], F.array(F.lit("Paris")).alias("locations"))
+    heads = ("company", "platform", "source_url", "total_expected", "total_fetched", "total_unique", "status")
+    runs = jobs.select("run").distinct().select("run", *[F.lit("1").alias(c) for c in heads])
+    told = RP.report_lines(runs, jobs, "run", "id", compact=None).filter("line = '#### Full JD'").groupBy("run").count()
+    assert {(r.run, r["count"]) for r in told.collect()} == {("small", 49), (None, 1)}

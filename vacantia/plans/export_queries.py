@@ -310,7 +310,7 @@ def report_lines(t):
     """Markdown report of every run, as ordered lines."""
     jobs = _export_jobs(t)
     runs = jobs.select("run_id").distinct().withColumns({"company": F.lit("Co"), "platform": F.lit("har"), "source_url": F.lit("u"), "total_expected": F.lit(1), "total_fetched": F.lit(1), "total_unique": F.lit(1), "status": F.lit("COMPLETE")})
-    return RP.report_lines(runs, jobs, "run_id", "doc_id").select("run_id", "job_no", "line_no", digest("line").alias("line"))
+    return RP.report_lines(runs, jobs, "run_id", "doc_id", compact=None).select("run_id", "job_no", "line_no", digest("line").alias("line"))
 
 
 _BODY = lambda x: f"regexp_replace(regexp_replace({x}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\r\\n?', chr(10), 'g')"
