@@ -1,11 +1,24 @@
 """What a task holds, and what a checkpoint writes, does not grow with the table."""
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from vacantia.sources import sinks
+
 
 def test_python_gets_bounded_batches(spark):
     """A partition of many rows, and one of few large rows, comes in parts."""
     size = F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "long")
     rows = spark.range(0, 5000, 1, 1)
     assert rows.select(size("id").alias("n")).agg(F.max("n")).first()[0] <= 500
+
+
+def test_a_checkpoint_of_many_runs_has_few_files(spark, tmp_path):
+    rows = spark.range(600).select(F.concat(F.lit("run"), "id").alias("run_id"), F.col("id").alias("job_id"), F.lit("x").alias("state"))
+    sinks.write_checkpoint(rows, str(tmp_path / "c"))
+    sinks.write_checkpoint(rows.filter("job_id < 2").withColumn("state", F.lit("y")), str(tmp_path / "c"))
+    assert len(list(Path(tmp_path / "c" / "data").rglob("*.json"))) <= 32
+    read = sinks.read_checkpoint(spark, str(tmp_path / "c"), "job_id long, state string")
+    assert {(r.state, r["count"]) for r in read.groupBy("state").count().collect()} == {("x", 598), ("y", 2)}

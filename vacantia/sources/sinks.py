@@ -68,12 +68,12 @@ def _commits(spark: SparkSession, path: str) -> list[tuple[int, bool, str]]:
 def _commit(rows: DataFrame, path: str, whole: bool = False) -> None:
     """Write rows as a new version and commit it.
 
-    The rows go to a folder of their own; when they are complete, the creation of one empty file, whose name holds the
+    The rows go to a folder of their own, in few files however many runs there are; when they are complete, the creation of one empty file, whose name holds the
     version and the folder, lets readers see them all.  Versions of writers at the same time count in order of folders."""
     spark = rows.sparkSession
     files, make = _files(spark, path)
     folder = uuid.uuid4().hex
-    rows.hint("rebalance", "run_id").write.partitionBy("run_id").json(f"{path}/data/{folder}")
+    rows.hint("rebalance", "run_id").write.json(f"{path}/data/{folder}")
     version = 1 + max((c[0] for c in _commits(spark, path)), default=0)
     files.createNewFile(make(f"{path}/commits/{version:012d}.{folder}.{'whole' if whole else 'part'}"))
 
@@ -94,7 +94,7 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], f"{schema}, run_id string")
     rows = reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
-        # a row per run, from the names of folders
+        # a row per run
         last = rows.groupBy("run_id").agg(F.max("_version").alias("_last"))
         rows = rows.join(last.withColumnRenamed("run_id", "_run"), (F.col("run_id").eqNullSafe(F.col("_run"))) & (F.col("_version") == F.col("_last"))).drop("_run", "_last")
     ok = F.col("format").eqNullSafe(CHECKPOINT_FORMAT)
