@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from vacantia.sources import sinks
+from vacantia.streaming.keyed import Windows
 
 
 def test_python_gets_bounded_batches(spark):
@@ -22,3 +23,7 @@ def test_a_checkpoint_of_many_runs_has_few_files(spark, tmp_path):
     assert len(list(Path(tmp_path / "c" / "data").rglob("*.json"))) <= 32
     read = sinks.read_checkpoint(spark, str(tmp_path / "c"), "job_id long, state string")
     assert {(r.state, r["count"]) for r in read.groupBy("state").count().collect()} == {("x", 598), ("y", 2)}
+
+
+def test_observed_seconds_round_half_up():
+    assert Windows(7_200_000_000, 28_800_000_000).described((0, 5_234_320_500, 2), 1)[3] == 5234.321

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from datetime import datetime, timedelta, timezone
+from math import floor
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
@@ -65,7 +66,7 @@ class Windows:
         first, last, count = window
         if last + self.gap > first + self.longest:
             return first, last, count, self.longest / 1e6, "MAX_OBSERVATION"
-        return first, last, count, round((last - first) / 1e6, 3), "BELOW_MINIMUM" if last - first < shortest else "QUIET"
+        return first, last, count, floor((last - first) / 1e6 * 1000 + 0.5) / 1000, "BELOW_MINIMUM" if last - first < shortest else "QUIET"
 
 
 def moment(micros: int) -> datetime:
