@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import packed, stored, summed, unpacked
 from .tokens import BYTE_LETTERS, SPACE, tokenizer
 
-# characters of the texts of a block, and chunks a task remembers before it starts anew
-BLOCK, MEMO = 4 << 20, 800_000
+# characters of the texts of a block, and bytes of chunks (each with what objects take) that a task remembers before it starts anew
+BLOCK, MEMO, OBJECTS = 4 << 20, 64 << 20, 240
 BLOCKS = "block long, keys array<{kind}>, blob binary, pairs array<long>, docs array<int>"
 # counts of pairs in one row on their way back, chunks of the documents that leave in one batch
 RUN, SLICE = 8192, 200_000
@@ -99,7 +99,7 @@ class Aligner:
     """Chunks to numbers, groups and linked id pairs, every distinct chunk once."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b, self.memo = ByteLevel(path_a), Pieces(path_b), {}
+        self.a, self.b, self.memo, self.held = ByteLevel(path_a), Pieces(path_b), {}, 0
         self.digits = [str(i) for i in range(max(len(self.a.names), len(self.b.names)))]
         self.odd, self.cut = re.compile(f"[{SPACE}] "), re.compile(f"(?<=[^{SPACE}])(?= )")
 
@@ -111,6 +111,12 @@ class Aligner:
             out[-2:] = [out[-2] + " "]
         return out
 
+    def forget(self) -> None:
+        """Start anew once the memo is full."""
+        if self.held > MEMO:
+            self.memo.clear()
+            self.held = 0
+
     def learn(self, chunks) -> None:
         """Encode what the memo lacks, many chunks as one text; one by one where a text does not come out whole, or where a last blank might join the next chunk's."""
         new = [c for c in chunks if c not in self.memo]
@@ -124,9 +130,13 @@ class Aligner:
             texts = ["".join(p) for p in parts]
             for part, a, b in zip(parts, self.a.encode(texts), self.b.encode(texts)):
                 if a is not None and b is not None:
-                    self.memo.update(zip(part, entries(self.digits, np.cumsum([len(c.encode()) for c in part]), *a, *b)))
+                    sizes = [len(c.encode()) for c in part]
+                    found = entries(self.digits, np.cumsum(sizes), *a, *b)
+                    self.memo.update(zip(part, found))
+                    self.held += sum(sizes) + sum(map(len, found)) + OBJECTS * len(part)
                 elif joined == 1:
                     self.memo[part[0]] = b""
+                    self.held += len(part[0]) + OBJECTS
 
 
 def entries(digits, chunk_ends, ids_a, ends_a, ids_b, ends_b) -> list[bytes]:
@@ -159,8 +169,7 @@ def _aligned(path_a: str, path_b: str):
         def flush():
             found = pa.array(flat, pa.string()).dictionary_encode()
             known = found.dictionary.to_pylist()
-            if len(aligner.memo) > MEMO:
-                aligner.memo.clear()
+            aligner.forget()
             aligner.learn(known)
             entries = [aligner.memo[c] for c in known]
             whole = np.array([len(e) > 0 for e in entries], bool)
