@@ -44,6 +44,20 @@ def is_bot_challenge(html) -> Column:
 
 def pick_jd(record) -> Column:
     """struct(description, description_field, responsibilities(_field), requirements(_field), state)."""
+    return let(c(record), _picked_jd)
+
+
+def jd_state(record) -> Column:
+    """The state of ``pick_jd``; a record without any field that may carry the text is not looked into."""
+    return let(c(record), lambda r: F.when(
+        ~F.exists(F.map_keys(r), lambda k: F.lower(k).isin(_JD_KEYS)), F.lit("ABSENT")).otherwise(_picked_jd(r)["state"]))
+
+
+# lower-case names of all fields and wrappers that pick_jd reads
+_JD_KEYS = sorted({n.lower() for n in V.JD_DESCRIPTION + V.JD_RESPONSIBILITY + V.JD_REQUIREMENT + V.JD_WRAPPERS})
+
+
+def _picked_jd(record) -> Column:
     def wrapped(own, names):
         tries = F.array(own, R.pick_wrapped_field(record, V.JD_WRAPPERS, names))
         return F.get(F.filter(tries, lambda t: t["value"].isNotNull()), F.lit(0))

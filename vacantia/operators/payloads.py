@@ -69,11 +69,13 @@ def _below(depth: int):
 
 def _deep_text(v, depth: int) -> Column:
     """The JSON text of a payload with more than ``depth`` levels of brackets below its own, else null."""
-    text = F.to_json(c(v))
-    rest = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
-    for _ in range(depth + 1):
-        rest = F.regexp_replace(rest, r"\{\}|\[\]", "")
-    return F.when(rest != "", text)
+    def deep(text):
+        rest = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', ""), r"[^\[\]{}]", "")
+        for _ in range(depth + 1):
+            rest = F.regexp_replace(rest, r"\{\}|\[\]", "")
+        return F.when(rest != "", text)
+
+    return let(F.to_json(c(v)), deep)
 
 
 def _objects(v, depth: int) -> Column:
@@ -81,30 +83,33 @@ def _objects(v, depth: int) -> Column:
 
     Levels up to ``depth`` are expressions; only payloads that go on below are walked to their end in Python."""
     none = F.expr(R.NO_STRINGS)
-    level = F.array(F.struct(none.alias("at"), none.alias("path"), c(v).alias("value")))
-    nodes = [level]
+    root = F.array(F.struct(none.alias("at"), none.alias("path"), c(v).alias("value")))
     step = lambda n, at, name, value: F.struct(F.concat(n["at"], F.array(at)).alias("at"), F.concat(n["path"], F.array(name)).alias("path"), value.alias("value"))
-    for _ in range(depth):
-        members = lambda n: let(R.as_record(n["value"]), lambda m: F.transform(
-            F.coalesce(F.map_entries(m), F.expr("cast(array() as array<struct<key:string,value:variant>>)")), lambda e: step(n, e["key"], e["key"], e["value"])))
-        items = lambda n: F.transform(
-            F.coalesce(R.as_array(n["value"]), F.expr("cast(array() as array<variant>)")),
-            lambda x, i: step(n, F.lpad(i.cast("string"), 9, "0"), F.lpad(i.cast("string"), F.greatest(F.length(i.cast("string")), F.lit(2)), F.lit("0")), x))
-        nested = lambda n: R.kind(n["value"]).startswith("OBJECT") | R.kind(n["value"]).startswith("ARRAY")
-        level = F.filter(F.flatten(F.transform(level, lambda n: F.concat(members(n), items(n)))), nested)
-        nodes.append(level)
+    members = lambda n: let(R.as_record(n["value"]), lambda m: F.transform(
+        F.coalesce(F.map_entries(m), F.expr("cast(array() as array<struct<key:string,value:variant>>)")), lambda e: step(n, e["key"], e["key"], e["value"])))
+    items = lambda n: F.transform(
+        F.coalesce(R.as_array(n["value"]), F.expr("cast(array() as array<variant>)")),
+        lambda x, i: step(n, F.lpad(i.cast("string"), 9, "0"), F.lpad(i.cast("string"), F.greatest(F.length(i.cast("string")), F.lit(2)), F.lit("0")), x))
+    nested = lambda n: let(R.kind(n["value"]), lambda k: k.startswith("OBJECT") | k.startswith("ARRAY"))
+    inside = lambda level: F.filter(F.flatten(F.transform(level, lambda n: F.concat(members(n), items(n)))), nested)
+    # each level is made from the one before it, once
+    grown = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.struct(root.alias("level"), root.alias("all")), lambda acc, _: let(
+        inside(acc["level"]), lambda level: F.struct(level.alias("level"), F.concat(acc["all"], level).alias("all"))))["all"]
+    nodes = let(root, grown)
     below = F.from_json(F.coalesce(_below(depth)(_deep_text(v, depth)), F.lit("[]")), "array<struct<at:array<string>,path:array<string>,value:string>>")
     deeper = F.transform(below, lambda n: F.struct(n["at"].alias("at"), n["path"].alias("path"), R.parse(n["value"]).alias("value")))
-    return F.concat(F.filter(F.flatten(F.array(*nodes)), lambda n: R.kind(n["value"]).startswith("OBJECT")), deeper)
+    return F.concat(F.filter(nodes, lambda n: R.kind(n["value"]).startswith("OBJECT")), deeper)
 
 
 def detail_record(v, depth: int = 6) -> Column:
     """struct(path, state, record_json) of the first nested object, depth-first, that carries a job description."""
-    found = F.transform(_objects(v, depth), lambda n: F.struct(
-        n["at"].alias("at"), n["path"].alias("path"), J.pick_jd(R.as_record(n["value"]))["state"].alias("state"), R.as_text(n["value"]).alias("record_json")))
-    best = F.array_min(F.filter(found, lambda s: s["state"] != "ABSENT"))
-    return let(best, lambda b: F.struct(F.array_join(b["path"], ".").alias("path"), b["state"].alias("state"),
-                                        b["record_json"].alias("record_json")))
+    def first(nodes):
+        found = F.transform(nodes, lambda n, i: F.struct(
+            n["at"].alias("at"), n["path"].alias("path"), J.jd_state(R.as_record(n["value"])).alias("state"), i.alias("i")))
+        return let(F.array_min(F.filter(found, lambda s: s["state"] != "ABSENT")), lambda b: F.struct(
+            F.array_join(b["path"], ".").alias("path"), b["state"].alias("state"), R.as_text(F.get(nodes, b["i"])["value"]).alias("record_json")))
+
+    return let(_objects(v, depth), first)
 
 
 def embedded_detail(states: DataFrame, page: str, expected_title: str, depth: int = 6) -> DataFrame:
