@@ -18,3 +18,23 @@ def test_levels_of_a_payload_are_made_once(spark):
     assert [tuple(r) for r in found(6).select("d.path", "d.state", "d.record_json").collect()] == [
         ("rows.01.b", "SUMMARY", '{"duty":"clean","require":"water"}'), (None, None, None)]
     assert len(plan(found(6))) < 1.1 * len(plan(found(3)))
+
+
+def test_progress_of_a_stream_needs_no_call_per_row(spark, tmp_path, monkeypatch):
+    """Seen ids are state of a dedup of the engine; an id that comes back on a smaller page of a later batch is not new."""
+    from pyspark.sql import GroupedData
+
+    from vacantia.streaming import streams as Z
+
+    def refused(*_):
+        raise AssertionError("a Python call per row")
+
+    monkeypatch.setattr(GroupedData, "transformWithState", refused)
+    rows = [[("r", 5, i % 40) for i in range(100)] + [("r", 3, 7), ("s", 3, 7)], [("r", 1, 7), ("r", 1, 99), ("r", 2, 99)]]
+    schema = "run string, page int, k int"
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    Z.stream_progress(stream, "run", "page", "k", str(tmp_path / "out"))
+    got = {(r.batch, r.run, r.page): (r.records, r.new_ids) for r in spark.read.parquet(str(tmp_path / "out" / "pages")).collect()}
+    assert got == {(0, "r", 5): (100, 39), (0, "r", 3): (1, 1), (0, "s", 3): (1, 1), (1, "r", 1): (2, 1), (1, "r", 2): (1, 0)}

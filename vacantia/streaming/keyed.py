@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from datetime import datetime, timedelta, timezone
 from math import floor
 
@@ -10,31 +9,6 @@ from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
 
 
-class SeenIds(StatefulProcessor):
-    """New ids per page.  A group is a shard of (run, id); its map state holds the ids seen, so one long run is many tasks."""
-
-    def __init__(self, state: str):
-        self.state = state
-
-    def init(self, handle):
-        self.seen = handle.getMapState("seen", self.state, "page long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        records, first, new = Counter(), {}, Counter()
-        for row in rows:
-            records[row.run, row.page] += 1
-            first[row.run, row.id] = min(row.page, first.get((row.run, row.id), row.page))
-        for name, page in first.items():
-            if not self.seen.containsKey(name):
-                self.seen.updateValue(name, (page,))
-                new[name[0], page] += 1
-        for (run, page), n in records.items():
-            yield Row(run=run, page=page, records=n, new_ids=new[run, page])
-
-    def close(self):
-        pass
-
-
 class Windows:
     """Observation windows of one run, told its activity in order: (first, last, count) of each window that is over.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab as V
 from ..session import shared_folder
-from .keyed import QuietPeriods, SeenIds, window_scan
+from .keyed import QuietPeriods, window_scan
 
 
 def dedupe(df: DataFrame, keys, event_time: str, delay: str) -> DataFrame:
@@ -53,23 +53,31 @@ def drain(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
-def stream_progress(df: DataFrame, run: str, page: str, key: str, folder: str, shards: int = 64) -> None:
+def stream_progress(df: DataFrame, run: str, page: str, key: str, folder: str) -> None:
     """Pages of a stream with their new ids: a page without new ids ends its run.
 
-    Seen ids are keyed state, in ``shards`` map states by a hash of run and id (a number that a stream keeps for life),
-    so a batch looks up the ids it holds and nothing else, and one long run is spread over the shards.  A batch writes
-    its own partition of ``folder``/pages, so a repeated batch after a failure gives the same rows.  A row without a page
-    counts for page -1."""
-    kinds = {n: df.schema[n].dataType.simpleString() for n in (run, key)}
-    rows = df.select(F.pmod(F.xxhash64(run, key), F.lit(shards)).alias("shard"), F.col(run).alias("run"), F.coalesce(F.col(page).cast("bigint"), F.lit(-1)).alias("page"), F.col(key).alias("id"))
-    counted = rows.groupBy("shard").transformWithState(
-        SeenIds(f"run {kinds[run]}, id {kinds[key]}"), f"run {kinds[run]}, page long, records long, new_ids long", "append", "None")
+    Seen ids are the state of a streaming dedup, keyed by run and id, so a batch looks up the ids it holds and nothing
+    else, and one long run is spread over all tasks.  The ids that the dedup lets through are new; the smallest page that
+    holds one in its batch gets it.  A batch writes its own partition of ``folder``/pages, so a repeated batch after a
+    failure gives the same rows.  A row without a page counts for page -1."""
+    rows = df.select(F.col(run).alias("run"), F.col(key).alias("id"), F.coalesce(F.col(page).cast("bigint"), F.lit(-1)).alias("page"))
+    fresh = rows.select("run", "id").dropDuplicates(["run", "id"]).select("run", "id", F.lit(None).cast("bigint").alias("page"), F.lit(True).alias("new"))
 
     def advance(rows: DataFrame, batch: int) -> None:
-        pages = rows.groupBy(F.col("run").alias(run), F.col("page").alias(page)).agg(F.sum("records").alias("records"), F.sum("new_ids").alias("new_ids"))
+        # one pass, as a batch may read its state once: a row counts for its id, and for its page
+        part = lambda by_id, name, at, first, new, records: F.struct(
+            F.lit(by_id).alias("by_id"), name.alias("id"), at.alias("at"), first.alias("first"), new.alias("new"), F.lit(records).alias("records"))
+        none = lambda x: F.when(F.lit(False), x)
+        of_id = part(True, F.col("id"), none(F.col("page")), F.col("page"), F.col("new"), 0)
+        of_page = part(False, none(F.col("id")), F.col("page"), none(F.col("page")), F.lit(False), 1)
+        told = rows.select("run", F.inline(F.when(F.col("new"), F.array(of_id)).otherwise(F.array(of_id, of_page))))
+        known = told.groupBy("run", "by_id", "id", "at").agg(F.min("first").alias("first"), F.max("new").alias("new"), F.sum("records").alias("records"))
+        pages = known.groupBy(F.col("run").alias(run), F.coalesce("at", "first").alias(page)).agg(
+            F.sum("records").alias("records"), F.count_if("new").alias("new_ids"))
         pages.withColumn("no_progress", F.col("new_ids") == 0).write.mode("overwrite").parquet(f"{folder}/pages/batch={batch}")
 
-    query = counted.writeStream.foreachBatch(advance).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    both = rows.withColumn("new", F.lit(False)).unionByName(fresh)
+    query = both.writeStream.foreachBatch(advance).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
