@@ -38,3 +38,15 @@ def test_progress_of_a_stream_needs_no_call_per_row(spark, tmp_path, monkeypatch
     Z.stream_progress(stream, "run", "page", "k", str(tmp_path / "out"))
     got = {(r.batch, r.run, r.page): (r.records, r.new_ids) for r in spark.read.parquet(str(tmp_path / "out" / "pages")).collect()}
     assert got == {(0, "r", 5): (100, 39), (0, "r", 3): (1, 1), (0, "s", 3): (1, 1), (1, "r", 1): (2, 1), (1, "r", 2): (1, 0)}
+
+
+def test_card_labels_are_looked_for_once(spark):
+    """Each label is one search; what stands before it may hold characters of two UTF-16 units."""
+    from vacantia.functions import jd as J
+
+    duty, need = "clean \U0001F9F9 the halls " * 3, "a degree \U0001F393 in cleaning " * 2
+    texts = [f"\U0001F600\t \rTitle [岗位职责] {duty}\n任职要求：{need}", f"任职要求：{need} 岗位职责：{duty}", f"岗位职责：{duty}", "岗位职责：x 任职要求：y", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(J.card_sections("t").alias("s"))
+    assert [tuple(r) for r in df.select("s.responsibilities", "s.requirements").collect()] == [
+        (duty.strip(), need.strip()), (None, f"{need.strip()}  岗位职责：{duty}".replace("  ", " ").strip()), (None, None), (None, None), (None, None)]
+    assert plan(df).count("职位职责") == 1

@@ -115,10 +115,12 @@ def canonical_jd(picked) -> Column:
             .when(p["state"] == "SPLIT", F.nullif(split, F.lit(""))))
 
 
-def _tagged_sections(line_array, is_duty, is_need) -> Column:
-    """Lines under each heading kind: heading positions first, then the spans between them."""
+def _tagged_sections(line_array, is_duty, is_need, norm=lambda line: line) -> Column:
+    """Lines under each heading kind: heading positions first, then the spans between them.
+
+    ``norm`` is applied once to a line, before both tests."""
     def cut(x):
-        marks = F.filter(F.transform(x, lambda line, i: F.struct(
+        marks = F.filter(F.transform(F.transform(x, norm), lambda line, i: F.struct(
             i.alias("i"), F.when(is_duty(line), 1).when(is_need(line), 2).alias("k"))), lambda m: m["k"].isNotNull())
         return let(marks, lambda m: let(spans(x, m), lambda s: F.struct(
             part(x, s, 1).alias("responsibilities"), part(x, s, 2).alias("requirements"))))
@@ -141,8 +143,7 @@ def _starts(vocab):
 def split_jd(text) -> Column:
     """struct(responsibilities, requirements): lines under heading lines; a heading may carry a tail."""
     norm = lambda x: F.btrim(F.regexp_replace(F.lower(x), r"[:：\s]+$", ""), F.lit("#* "))
-    return _tagged_sections(lines(text), lambda x: norm(x).rlike(_starts(V.SPLIT_RESPONSIBILITY)),
-                            lambda x: norm(x).rlike(_starts(V.SPLIT_REQUIREMENT)))
+    return _tagged_sections(lines(text), lambda x: x.rlike(_starts(V.SPLIT_RESPONSIBILITY)), lambda x: x.rlike(_starts(V.SPLIT_REQUIREMENT)), norm)
 
 
 def jd_sections(text) -> Column:
@@ -159,20 +160,26 @@ def sections_from_text(text) -> Column:
 
 def card_sections(text) -> Column:
     """Two sections of a card by inline labels; a half below forty characters is dropped."""
-    return let(F.regexp_replace(c(text), "[\t\r ]+", " "), _cut_card)
+    # a single blank is already what a run becomes
+    return let(F.regexp_replace(c(text), r" [\t\r ]+|[\t\r][\t\r ]*", " "), _cut_card)
 
 
 def _cut_card(value) -> Column:
-    at, length = F.regexp_instr(value, F.lit(V.CARD_RESPONSIBILITY)), F.length(
-        F.regexp_extract(value, V.CARD_RESPONSIBILITY, 0))
-    at2, length2 = F.regexp_instr(value, F.lit(V.CARD_REQUIREMENT)), F.length(
-        F.regexp_extract(value, V.CARD_REQUIREMENT, 0))
+    """Cuts at the first label of either kind; each label is looked for once."""
     trim = lambda x: F.btrim(x, F.lit(" \n:："))
-    duty = trim(F.substring(value, at + length, F.greatest(at2 - at - length, F.lit(0))))
-    need = trim(F.substring(value, at2 + length2, F.length(value)))
-    both = (at > 0) & (at2 > 0)
-    keep = lambda x: F.when(both & (F.length(x) >= 40), x)
-    return F.struct(keep(duty).alias("responsibilities"), keep(need).alias("requirements"))
+    keep = lambda x: let(trim(x), lambda t: F.when(F.length(t) >= 40, t))
+    parts = lambda label: F.split(value, label, 2)
+
+    def cut(s):
+        need, duty = s["need"], s["duty"]
+        # texts before and after the first requirement label and the first responsibility label
+        between = F.length(F.get(need, F.lit(0))) - F.length(value) + F.length(F.get(duty, F.lit(1)))
+        return F.when((F.size(need) > 1) & (F.size(duty) > 1), F.struct(
+            keep(F.substring(F.get(duty, F.lit(1)), F.lit(1), F.greatest(between, F.lit(0)))).alias("responsibilities"),
+            keep(F.get(need, F.lit(1))).alias("requirements"))).otherwise(F.struct(
+                F.lit(None).cast("string").alias("responsibilities"), F.lit(None).cast("string").alias("requirements")))
+
+    return let(F.struct(parts(V.CARD_REQUIREMENT).alias("need"), parts(V.CARD_RESPONSIBILITY).alias("duty")), cut)
 
 
 def split_items(text) -> Column:
