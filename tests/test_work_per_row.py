@@ -50,3 +50,23 @@ def test_card_labels_are_looked_for_once(spark):
     assert [tuple(r) for r in df.select("s.responsibilities", "s.requirements").collect()] == [
         (duty.strip(), need.strip()), (None, f"{need.strip()}  岗位职责：{duty}".replace("  ", " ").strip()), (None, None), (None, None), (None, None)]
     assert plan(df).count("职位职责") == 1
+
+
+def test_sanitation_reads_a_text_once_by_pattern(spark):
+    """Only the search for control characters goes through a whole text; it also counts them."""
+    from vacantia.operators import summaries as M
+
+    texts = ["plain", "=1", "a\x00b\x07\x7f", "x\r\ny\rz\t", "\x01=2", "", None, "é" * 32767, "é" * 32768]
+    df = M.sanitize_stats(spark.createDataFrame([("r", t) for t in texts], "run string, t string"), "run", "t")
+    assert tuple(df.collect()[0]) == ("r", 5, 4, 1, 2)
+    assert plan(df).count("\\x7f") == 1
+
+
+def test_markdown_and_csv_of_special_texts(spark):
+    from vacantia.functions import export as E
+
+    texts = ["&<>\\|#*_`\n", "=a\r\nb\rc", "+", "", None, "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(E.md_inline("t"), E.csv_cell("t"), E.sanitize_cell("t", 100))
+    assert [tuple(r) for r in df.collect()] == [
+        (r"&amp;&lt;&gt;\\\|\#\*\_\` ", "&<>\\|#*_` ⏎ ", "&<>\\|#*_`\n"), ("=a\r b\rc", "'=a ⏎ b ⏎ c", "'=a\nb\nc"), ("+", "'+", "'+"), ("", "", ""), ("", "", None),
+        ("plain", "plain", "plain")]

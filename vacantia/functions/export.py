@@ -8,14 +8,29 @@ from .. import vocab as V
 from .text import c, let
 
 
+def is_formula(text) -> Column:
+    """Does a text start like a formula?  Only its first character is read."""
+    return F.substring(c(text), 1, 1).rlike(V.FORMULA_START)
+
+
 def _quote_formula(x) -> Column:
-    return F.regexp_replace(x, "^(?=[=+@-])", "'")
+    return let(x, lambda t: F.when(is_formula(t), F.concat(F.lit("'"), t)).otherwise(t))
+
+
+def line_ends(text) -> Column:
+    """Carriage returns, with or without a line feed, as line feeds; a text without any is not searched by pattern."""
+    x = c(text)
+    return F.when(x.contains("\r"), F.regexp_replace(x, "\r\n?", "\n")).otherwise(x)
+
+
+def without_controls(text) -> Column:
+    """A text without the control characters that no cell may hold."""
+    return F.regexp_replace(c(text), V.ILLEGAL_CONTROL, "")
 
 
 def cell_body(text) -> Column:
     """Control characters dropped and line ends normalised; no length cap yet."""
-    clean = F.regexp_replace(c(text), V.ILLEGAL_CONTROL, "")
-    return F.regexp_replace(clean, "\r\n?", "\n")
+    return let(without_controls(text), line_ends)
 
 
 def sanitize_cell(text, limit: int | None = None) -> Column:
@@ -40,7 +55,7 @@ def over_limit(*texts) -> Column:
 
 def csv_cell(text) -> Column:
     """One visible line, formula start quoted, null as empty."""
-    x = F.regexp_replace(F.coalesce(c(text), F.lit("")), "\r\n?", "\n")
+    x = let(F.coalesce(c(text), F.lit("")), line_ends)
     return _quote_formula(F.replace(x, F.lit("\n"), F.lit(" ⏎ ")))
 
 
@@ -56,11 +71,16 @@ def locations_text(values) -> Column:
     return F.array_join(F.filter(c(values), lambda v: v != ""), "；")
 
 
+def _swap(text, old: str, new: str) -> Column:
+    """Replace in the texts that hold it: to look for it first is cheaper than to replace nothing."""
+    return let(text, lambda x: F.when(x.contains(old), F.replace(x, F.lit(old), F.lit(new))).otherwise(x))
+
+
 def md_inline(text) -> Column:
     x = F.coalesce(c(text), F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\\", "\\\\")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.replace(F.regexp_replace(x, r"([|#*_`])", r"\\$1"), F.lit("\n"), F.lit(" "))
+        x = _swap(x, a, b)
+    return _swap(F.regexp_replace(x, r"([|#*_`])", r"\\$1"), "\n", " ")
 
 
 def row_completeness(full_jd, responsibilities, requirements) -> Column:

@@ -145,10 +145,13 @@ def run_issues(lines: DataFrame, run: str, text: str, kind: str) -> DataFrame:
 def sanitize_stats(df: DataFrame, run, text: str) -> DataFrame:
     """What cell sanitation changes, counted."""
     n, x, body = F.count_if, F.col(text), F.col("_body")
-    df = df.withColumn("_body", E.cell_body(text))
-    return df.groupBy(*names(run)).agg(
-        n((body != x) | (F.length(body) > V.CELL_LIMIT) | body.rlike(V.FORMULA_START)).alias("cells_sanitized"), F.sum(F.regexp_count(x, F.lit(V.ILLEGAL_CONTROL)).cast("bigint")).alias("illegal_chars_removed"),
-        n(F.length(body) > V.CELL_LIMIT).alias("cells_truncated"), n(body.rlike(V.FORMULA_START)).alias("formula_escaped"))
+    df = df.withColumn("_clean", E.without_controls(text)).withColumn("_body", E.line_ends("_clean"))
+    # a body of at most so many bytes is not long, so its characters need no count
+    facts = df.select(*names(run), (body != x).alias("_changed"), ((F.octet_length(body) > V.CELL_LIMIT) & (F.length(body) > V.CELL_LIMIT)).alias("_long"),
+                      E.is_formula(body).alias("_formula"), F.when(x == F.col("_clean"), F.lit(0)).otherwise(F.length(x) - F.length("_clean")).cast("bigint").alias("_removed"))
+    return facts.groupBy(*names(run)).agg(
+        n(F.col("_changed") | F.col("_long") | F.col("_formula")).alias("cells_sanitized"), F.sum("_removed").alias("illegal_chars_removed"),
+        n("_long").alias("cells_truncated"), n("_formula").alias("formula_escaped"))
 
 
 def failure_class(row) -> Column:
