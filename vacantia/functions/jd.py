@@ -44,7 +44,7 @@ def is_bot_challenge(html) -> Column:
 
 def pick_jd(record) -> Column:
     """struct(description, description_field, responsibilities(_field), requirements(_field), state)."""
-    return let(c(record), _picked_jd)
+    return _picked_jd(c(record))
 
 
 def jd_state(record) -> Column:
