@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from vacantia.llm import suffix_dedup
+from vacantia.llm.queries import QUERIES
 
 
 def brute(texts, length):
@@ -72,3 +73,18 @@ def test_a_passage_in_many_places(spark):
     for options in ({}, {"group": 2}, {"group": 8, "chunk": 500}):
         assert result(table, 50, **options) == want
     assert result(table.limit(0), 50) == {}
+
+
+def test_the_query_shows_what_is_left(spark, tmp_path):
+    """A planted passage is gone from the text, clean texts are whole, cut characters are marked and counted as bytes."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join("abcdefghij"[i] for i in rng.integers(0, 10, 7))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, short = prose(60), prose(40)
+    texts = [f"{prose(30)}{i} {passage} {i}{prose(20)}" for i in range(5)] + [f"{prose(30)} {short}" for _ in range(2)] + [prose(90), None, passage + "é", passage + "è"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in QUERIES["op3_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for _, r in sorted(out.items())] == brute(texts, 400)
+    for i, text in enumerate(texts[:8]):
+        assert out[i].text == (text if i >= 5 else text.replace(f" {passage} ", ""))
+    assert [out[i].text for i in (8, 9, 10)] == ["", "\ufffd", "\ufffd"]
