@@ -75,6 +75,26 @@ def test_a_passage_in_many_places(spark):
     assert result(table.limit(0), 50) == {}
 
 
+def test_halves_of_a_segment_do_not_meet_each_other(spark):
+    """A segment with partners in both halves of a crowded anchor, all in one transform: what stands once stays."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join("abcdefgh"[i] for i in rng.integers(0, 8, n))
+    pool = word(50_000)
+    at = int((suffix_dedup._gram_hashes(np.frombuffer(pool.encode(), np.uint8)) >> np.uint64(32)).argmin())
+    anchor, left, right = pool[at:at + 32], word(12), word(12)
+    texts = [word(30) + left + anchor + right + word(30), word(30) + left + anchor + word(42), word(42) + anchor + right + word(30),
+             word(36) + left[-6:] + anchor + right + word(30)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(brute(texts, 50)))
+    assert [want[i][1] for i in range(4)] == [50, 0, 0, 50]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        assert result(table, 50, group=3) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_the_query_shows_what_is_left(spark, tmp_path):
     """A planted passage is gone from the text, clean texts are whole, cut characters are marked and counted as bytes."""
     rng = np.random.default_rng(4)
