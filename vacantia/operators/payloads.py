@@ -19,13 +19,13 @@ def resolve_payload(v, steps: list[str]) -> Column:
 
 
 def connection(df: DataFrame, v: str, depth: int = 7) -> DataFrame:
-    """Adds list_path, records, item_path, has_more, cursor of a connection-shaped payload."""
+    """Adds list_path, records, item_path, has_more, cursor of a connection-shaped payload; edges hold nodes even when there are none."""
     df = df.withColumn("_flat", R.flat_entries(v, depth))
     df = df.withColumn("_conn", F.array_max(F.transform(
         F.filter("_flat", lambda s: s["kind"].startswith("ARRAY") & s["path"].rlike(V.CONNECTION_SUFFIX)),
         lambda s: F.struct(F.size(R.as_array(s["value"])).alias("n"), s["path"].alias("path"), R.as_text(s["value"]).alias("text")))))
     items = R.as_array(R.parse("_conn.text"))
-    nodes = (F.size(items) > 0) & F.forall(items, lambda x: R.as_record(F.try_variant_get(x, "$.node", "variant")).isNotNull())
+    nodes = ((F.size(items) > 0) | F.lower("_conn.path").endswith(".edges")) & F.forall(items, lambda x: R.as_record(F.try_variant_get(x, "$.node", "variant")).isNotNull())
     info = F.concat(F.regexp_replace("_conn.path", r"\.[^.]*$", ""), F.lit(".pageInfo."))
     member = lambda name: R.as_text(F.get(F.filter("_flat", lambda s: s["path"] == F.concat(info, F.lit(name))), F.lit(0))["value"])
     return df.withColumns({
