@@ -10,8 +10,10 @@ from ..functions.text import c, contains_any, heading, let, squeeze, strip, unes
 from .grouping import fence, first_by
 
 
-def html_detail(df: DataFrame, lines: str, title: str, job_id: Column, url: str) -> DataFrame:
-    """Adds failure, full_jd, responsibilities, requirements, bound_id of a detail page given as text lines."""
+def html_detail(df: DataFrame, lines: str, title: str, job_id: Column, url: str, blank: bool = False) -> DataFrame:
+    """Adds failure, full_jd, responsibilities, requirements, bound_id of a detail page given as text lines.
+
+    With ``blank`` responsibilities without lines are an empty line of full_jd."""
     none = F.expr(R.NO_STRINGS)
     at = lambda vocab, after: F.array_min(F.filter(F.transform("_norm", lambda h, i: F.when(
         h.isin(vocab) & (i > after), i)), lambda i: i.isNotNull()))
@@ -25,9 +27,11 @@ def html_detail(df: DataFrame, lines: str, title: str, job_id: Column, url: str)
         "requirements": F.when(req.isNotNull(), F.slice(lines, req + 2, F.greatest(end - req - 1, F.lit(0)))).otherwise(none),
         "_ids": U.path_bound_ids(url), "_title": F.lower(strip(title)),
     })
-    df = df.withColumn("full_jd", strip(F.array_join(F.concat(
-        F.slice(lines, resp + 1, F.lit(1)), F.col("responsibilities"),
-        F.when(req.isNotNull(), F.slice(lines, req + 1, F.lit(1))).otherwise(none), F.col("requirements")), "\n")))
+    duties = F.when(F.size("responsibilities") > 0, F.col("responsibilities")).otherwise(F.array(F.lit("")) if blank else none)
+    text = F.array_join(F.concat(
+        F.slice(lines, resp + 1, F.lit(1)), duties,
+        F.when(req.isNotNull(), F.slice(lines, req + 1, F.lit(1))).otherwise(none), F.col("requirements")), "\n")
+    df = df.withColumn("full_jd", text if blank else strip(text))
     title_ok = (F.coalesce("_title", F.lit("")) == "") | F.exists(F.slice("_norm", F.lit(1), resp), lambda h: h.contains(F.col("_title")))
     id_ok = job_id.isNull() | (F.size("_ids") == 0) | F.exists("_ids", lambda s: s["value"] == job_id.cast("string"))
     failure = (F.when(resp.isNull(), "JD_CONTAINER_NOT_FOUND").when(~title_ok, "TITLE_MISMATCH").when(~id_ok, "TITLE_MISMATCH")
