@@ -27,7 +27,7 @@ _SCORED = f"""scored as (select *, case lang when 'en' then 21 when 'fr' then 4
  case lang when 'en' then 'result.total' when 'de' then case when n <= 1 then 'data.count' end end as total_path from judged""")
 def list_scores(t):
     """Score every captured response as a job-list source."""
-    df = D.score_exchanges(I.exchanges(t), "url", "payload")
+    df = D.score_exchanges(I.exchanges(t), "url", "payload", declared="declared")
     return df.select("entry_index", "list_path", "list_length", "homogeneity", "density", join("reasons").alias("reasons"), "score", "confidence",
                      K.reliable("confidence", "reasons", "density", "fields").alias("reliable"),
                      F.when(F.col("lang") != "en", F.col("id_field")).otherwise(F.col("id_field")).alias("id_field"), "title_field", "total_path")
@@ -80,14 +80,14 @@ def sampled_shapes(t):
 select run_id, case lang when 'en' then 'api/job/list' else 'api/search' end as endpoint, score, entry_index, sample_count from g where reasons = '' and score > 0""")
 def ranked_candidates(t):
     """Best exchange per endpoint of each run, with the number of exchanges behind it."""
-    df = D.score_exchanges(I.exchanges(t), "url", "payload").withColumn("endpoint", F.regexp_extract("url", r"net/([^?]*)", 1))
+    df = D.score_exchanges(I.exchanges(t), "url", "payload", declared="declared").withColumn("endpoint", F.regexp_extract("url", r"net/([^?]*)", 1))
     return D.rank_candidates(df, ["run_id", "endpoint"], "entry_index").select("run_id", "endpoint", "score", "entry_index", "sample_count")
 
 
 @query("K1", f"""with {I.EXCHANGES}, {_SCORED} select run_id, entry_index, score, rank::integer as rank from (select *, row_number() over (partition by run_id order by score desc, entry_index) as rank from judged) where rank <= 5""")
 def top_candidates(t):
     """Top five candidates per run."""
-    df = D.score_exchanges(I.exchanges(t), "url", "payload").select("run_id", "entry_index", "score")
+    df = D.score_exchanges(I.exchanges(t), "url", "payload", declared="declared").select("run_id", "entry_index", "score")
     return top_k(df, "run_id", [F.desc("score"), F.asc("entry_index")], 5)
 
 
