@@ -62,7 +62,7 @@ def job_arrays(t):
  case lang when 'en' then 'result.total' when 'de' then case when n <= 1 then 'data.count' end end as total_field, least(n, 20)::integer as sampled from exchanges""")
 def response_shapes(t):
     """Shape of each response: keys, longest array, sampled fields, credible total."""
-    df = D.response_shape(I.exchanges(t), "payload")
+    df = D.response_shape(I.exchanges(t), "payload", declared="declared")
     return df.select("entry_index", join("top_level_keys", ",").alias("top_level_keys"), "array_path", "array_length", join("sample_fields", ",").alias("sample_fields"),
                      "total_field", F.least("array_length", F.lit(20)).alias("sampled"))
 
