@@ -7,7 +7,7 @@ from oracle_check import compare
 from vacantia.plans import load
 
 TEXTS = ["", " ", "\n", "\n\n", "\t", "\xa0", "　", "\nabc\ndef", " \nabc", "[]", "[]\nabc", "abc\n\ndef", "\x01"]
-QUERIES = ["deep_picks", "deep_pick_nested", "connections", "detail_pages", "list_scores", "list_evidence", "response_shapes"]
+QUERIES = ["deep_picks", "deep_pick_nested", "connections", "detail_pages", "list_scores", "list_evidence", "response_shapes", "sampled_shapes"]
 
 
 @pytest.fixture(scope="module")

@@ -71,7 +71,7 @@ def response_shapes(t):
  case lang when 'en' then 'city,code' when 'fr' then 'label,url' when 'de' then 'id,name' else 'city,description' end as sample_fields from exchanges""")
 def sampled_shapes(t):
     """Shape of each response from a bounded sample: the first twenty items, two names of them, one key."""
-    df = D.response_shape(I.exchanges(t), "payload", items=20, most=2)
+    df = D.response_shape(I.exchanges(t), "payload", items=20, most=2, declared="declared")
     return df.select("entry_index", F.get("top_level_keys", F.lit(0)).alias("top_level_key"), "array_length", join("sample_fields", ",").alias("sample_fields"))
 
 
