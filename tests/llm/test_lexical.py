@@ -91,3 +91,14 @@ def test_bounds_hold_and_spare_work():
     assert (bounds >= exact).all()
     scored = block.search(batch)
     assert scored < 400 and sorted(exact.tolist(), reverse=True)[:5] == batch.best[0][0].tolist()
+
+
+def test_index_is_read_a_few_blocks_at_a_time(spark):
+    """Pages and row groups hold a few blocks, however many a task writes."""
+    import pyarrow.parquet as pq
+
+    docs = spark.range(40 * lexical.DOCUMENTS).coalesce(1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 100), i -> concat('w', pmod(hash(id, i), 100000))), ' ') as text")
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in lexical.index(docs).inputFiles()]
+    assert sum(f.metadata.num_rows for f in files) == 40
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert max(g.num_rows for g in groups) <= 10 and max(g.column(c).total_uncompressed_size for g in groups for c in range(g.num_columns)) < 8 << 20

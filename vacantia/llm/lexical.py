@@ -17,7 +17,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import WIDE_ROWS, stored
 
 # coordinates of a sketch; documents and distinct terms of a block; terms of a batch of queries
 WIDTH, DOCUMENTS, TERMS, BATCH = 4096, 512, 1 << 18, 1 << 14
@@ -65,7 +65,7 @@ def _blocks(batches):
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The term counts of whole texts in blocks of bounded size, stored; rows without id or term take no part."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    return stored(rows.mapInArrow(_blocks, BLOCKS))
+    return stored(rows.mapInArrow(_blocks, BLOCKS), WIDE_ROWS)
 
 
 def _queries(queries: DataFrame, blocks: DataFrame, n_docs: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
